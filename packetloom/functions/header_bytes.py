@@ -37,15 +37,28 @@ def byte_at(packet: Column, at: Column | int) -> Column:
     return F.when(text != "", F.conv(text, 16, 10).cast("int"))
 
 
-def zeros(count: Column | int) -> Column:
-    return F.unhex(F.repeat(F.lit("00"), _int(count)))
+def zeros(count: Column | int, most: int = N_BYTES) -> Column:
+    """``count`` zero bytes, at most ``most``."""
+    return F.substring(F.lit(bytes(most)), F.lit(1), _int(count))
+
+
+def _patch(masked: Column, packet: Column, start: Column | int, end: Column | int, where: Column | None = None) -> Column:
+    """Zero [start, end) of ``masked`` where the condition holds, clipped to the packet.
+
+    ``masked`` appears once, so a chain of patches stays linear in size; nothing to
+    zero means a patch of no bytes.
+    """
+    start = _int(start)
+    count = F.greatest(F.least(_int(end), F.octet_length(packet)) - start, F.lit(0))
+    if where is not None:
+        count = F.when(where, count).otherwise(F.lit(0))
+    count = F.coalesce(count, F.lit(0))
+    return F.overlay(masked, zeros(count), F.coalesce(start, F.lit(0)) + 1, count)
 
 
 def zero_range(packet: Column, start: Column | int, end: Column | int) -> Column:
     """Bytes [start, end) set to zero, clipped to the packet."""
-    start, size = _int(start), F.octet_length(packet)
-    count = F.greatest(F.least(_int(end), size) - start, F.lit(0))
-    return F.when(count > 0, F.overlay(packet, zeros(count), start + 1, count)).otherwise(packet)
+    return _patch(packet, packet, start, end)
 
 
 def header_length(packet: Column) -> Column:
@@ -64,71 +77,64 @@ def tcp_header_length(packet: Column, base: Column) -> Column:
     return F.coalesce(F.shiftright(byte_at(packet, base + 12), 4), F.lit(0)) * 4
 
 
-def _zero_ports(masked: Column, packet: Column, base: Column, proto: Column) -> Column:
-    fits = proto.isin(TCP, UDP) & (base + 4 <= F.octet_length(packet))
-    return F.when(fits, zero_range(masked, base, base + 4)).otherwise(masked)
+def _zero_ports(masked: Column, packet: Column) -> Column:
+    base = header_length(packet)
+    fits = has_sane_header(packet) & protocol_byte(packet).isin(TCP, UDP) & (base + 4 <= F.octet_length(packet))
+    return _patch(masked, packet, base, base + 4, fits)
 
 
 def mask_addresses(packet: Column) -> Column:
     """Addresses and TCP/UDP ports to zero."""
-    masked = _zero_ports(
-        zero_range(packet, 12, 20), packet, header_length(packet), protocol_byte(packet)
-    )
-    return F.when(has_sane_header(packet), masked).otherwise(packet)
+    return _zero_ports(_patch(packet, packet, 12, 20, has_sane_header(packet)), packet)
 
 
-def _zero_tcp_options(masked: Column, packet: Column, base: Column, proto: Column, inside: bool) -> Column:
+def _zero_tcp_options(masked: Column, packet: Column, inside: bool) -> Column:
     """TCP options to zero. ``inside``: only when they lie within the packet."""
+    base = header_length(packet)
     offset = tcp_header_length(packet, base)
-    has = (proto == TCP) & (offset > 20) & (offset <= 60)
+    has = has_sane_header(packet) & (protocol_byte(packet) == TCP) & (offset > 20) & (offset <= 60)
     if inside:
-        has = has & (base + 20 <= F.octet_length(packet)) & (base + offset <= F.octet_length(packet))
-    return F.when(has, zero_range(masked, base + 20, base + offset)).otherwise(masked)
+        has = has & (base + offset <= F.octet_length(packet))
+    return _patch(masked, packet, base + 20, base + offset, has)
 
 
-def _zero_identity(masked: Column, packet: Column, base: Column) -> Column:
+def _zero_identity(masked: Column, packet: Column) -> Column:
     """Version nibble, service type, identification, protocol and IP options."""
-    first = F.unhex(F.lpad(F.hex(byte_at(packet, 0).bitwiseAND(F.lit(15))), 2, "0"))
-    masked = F.overlay(masked, first, F.lit(1), F.lit(1))
+    sane = has_sane_header(packet)
+    first = F.unhex(F.concat(F.lit("0"), F.substring(F.hex(F.substring(packet, 1, 1)), 2, 1)))
+    size = F.coalesce(F.when(sane, F.lit(1)), F.lit(0))
+    masked = F.overlay(masked, F.substring(first, F.lit(1), size), F.lit(1), size)
     for start, end in ((1, 2), (4, 6), (9, 10)):
-        masked = zero_range(masked, start, end)
-    return F.when(base > 20, zero_range(masked, 20, base)).otherwise(masked)
+        masked = _patch(masked, packet, start, end, sane)
+    return _patch(masked, packet, 20, header_length(packet), sane)
 
 
 def mask_strict(packet: Column) -> Column:
     """The address mask plus every field that identifies a host or its software."""
-    base, proto = header_length(packet), protocol_byte(packet)
-    masked = _zero_identity(zero_range(packet, 12, 20), packet, base)
-    masked = _zero_ports(masked, packet, base, proto)
-    masked = _zero_tcp_options(masked, packet, base, proto, inside=True)
-    return F.when(has_sane_header(packet), masked).otherwise(packet)
+    masked = _zero_identity(mask_addresses(packet), packet)
+    return _zero_tcp_options(masked, packet, inside=True)
 
 
 def derive_strict(packet: Column, checksum_too: bool = False) -> Column:
     """The strict mask made from stored, already address-masked bytes; options are
     clipped at the stored length."""
-    base, proto = header_length(packet), protocol_byte(packet)
-    masked = zero_range(packet, 10, 12) if checksum_too else packet
-    masked = _zero_identity(masked, packet, base)
-    masked = _zero_tcp_options(masked, packet, base, proto, inside=False)
-    return F.when(has_sane_header(packet), masked).otherwise(packet)
+    masked = _patch(packet, packet, 10, 12, has_sane_header(packet)) if checksum_too else packet
+    return _zero_tcp_options(_zero_identity(masked, packet), packet, inside=False)
 
 
 def derive_ladder(packet: Column, steps: int) -> Column:
     """The first ``steps`` regions of the ladder to zero, cumulatively."""
     if not 1 <= steps <= len(MASK_LADDER):
         raise ValueError(f"1 to {len(MASK_LADDER)} steps, got {steps}")
-    todo = MASK_LADDER[:steps]
-    base, proto = header_length(packet), protocol_byte(packet)
+    todo, sane = MASK_LADDER[:steps], has_sane_header(packet)
     masked = packet
     for name, start, end in (("ip_checksum", 10, 12), ("ip_ttl", 8, 9), ("ip_id", 4, 6)):
         if name in todo:
-            masked = zero_range(masked, start, end)
+            masked = _patch(masked, packet, start, end, sane)
     if "tcp_window" in todo:
-        masked = F.when(proto == TCP, zero_range(masked, base + 14, base + 16)).otherwise(masked)
-    if "tcp_options" in todo:
-        masked = _zero_tcp_options(masked, packet, base, proto, inside=False)
-    return F.when(has_sane_header(packet), masked).otherwise(packet)
+        base = header_length(packet)
+        masked = _patch(masked, packet, base + 14, base + 16, sane & (protocol_byte(packet) == TCP))
+    return _zero_tcp_options(masked, packet, inside=False) if "tcp_options" in todo else masked
 
 
 def ipv4_checksum(packet: Column) -> Column:
@@ -152,7 +158,7 @@ def repair_checksum(packet: Column) -> Column:
 def to_fixed_length(packet: Column, size: int = N_BYTES) -> Column:
     """First ``size`` bytes, zero padded; NULL (no frame) becomes all zeros."""
     head = F.coalesce(F.substring(packet, 1, size), F.unhex(F.lit("")))
-    return F.concat(head, zeros(F.lit(size) - F.octet_length(head)))
+    return F.concat(head, zeros(F.lit(size) - F.octet_length(head), size))
 
 
 def strip_ethernet(frame: Column) -> Column:

@@ -24,7 +24,10 @@ RATES = ["flow_byts_s", "flow_pkts_s"]
 # Quantiles of the match distance report.
 DELTA_QUANTILES = [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
-WHOLE = Window.partitionBy()
+
+def _whole():
+    """Over all rows of an already aggregated table."""
+    return Window.partitionBy()
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -51,7 +54,7 @@ def label_counts(labelled: DataFrame) -> DataFrame:
 def label_summary(labelled: DataFrame) -> DataFrame:
     """Count per label with its percentage at two digits, most frequent first."""
     counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
-    share = F.col("count").cast("double") / F.sum("count").over(WHOLE).cast("double") * 100
+    share = F.col("count").cast("double") / F.sum("count").over(_whole()).cast("double") * 100
     pct = F.rint(share * 100) / 100
     return counts.withColumn("pct", pct).orderBy(F.desc("count"), "label")
 
@@ -78,7 +81,7 @@ def day_summary(labelled: DataFrame, benign: str = "Benign") -> DataFrame:
 
 def global_label_shares(labelled: DataFrame) -> DataFrame:
     counts = label_counts(labelled)
-    return counts.withColumn("share", _share(F.col("count"), F.sum("count").over(WHOLE))).orderBy(
+    return counts.withColumn("share", _share(F.col("count"), F.sum("count").over(_whole()))).orderBy(
         F.desc("count"), "label"
     )
 
@@ -136,7 +139,7 @@ def cleanup_by_label(labelled: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_rows"), F.count_if(lost).alias("any_inf_rate_rows")
     )
     left = F.col("total_rows") - F.col("any_inf_rate_rows")
-    all_left = F.greatest(F.sum(left).over(WHOLE), F.lit(1))
+    all_left = F.greatest(F.sum(left).over(_whole()), F.lit(1))
     return counts.select(
         "label", "total_rows", "any_inf_rate_rows", left.alias("remaining_rows_after_drop"),
         _share(F.col("any_inf_rate_rows"), F.col("total_rows")).alias("any_inf_rate_share_within_label"),
@@ -201,7 +204,7 @@ def exclusion_by_length(labelled: DataFrame) -> DataFrame:
     counts = labelled.groupBy(bucket.alias("packets_in_flow")).agg(
         F.count(F.lit(1)).alias("reconstructed_flows"), F.count_if(~F.col("matched")).alias("excluded_flows")
     )
-    whole = F.sum("excluded_flows").over(WHOLE)
+    whole = F.sum("excluded_flows").over(_whole())
     return counts.withColumn(
         "excluded_pct", _share(F.col("excluded_flows"), F.col("reconstructed_flows")) * 100
     ).withColumn("share_of_all_excluded_pct", _share(F.col("excluded_flows"), whole) * 100)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.functions.classes import collapse_attempt, is_attempt
 from packetloom.functions.header_bytes import N_BYTES, OCCLUSION_REGIONS, zero_range, zeros
@@ -42,17 +43,17 @@ def pack_flows(
         F.collect_list(F.when(F.col("pkt_order") < max_packets, slot)).alias("_slots"),
     )
     at = lambda i: F.get(F.filter("_slots", lambda s: s["at"] == i), F.lit(0))
-    fixed = lambda raw: F.concat(raw, zeros(F.lit(n_bytes) - F.octet_length(raw)))
+    fixed = lambda raw: F.concat(raw, zeros(F.lit(n_bytes) - F.octet_length(raw), n_bytes))
     places = [F.lit(i) for i in range(max_packets)]
     return grouped.select(
         *FLOW, "y",
-        F.array(*[F.coalesce(fixed(at(i)["raw"]), zeros(n_bytes)) for i in places]).alias("packets"),
+        F.array(*[F.coalesce(fixed(at(i)["raw"]), zeros(n_bytes, n_bytes)) for i in places]).alias("packets"),
         F.array(*[at(i).isNull() for i in places]).alias("padding"),
         F.array(*[F.coalesce(at(i)["t"], F.lit(0.0)).cast("float") for i in places]).alias("times"),
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _scaled_bytes(packets: pd.Series) -> pd.Series:
     return packets.map(lambda slots: np.frombuffer(b"".join(bytes(p) for p in slots), dtype=np.uint8) / 255.0)
 
