@@ -1,7 +1,9 @@
 """Building blocks of the DuckDB texts: flows by plain recursion, features by windows.
 
 Written from the definitions, not from the Spark plans: grouping walks packet by
-packet, features use per-flow windows.
+packet, features use per-flow windows. Positions are counted with a frame and not
+with ``row_number() - 1``: DuckDB 2.0 turns a filter on that difference into a wrong
+top-n (positions start at 1).
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def grouping(source: str = "packets") -> list[str]:
   from (select fold.*, 1 as one from fold) f join marked m on m.k = f.k and m.rn = f.rn + 1,
    lateral (select (f.ended or m.ts_us - f.start_us > 120000000) as fresh) l) n)""",
         """flow_packets as materialized (select o.*, f.flow_id, f.start_us as flow_start_us,
- row_number() over (partition by o.capture_file, f.flow_id, o.k order by o.rn) - 1 as packet_index,
+ count(*) over (partition by o.capture_file, f.flow_id, o.k order by o.rn rows between unbounded preceding and 1 preceding) as packet_index,
  count(*) over (partition by o.capture_file, f.flow_id, o.k) as flow_total_packets,
  case when o.src_ip = o.init_ip and o.src_port = o.init_port then 1 else 0 end as direction,
  o.init_ip as flow_src_ip, o.init_port as flow_src_port,

@@ -799,7 +799,7 @@ def confusion(spark, sf):
 
 @query
 def confusion_matrix(spark, sf):
-    return mt.confusion_matrix(mt.confusion_counts(view(spark, sf, "predictions")), ["click", "purchase", "signup", "unknown", "view"])
+    return mt.confusion_matrix(mt.confusion_counts(view(spark, sf, "predictions")), ["click", "error", "purchase", "signup", "unknown", "view"])
 
 
 @query
@@ -809,7 +809,7 @@ def per_class_metrics(spark, sf):
 
 @query
 def f1_summary(spark, sf):
-    return mt.overall(mt.confusion_counts(view(spark, sf, "predictions")))
+    return _round(mt.overall(mt.confusion_counts(view(spark, sf, "predictions"))), "macro_f1", "weighted_f1")
 
 
 def _two_models(spark, sf):
@@ -826,7 +826,7 @@ def wide_f1(spark, sf):
 
 @query
 def model_summary(spark, sf):
-    return md.model_summary(_two_models(spark, sf))
+    return _round(md.model_summary(_two_models(spark, sf)), "macro_f1", "weighted_f1")
 
 
 def _history(spark, sf):
@@ -863,7 +863,7 @@ def _classifier(name, **options):
         rows = _model_rows(spark, sf)
         columns = sel.feature_columns(rows)
         clean = pk.apply_finite_policy(rows.select(*fl.FLOW, "label", *columns), columns, "zero")
-        split = sp.train_test_split(clean, "label", fl.FLOW, SEED)
+        split = sp.train_test_split(clean, "label", fl.FLOW, SEED).persist()
         stacked = md.run_models([name], split.where("split = 'train'"), split.where("split = 'test'"), columns, SEED, options={name: options})
         return md.model_summary(stacked)
     return run
@@ -876,7 +876,7 @@ for _name, _options in {"xgb": {"rounds": 3, "depth": 3}, "gnb": {}, "logreg": {
 @query
 def occlusion_sweep(spark, sf):
     packed = tn.pack_flows(_byte_rows(spark, sf), 3, 64, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets")
-    split = sp.train_test_split(packed, "label", fl.FLOW, SEED)
+    split = sp.train_test_split(packed, "label", fl.FLOW, SEED).persist()
     train = tn.byte_features(split.where("split = 'train'"))
     model = md.fit("rf", train, "features", SEED, trees=5, depth=5)
     score = lambda rows: md.predict(model, tn.byte_features(rows), "features")
@@ -890,7 +890,7 @@ def occlusion_drops(spark, sf):
     p = view(spark, sf, "predictions")
     region = F.element_at(F.array(*[F.lit(r) for r in ("none", "ip_ttl", "tcp_window", "tcp_options")]), (F.col("row_id") % 4).cast("int") + 1)
     counts = mt.confusion_counts(p.withColumn("region", region), ["region"])
-    return tn.drops_from_counts(counts)[0]
+    return _round(tn.drops_from_counts(counts)[0], "macro_f1_occluded", "delta_macro_f1", "drop")
 
 
 # --- experiments ---------------------------------------------------------------------------------------

@@ -68,19 +68,22 @@ def fit(name: str, train: DataFrame, features: Sequence[str] | str, seed: int =
     if name not in TRAINERS:
         raise ValueError(f"unknown model {name!r}; known: {sorted(TRAINERS)}")
     rows = with_sample_weight(train, LABEL)
-    indexer = StringIndexer(inputCol=LABEL, outputCol=CODE, stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
-    stages: list = [indexer]
-    if isinstance(features, str):
-        width = len(rows.select(features).first()[0])
-        rows = rows.withColumnRenamed(features, RAW)
-    else:
-        width = len(features)
-        stages.append(VectorAssembler(inputCols=list(features), outputCol=RAW))
-    classes = len(indexer.labels)
-    model, scaled = TRAINERS[name](seed, classes, width, **options)
-    if scaled:
-        stages.append(StandardScaler(inputCol=RAW, outputCol=SCALED, withMean=True, withStd=True))
-    return Pipeline(stages=[*stages, model]).fit(rows)
+    # Read many times below: kept in memory or on disk, recomputed if an executor goes.
+    vector = isinstance(features, str)
+    rows = (rows.withColumnRenamed(features, RAW) if vector else rows).select(LABEL, WEIGHT, *([RAW] if vector else features))
+    rows = rows.persist()
+    try:
+        indexer = StringIndexer(inputCol=LABEL, outputCol=CODE, stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
+        stages: list = [indexer]
+        if not vector:
+            stages.append(VectorAssembler(inputCols=list(features), outputCol=RAW))
+        width = len(rows.select(RAW).first()[0]) if vector else len(features)
+        model, scaled = TRAINERS[name](seed, len(indexer.labels), width, **options)
+        if scaled:
+            stages.append(StandardScaler(inputCol=RAW, outputCol=SCALED, withMean=True, withStd=True))
+        return Pipeline(stages=[*stages, model]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str] | str | None = None) -> DataFrame:
