@@ -843,7 +843,7 @@ def best_epoch(spark, sf):
 def _model_rows(spark, sf):
     labelled = registry_labelled(spark, sf, features(spark, sf)).where("matched")
     return labelled.withColumn("label", F.when(F.col("protocol") == 6, cl.collapse_attempt("label")).otherwise(
-        F.concat(F.lit("proto_"), F.col("protocol").cast("string"))))
+        F.concat(F.lit("proto_"), F.col("protocol").cast("string")))).persist()
 
 
 @query
@@ -863,7 +863,7 @@ def _classifier(name, **options):
         rows = _model_rows(spark, sf)
         columns = sel.feature_columns(rows)
         clean = pk.apply_finite_policy(rows.select(*fl.FLOW, "label", *columns), columns, "zero")
-        split = sp.train_test_split(clean, "label", fl.FLOW, SEED).persist()
+        split = sp.train_test_split(clean, "label", fl.FLOW, SEED)
         stacked = md.run_models([name], split.where("split = 'train'"), split.where("split = 'test'"), columns, SEED, options={name: options})
         return md.model_summary(stacked)
     return run
@@ -875,8 +875,8 @@ for _name, _options in {"xgb": {"rounds": 3, "depth": 3}, "gnb": {}, "logreg": {
 
 @query
 def occlusion_sweep(spark, sf):
-    packed = tn.pack_flows(_byte_rows(spark, sf), 3, 64, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets")
-    split = sp.train_test_split(packed, "label", fl.FLOW, SEED).persist()
+    packed = tn.pack_flows(_byte_rows(spark, sf), 3, 64, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets").persist()
+    split = sp.train_test_split(packed, "label", fl.FLOW, SEED)
     train = tn.byte_features(split.where("split = 'train'"))
     model = md.fit("rf", train, "features", SEED, trees=5, depth=5)
     score = lambda rows: md.predict(model, tn.byte_features(rows), "features")

@@ -88,6 +88,9 @@ class FlowKernel(Kernel):
         fresh = np.flatnonzero((np.diff(ts) > self.timeout_us) | reset[:-1])
         return int(fresh[-1]) + 1 if len(fresh) else None
 
+    def origin(self, table: pa.Table):
+        return {"initiator": table.column("from_b")[0].as_py()}
+
     def inherit(self, earlier, state):
         return {**state, "initiator": earlier["initiator"]}
 
@@ -296,7 +299,10 @@ def capture_hosts(packets: DataFrame) -> DataFrame:
 
 
 def _mark_duplicates(grouped: DataFrame, hosts: DataFrame | None) -> DataFrame:
-    hosts = capture_hosts(grouped) if hosts is None else hosts
+    found = capture_hosts(grouped) if hosts is None else hosts
+    # One row per capture file. As a local table it is evaluated once for the three
+    # joins and its size is known, so the planner broadcasts it only when it is small.
+    hosts = grouped.sparkSession.createDataFrame(found.collect(), "host string")
     src = hosts.select(F.col("host").alias("flow_src_ip"), F.lit(True).alias("_src_captured"))
     dst = hosts.select(F.col("host").alias("flow_dst_ip"), F.lit(True).alias("_dst_captured"))
     own = hosts.select(F.col("host").alias("_own_host"), F.lit(True).alias("_own_captured"))

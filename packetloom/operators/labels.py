@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from packetloom.functions.classes import encode_label
 from packetloom.functions.packets import endpoint_key, protocol_number
 from packetloom.operators.flows import FLOW
-from packetloom.operators.ordered import MAX_KEY_ROWS, Kernel, ordered_fold
+from packetloom.operators.ordered import MAX_KEY_ROWS, Kernel, ordered_fold, stored
 
 KEY5 = ["flow_src_ip", "flow_src_port", "flow_dst_ip", "flow_dst_port", "protocol"]
 KEY6 = [*KEY5, "flow_start_us"]
@@ -333,7 +333,7 @@ def fuzzy_match(
     ))
     order = ["at_us", "kind", "row_ord", "capture_file", "flow_id"]
     kernel = PairInOrder(round(tolerance_seconds * 1e6))
-    return ordered_fold(events, KEY5, order, kernel, PAIRS, max_key_rows)
+    return ordered_fold(stored(events, "events"), KEY5, order, kernel, PAIRS, max_key_rows)
 
 
 def apply_matches(flows: DataFrame, pairs: DataFrame, registry: DataFrame) -> DataFrame:

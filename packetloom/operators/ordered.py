@@ -52,8 +52,13 @@ class Kernel:
         """In rows of ONE key, the last one whose outcome needs nothing before it."""
         raise NotImplementedError
 
+    def origin(self, table: pa.Table):
+        """What the first row of ONE key fixes for all of its rows."""
+        return None
+
     def inherit(self, earlier, state):
-        """Add to a state found behind a reset what the whole key shares."""
+        """Put that into a state found behind a reset; ``earlier`` is an origin or the
+        state of the chunk before."""
         return state
 
 
@@ -100,15 +105,31 @@ def _stream(batches: Iterator[pa.RecordBatch], keys, kernel: Kernel, schema: pa.
         yield from emit(table, key_starts(table, keys))
 
 
+def _surely_small(df: DataFrame, max_key_rows: int) -> bool:
+    """The optimizer expects less than eight bytes per allowed row, so no key can
+    matter. A wrong estimate costs speed, never rows."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) < 8 * max_key_rows
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], max_key_rows: int) -> DataFrame | None:
-    """Keys above the limit, or None. At most rows/limit keys can come back."""
-    if df.limit(max_key_rows + 1).count() <= max_key_rows:
+    """Keys above the limit, or None. At most rows/limit keys can come back; the count
+    reads the key columns only and is combined before its shuffle."""
+    if _surely_small(df, max_key_rows):
         return None
     heavy = df.groupBy(*keys).count().where(F.col("count") > max_key_rows)
     found = heavy.collect()
     return df.sparkSession.createDataFrame(found, heavy.schema) if found else None
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back: computed once, safe
+    against lost executors, for inputs that are read several times."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -180,12 +201,14 @@ def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
         tail_at = int(starts[-1])
         settled, state = tail_at > 0, None
         tail = table.slice(tail_at).combine_chunks()
+        origin = kernel.origin(tail)
         if not settled:
             cut = kernel.reset(tail)
             if cut is not None:
                 tail, settled = tail.slice(cut).combine_chunks(), True
         if settled:
             _, state = kernel(tail, np.array([0]), None, True)
+            state = kernel.inherit(origin, state)
         return edge_row(chunk, key_at(table, 0), key_at(table, table.num_rows - 1), settled, state)
 
     edges = {}
@@ -244,9 +267,11 @@ def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
 
 
 def ranked_within(
-    df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str
+    df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str,
+    size_name: str | None = None,
 ) -> DataFrame:
-    """1-based rank of each row within ``by``, ordered by ``order``.
+    """1-based rank of each row within ``by``, ordered by ``order``; ``size_name`` also
+    adds the number of rows within ``by``.
 
     ``bucket`` must not decrease along ``order``. Bucket counts are pre-aggregated,
     so a key with a third of the rows is spread over all of its buckets.
@@ -255,8 +280,9 @@ def ranked_within(
     marked = df.withColumn("_bucket", bucket)
     sizes = marked.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wholes = [F.sum("_n").over(Window.partitionBy(*by)).alias(size_name)] if size_name else []
     offsets = sizes.select(
-        *by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        *by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), *wholes
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
     return (

@@ -23,12 +23,17 @@ def seeded_order(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary"))
 
 
-def seeded_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
-    """Adds ``_rank``: 1-based position within ``by`` in the seeded order."""
+def seeded_rank(
+    df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int, size_name: str | None = None
+) -> DataFrame:
+    """Adds ``_rank``: 1-based position within ``by`` in the seeded order.
+
+    ``df`` is read twice, to count and to rank; give a stored or persisted table.
+    """
     hashed = df.withColumn(ORDER, seeded_order(key, seed))
     bucket = F.substring(ORDER, 1, 4)
     order = [F.col(ORDER), *[F.col(k) for k in key]]
-    return ranked_within(hashed, by, bucket, order, RANK).drop(ORDER)
+    return ranked_within(hashed, by, bucket, order, RANK, size_name).drop(ORDER)
 
 
 def cap_per_class(
@@ -70,9 +75,7 @@ def _half_up(value: Column) -> Column:
 
 
 def _ranked_with_size(df, label, key, seed, within):
-    by = [*within, label]
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    return seeded_rank(df, by, key, seed).join(sizes, by)
+    return seeded_rank(df, [*within, label], key, seed, "_size")
 
 
 def train_test_split(

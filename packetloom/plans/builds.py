@@ -199,12 +199,12 @@ def train_forest(
     """Supported classes, clean features, exact split, forest, scores."""
     rows = rp.keep_supported(labelled, min_rows, support).withColumn("label", collapse_attempt("label"))
     features = feature_columns(rows, extra=extra_drop, strict=bool(extra_drop))
-    clean = apply_finite_policy(rows.select(*fl.FLOW, "label", *features), features, finite)
-    split = sp.train_test_split(clean, "label", fl.FLOW, seed, test_share).persist()
+    clean = apply_finite_policy(rows.select(*fl.FLOW, "label", *features), features, finite).persist()
+    split = sp.train_test_split(clean, "label", fl.FLOW, seed, test_share)
     model = md.fit("rf", split.where(F.col("split") == sp.TRAIN), features, seed, **options)
     scored = md.predict(model, split.where(F.col("split") == sp.TEST)).select(*fl.FLOW, "y_true", "y_pred")
     counts = mt.confusion_counts(scored)
     return ForestBuild(
         model, scored, mt.overall(counts), mt.per_class(counts), md.importances(model, features, labelled.sparkSession),
-        split,
+        clean,
     )

@@ -15,9 +15,12 @@ from packetloom.functions.classes import shown_label
 
 
 def exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(target)
+    """Committed output is present; what a failed job left (``_temporary``) is not."""
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    return system.exists(target) and any(
+        not f.getPath().getName().startswith(("_", ".")) for f in system.listStatus(target)
+    )
 
 
 def write_table(
