@@ -1,3 +1,10 @@
 """Early-observation analytics over packet tables, as plain Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Kernels travel to the executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -273,9 +273,9 @@ def _restore_endpoints(grouped: DataFrame, extra: Sequence[str]) -> DataFrame:
 def drop_cross_capture_duplicates(grouped: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Keep a flow between two captured hosts only in the capture of the lower one.
 
-    ``hosts`` (column ``host``) are the addresses that have a capture of their own;
-    by default they are read from the capture names. The decision needs only the
-    flow's two addresses, which every packet carries: no shuffle of packets.
+    ``hosts`` come from :func:`capture_hosts`, by default of ``grouped`` itself. The
+    decision needs only the flow's two addresses, which every packet carries: no
+    shuffle of packets.
     """
     return _mark_duplicates(grouped, hosts).where("not duplicate").drop("duplicate")
 
@@ -293,30 +293,28 @@ def cross_capture_drops(grouped: DataFrame, hosts: DataFrame | None = None) -> D
 
 
 def capture_hosts(packets: DataFrame) -> DataFrame:
-    """Addresses named by the captures; one row per capture host."""
+    """(capture_file, host, host_number) of the captures whose name holds an address."""
     named = packets.select("capture_file").distinct()
-    return named.select(capture_host(F.col("capture_file")).alias("host")).dropna().distinct()
+    hosts = named.withColumn("host", capture_host("capture_file")).dropna()
+    return hosts.withColumn("host_number", ipv4_number("host"))
 
 
 def _mark_duplicates(grouped: DataFrame, hosts: DataFrame | None) -> DataFrame:
     found = capture_hosts(grouped) if hosts is None else hosts
     # One row per capture file. As a local table it is evaluated once for the three
     # joins and its size is known, so the planner broadcasts it only when it is small.
-    hosts = grouped.sparkSession.createDataFrame(found.collect(), "host string")
-    src = hosts.select(F.col("host").alias("flow_src_ip"), F.lit(True).alias("_src_captured"))
-    dst = hosts.select(F.col("host").alias("flow_dst_ip"), F.lit(True).alias("_dst_captured"))
-    own = hosts.select(F.col("host").alias("_own_host"), F.lit(True).alias("_own_captured"))
-    a, b = F.col("flow_src_ip"), F.col("flow_dst_ip")
-    keeper = F.when(ipv4_number(a) <= ipv4_number(b), a).otherwise(b)
-    internal = F.col("_src_captured").isNotNull() & F.col("_dst_captured").isNotNull() & (a != b)
-    duplicate = internal & F.col("_own_captured").isNotNull() & (keeper != F.col("_own_host"))
+    captures = grouped.sparkSession.createDataFrame(found.collect(), found.schema)
+    own = captures.select("capture_file", F.col("host_number").alias("_own"))
+    known = captures.select("host", "host_number").distinct()
+    side = lambda name: known.select(F.col("host").alias(f"flow_{name}_ip"), F.col("host_number").alias(f"_{name}"))
+    # A NULL number is an address without a capture: such a flow has one copy only.
+    duplicate = (F.col("flow_src_ip") != F.col("flow_dst_ip")) & (F.least("_src", "_dst") != F.col("_own"))
+    both = F.col("_src").isNotNull() & F.col("_dst").isNotNull() & F.col("_own").isNotNull()
     return (
-        grouped.withColumn("_own_host", capture_host(F.col("capture_file")))
-        .join(own, "_own_host", "left")
-        .join(src, "flow_src_ip", "left")
-        .join(dst, "flow_dst_ip", "left")
-        .withColumn("duplicate", F.coalesce(duplicate, F.lit(False)))
-        .select(*grouped.columns, "duplicate")
+        grouped.join(own, "capture_file", "left")
+        .join(side("src"), "flow_src_ip", "left")
+        .join(side("dst"), "flow_dst_ip", "left")
+        .select(*grouped.columns, (both & duplicate).alias("duplicate"))
     )
 
 

@@ -33,6 +33,7 @@ from packetloom.session import scratch_path
 MAX_KEY_ROWS = 4_000_000
 BLOCK_ROWS = 250_000
 MAX_CARRY_BYTES = 256 << 20
+MAX_BROADCAST_KEYS = 100_000
 CHUNK = "_chunk"
 
 
@@ -117,9 +118,12 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], max_key_rows: int) -> DataFra
     reads the key columns only and is combined before its shuffle."""
     if _surely_small(df, max_key_rows):
         return None
-    heavy = df.groupBy(*keys).count().where(F.col("count") > max_key_rows)
+    heavy = df.groupBy(*keys).count().where(F.col("count") > max_key_rows).select(*keys)
     found = heavy.collect()
-    return df.sparkSession.createDataFrame(found, heavy.schema) if found else None
+    if not found:
+        return None
+    table = df.sparkSession.createDataFrame(found, heavy.schema)
+    return F.broadcast(table) if len(found) <= MAX_BROADCAST_KEYS else table
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -147,13 +151,15 @@ def ordered_fold(
     arrow_schema = to_arrow_schema(schema)
 
     def light(part: DataFrame) -> DataFrame:
-        ordered = part.repartition(*keys).sortWithinPartitions(*keys, *order)
+        # Hashed, not plain keys: a shuffle by the plain keys may be dropped in favour of
+        # one a join below already made, and that one the adaptive planner may read
+        # locally or split, since nothing tells it that whole keys are needed here.
+        ordered = part.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
         return ordered.mapInArrow(lambda it: _stream(it, keys, kernel, arrow_schema), schema)
 
     heavy = heavy_keys(df, keys, max_key_rows)
     if heavy is None:
         return light(df)
-    heavy = heavy.drop("count")
     cold = df.join(heavy, keys, "left_anti").select(*df.columns)
     hot = df.join(heavy, keys, "left_semi").select(*df.columns)
     folded = _fold_heavy(hot, keys, order, kernel, schema, max_key_rows)

@@ -74,6 +74,14 @@ def test_heavy_keys_in_chunks_equal_the_plain_fold(spark, seed, limit):
     assert group(spark, rows, max_key_rows=limit) == fold_flows(rows)
 
 
+def test_heavy_keys_from_many_input_partitions(spark):
+    """Light keys must stay whole beside a heavy one, however the input is spread."""
+    rows = random_packets(5, keys=40, count=3000, skewed=True)
+    spread = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    got = fl.group_into_flows(spread, max_key_rows=300).collect()
+    assert {(r.capture_file, r.capture_packet_index): (r.flow_id, r.packet_index, r.direction) for r in got} == fold_flows(rows)
+
+
 def test_a_heavy_key_without_any_break(spark):
     """No gap, no end: every chunk waits for the state of the one before."""
     rows = [packet(i, i * 30 * SECOND, *((A, B) if i % 3 else (B, A))) for i in range(60)]
