@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "packetloom") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="spark-"))
         .config("spark.sql.shuffle.partitions", str(parallel))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -29,15 +30,8 @@ def local_session(cpus: int | str = "*", app: str = "packetloom") -> SparkSessio
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder.
-
-    The folder is read from the session. Only a local master, where the driver
-    and the executors share one disk, may fall back to a temporary folder.
-    """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    """A fresh path under the cluster's shared checkpoint folder, which the session names."""
+    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and every executor can reach")
     return f"{base.rstrip('/')}/packetloom-{purpose}-{uuid.uuid4().hex}"
