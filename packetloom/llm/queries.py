@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetloom.llm import byte_bpe, language_id, token_files
+from packetloom.llm import byte_bpe, decontaminate, html_text, language_id, nearest, token_files, url_lists
 from packetloom.session import scratch_path
 
 
@@ -13,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html_text.extract(pages).select("page_id", "text")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as source:
         definition = source.read()
@@ -21,19 +27,100 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(spark, path))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _hex(column: str, start: int) -> Column:
+    """Two hex digits of a digest as a number."""
+    return F.conv(F.substring(column, start, 2), 16, 10).cast("int")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Pages with a fetch time: the tables hold none, so it follows from page_id over one year."""
+    day = (F.col("page_id") * 7919 % 366).cast("int")
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_at"))
+
+
+def list_log(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts, domains and first path segments of the pages, by their digests.
+
+    Each listed value is added, removed after 20 to 147 days and, for some, added again.
+    """
+    host = url_lists.url_host(F.col("url"))
+    segment = F.split(url_lists.url_path(F.col("url")), "/")[0]
+    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    pick = lambda kind, name, value: pages.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), value.alias("value")).distinct()
+    values = pick("host", "block", host).unionByName(pick("domain", "block", domain)).unionByName(pick("prefix", "allow", F.concat(host, F.lit("/"), segment)))
+    digest = values.where("value is not null and value != ''").withColumn("d", F.md5(F.concat_ws(":", "kind", "value").cast("binary")))
+    listed = digest.where("substring(d, 1, 1) < '8'")
+    first = F.date_add(F.lit("2024-01-01").cast("date"), _hex("d", 2))
+    gone = F.date_add(first, 20 + _hex("d", 4) % 128)
+    again = F.date_add(gone, 10 + _hex("d", 6) % 64)
+    event = lambda action, dated: F.struct(F.lit(action).alias("action"), dated.alias("dated"))
+    log = F.when(F.substring("d", 8, 1) < "8", F.array(event("add", first), event("remove", gone), event("add", again))).otherwise(F.array(event("add", first), event("remove", gone)))
+    return listed.withColumn("e", F.explode(log)).select("list", "kind", "value", "e.action", "e.dated")
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.evaluate(captures(pages), list_log(pages)).select("page_id", "verdict", "entry", "n_active")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_and_decode(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_url_lists": op4_url_lists,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_nearest": op6_nearest,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+#: Whole-table SQL twins for DuckDB.
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": r"""
+        with b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from benchmark),
+        bs as (select distinct item_id, least(len(w), 5) k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') s
+               from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) i from b where len(w) > 0)),
+        bn as (select item_id, count(*) n from bs group by 1),
+        d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents),
+        ds as (select distinct doc_id, k, array_to_string(w[i:i + k - 1], ' ') s
+               from (select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) i from d, (select distinct k from bs) where len(w) >= k)),
+        hit as (select doc_id, item_id, count(*) c from ds join bs using (k, s) group by 1, 2)
+        select doc_id, item_id, n as n_item, c as n_shared, c / n as containment from hit join bn using (item_id) where c >= 0.8 * n - 1e-9
+    """,
+    "op4_url_lists": r"""
+        with p as (
+            select page_id, url, date '2024-01-01' + (page_id * 7919 % 366)::int as at,
+                   rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.') as host,
+                   split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/', 1) as seg from pages),
+        v as (select distinct 'block' list, 'host' kind, host as value from p union select 'block', 'domain', regexp_extract(host, '([^.]+\.[^.]+)$', 1) from p
+              union select 'allow', 'prefix', host || '/' || seg from p),
+        d as (select *, md5(kind || ':' || value) d from v where value is not null and value <> ''),
+        n as (select *, ('0x' || d[2:3])::int a, ('0x' || d[4:5])::int b, ('0x' || d[6:7])::int c from d where d[1] < '8'),
+        t as (select list, kind, value, d, date '2024-01-01' + a as f, date '2024-01-01' + a + 20 + b % 128 as g, date '2024-01-01' + a + 20 + b % 128 + 10 + c % 64 as r from n),
+        iv as (select list, kind, value, f as since, g as until from t union all select list, kind, value, r, null from t where d[8] < '8'),
+        m as (
+            select p.page_id, iv.list, iv.kind, iv.value from p join iv on p.at >= iv.since and (iv.until is null or p.at < iv.until) and host <> ''
+             and ((iv.kind = 'host' and iv.value = host) or (iv.kind = 'domain' and (host = iv.value or ends_with(host, '.' || iv.value)))
+               or (iv.kind = 'prefix' and iv.value = host || '/' || seg))),
+        o as (select *, row_number() over (partition by page_id order by length(value) desc, list = 'allow' desc, list desc, kind || ':' || value desc) k,
+                     count(*) over (partition by page_id) c from m)
+        select p.page_id, coalesce(o.list, 'none') as verdict, o.kind || ':' || o.value as entry, coalesce(c, 0) as n_active
+        from p left join o on o.page_id = p.page_id and k = 1
+    """,
+}
