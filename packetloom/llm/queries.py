@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import byte_bpe, decontaminate, html_text, language_id, nearest, token_files, url_lists
+from packetloom.llm import byte_bpe, decontaminate, html_text, language_id, nearest, substring_dedup, suffix_dedup, token_files, url_lists
 from packetloom.session import scratch_path
 
 
@@ -76,6 +76,14 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -87,6 +95,8 @@ QUERIES = {
     "op4_url_lists": op4_url_lists,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_nearest": op6_nearest,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
 
@@ -123,4 +133,15 @@ ORACLES: dict[str, str] = {
         select p.page_id, coalesce(o.list, 'none') as verdict, o.kind || ':' || o.value as entry, coalesce(c, 0) as n_active
         from p left join o on o.page_id = p.page_id and k = 1
     """,
+    "op8_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+        v as (select doc_id, w[i] as word, i from (select doc_id, w, unnest(generate_series(1, len(w))) i from d)),
+        g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') s from (select doc_id, w, unnest(generate_series(1, len(w) - 12)) i from d)),
+        m as (select s, min(doc_id) lo from g group by s),
+        h as (select doc_id, i from g join m using (s) where lo < doc_id),
+        c as (select distinct doc_id, unnest(generate_series(i, i + 12)) i from h),
+        k as (select doc_id, string_agg(word, ' ' order by i) t, count(*) n from v anti join c using (doc_id, i) group by doc_id)
+        select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from d left join k using (doc_id)
+    """,
 }
