@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import byte_bpe, decontaminate, html_text, language_id, nearest, substring_dedup, suffix_dedup, token_files, url_lists
+from packetloom.llm import byte_bpe, decontaminate, html_text, jaccard_join, language_id, nearest, substring_dedup, suffix_dedup, token_files, url_lists
 from packetloom.session import scratch_path
 
 
@@ -76,6 +76,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op4_url_lists": op4_url_lists,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_nearest": op6_nearest,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,

@@ -28,14 +28,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.llm.common import list_column, pieces, stored
 from packetloom.llm.hashes import Runs, text_bytes
 
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 ASKED, RUN, CONTESTED, WINDOW = range(4)
-#: Columns of an entry; the top bit of ``at`` says that its piece has met it several times.
-ENTRY = {"doc": "<i8", "key": "<i4", "at": "<u4", "a": "<u8", "b": "<u8"}
+#: Columns of packed entries; the top bit of ``at`` and ``n`` says that a piece has met an entry several times.
+TYPES = {"doc": "<i8", "key": "<i4", "at": "<u4", "a": "<u8", "b": "<u8", "sid": "<i8", "pivot": "<i8", "n": "<u4"}
+ENTRY = ("doc", "key", "at", "a", "b")
 ANSWER = ("doc", "key", "at")
 MANY = np.uint32(1 << 31)
 PACKED = "bucket int, kind int, packed binary"
@@ -44,11 +46,15 @@ Entries = dict[str, np.ndarray]
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, key, doc_id, text): an id that orders, and a hash that tells apart rows with one id."""
+def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(doc, key, doc_id, text): an id that orders, and a hash that tells apart rows with one id.
+
+    With ``carry``, a struct of those columns travels in place of doc_id.
+    """
+    row = F.struct(*[docs[c] for c in carry]) if carry else F.col("doc_id")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(doc.alias("doc"), F.hash(text).alias("key"), "doc_id", text.alias("text"))
+    return docs.select(doc.alias("doc"), F.hash(text).alias("key"), row.alias("doc_id"), text.alias("text"))
 
 
 def squeezed(base: DataFrame) -> DataFrame:
@@ -61,8 +67,8 @@ def squeezed(base: DataFrame) -> DataFrame:
                 raw = [press.compress(x.as_buffer()) for x in part.column(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(raw, pa.binary())], names=["doc", "key", "doc_id", "small"])
 
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.select("doc", "key", "doc_id", "text").mapInArrow(fn, f"doc long, key int, doc_id {kind}, small binary")
+    rows = base.select("doc", "key", "doc_id", "text")
+    return rows.mapInArrow(fn, T.StructType([*rows.schema.fields[:3], T.StructField("small", T.BinaryType())]))
 
 
 def unsqueezed(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -102,7 +108,7 @@ def pack(entries: Entries, kind: int, buckets: np.ndarray) -> Iterator[pa.Record
 
 
 def unpack(rows: list[pa.Buffer], columns: tuple[str, ...]) -> Entries:
-    types = [np.dtype(ENTRY[c]) for c in columns]
+    types = [np.dtype(TYPES[c]) for c in columns]
     width = sum(t.itemsize for t in types)
     parts = []
     for raw in rows:
@@ -159,11 +165,11 @@ def ask(entries: Entries, buckets: int, smaller: bool, kind: int = RUN) -> Itera
     yield from answers(entries, repeat, kind, buckets)
     if not smaller:
         entries["at"] = entries["at"] | np.where(repeat, MANY, np.uint32(0))
-    sent = chosen(entries, stands, tuple(ENTRY))
+    sent = chosen(entries, stands, ENTRY)
     yield from pack(sent, ASKED, (sent["a"] % np.uint64(buckets)).astype(np.int64))
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], skip: int | None = None):
+def by_bucket(batches: Iterator[pa.RecordBatch], skip: int | None = None):
     """(bucket, kind to packed rows) of sorted rows; batches of rows that need no work come as (None, batch)."""
     at, held = None, {}
     for batch in batches:
@@ -185,11 +191,11 @@ def answered(asked: DataFrame, buckets: int, smaller: bool, kind: int = RUN) ->
     """Packed entries brought together by bucket; answers already known pass through."""
 
     def fn(batches):
-        for bucket, held in _by_bucket(batches, ASKED):
+        for bucket, held in by_bucket(batches, ASKED):
             if bucket is None:
                 yield held
                 continue
-            entries = unpack(held[ASKED], tuple(ENTRY))
+            entries = unpack(held[ASKED], ENTRY)
             repeat, contested, _ = settle(entries, smaller)
             yield from answers(entries, repeat & ((entries["at"] & MANY) == 0), kind, buckets)
             if kind == RUN:
@@ -203,7 +209,7 @@ def by_document(found: DataFrame) -> DataFrame:
     columns = ("runs", "contested", "windows")
 
     def fn(batches):
-        for _, held in _by_bucket(batches):
+        for _, held in by_bucket(batches):
             parts = [unpack(held.get(kind, []), ANSWER) for kind in (RUN, CONTESTED, WINDOW)]
             doc, key, at = (np.concatenate([p[c] for p in parts]) for c in ANSWER)
             kind = np.repeat(np.arange(3), [len(p["doc"]) for p in parts])
@@ -222,7 +228,7 @@ def run_entries(runs: Runs, doc: np.ndarray, key: np.ndarray) -> Entries:
     return {"doc": doc[runs.text], "key": key[runs.text], "at": runs.ordinal.astype(np.uint32), "a": runs.anchor, "b": runs.content}
 
 
-def repeated(docs: DataFrame, units: Units, window: int, gram: int, smaller: bool, compare) -> DataFrame:
+def repeated(docs: DataFrame, units: Units, window: int, gram: int, smaller: bool, compare, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, small, runs, windows) of every row; the lists are null where nothing repeats.
 
     ``runs`` are ordinals of whole repeated runs, ``windows`` starts of single repeated windows, ``small`` the text
@@ -230,6 +236,7 @@ def repeated(docs: DataFrame, units: Units, window: int, gram: int, smaller: boo
     """
     base = keyed(docs)
     buckets = bucket_count(base)
+    whole = keyed(docs, carry)
 
     def fn(batches):
         for batch in batches:
@@ -242,7 +249,7 @@ def repeated(docs: DataFrame, units: Units, window: int, gram: int, smaller: boo
     contested = by_document(found.where(F.col("kind") == CONTESTED)).select("doc", "key", "contested")
     suspects = squeezed(base).join(contested, ["doc", "key"]).select("doc", "key", "small", "contested")
     every = by_document(found.where(F.col("kind") == RUN).unionByName(compare(suspects, buckets)))
-    return squeezed(base).join(every.select("doc", "key", "runs", "windows"), ["doc", "key"], "left").select("doc_id", "small", "runs", "windows")
+    return squeezed(whole).join(every.select("doc", "key", "runs", "windows"), ["doc", "key"], "left").select("doc_id", "small", "runs", "windows")
 
 
 def covered(runs: Runs, text: int, n: int, whole: list[int] | None, single: list[int] | None, window: int) -> np.ndarray:
@@ -258,3 +265,11 @@ def covered(runs: Runs, text: int, n: int, whole: list[int] | None, single: list
         np.add.at(delta, starts, 1)
         np.add.at(delta, starts + window, -1)
     return np.cumsum(delta[:-1]) > 0
+
+
+def result_schema(found: DataFrame, count: str, kept: T.DataType) -> T.StructType:
+    """Columns of a removal: the row's id, the count of its units, how many go, the stretches that go, and what stays."""
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    return T.StructType([
+        found.schema["doc_id"], T.StructField(count, T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("spans", T.ArrayType(span)), T.StructField("kept", kept)])

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.llm import repeats
 from packetloom.llm.hashes import BASES, Prefix, Runs, mixed, word_values
@@ -78,8 +79,7 @@ def remove(docs: DataFrame) -> DataFrame:
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
                     names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(fn, f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
+    return found.mapInArrow(fn, repeats.result_schema(found, "n_words", T.StringType()))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.llm import repeats
 from packetloom.llm.common import stored
@@ -194,9 +195,9 @@ def _buckets(batches):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): removed byte runs, and the remaining bytes."""
-    found = repeats.repeated(docs, byte_values, WINDOW, GRAM, False, _compare)
+    found = repeats.repeated(docs, byte_values, WINDOW, GRAM, False, _compare, carry)
 
     def fn(batches):
         for batch in batches:
@@ -217,8 +218,21 @@ def remove(docs: DataFrame) -> DataFrame:
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(fn, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    return found.mapInArrow(fn, repeats.result_schema(found, "n_bytes", T.BinaryType()))
+
+
+def remove_from(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs`` with the repeated bytes cut from ``text``; a character cut in two goes whole."""
+    carry = [c for c in docs.columns if c != "text"]
+    cut = remove(docs, carry)
+
+    @F.pandas_udf(T.StringType())
+    def readable(kept):
+        return kept.map(lambda raw: raw.decode("utf-8", "ignore"))
+
+    text = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("kept").cast("string"))
+    made = cut.select(*[F.col("doc_id").getField(c).alias(c) for c in carry], text.alias("text"))
+    return made.select(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
