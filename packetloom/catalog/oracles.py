@@ -503,17 +503,17 @@ PACKED = [*BYTES, "classed as (select *, replace(label, ' - Attempted', '') as y
  having count(*) filter (where label not like '% - Attempted') >= 100)""",
           "usable as (select * from classed where found and y in (select y from supported))",
           "packed as (select capture_file, flow_id, min(y) as y, " + ", ".join(
-              f"coalesce(max(case when pkt_order = {i} then substr(raw, 1, 128) end), repeat('0', 128)) as packet_{i}, "
-              f"count(*) filter (where pkt_order = {i}) = 0 as padding_{i}, max(case when pkt_order = {i} then timestamp_rel end) as t{i}" for i in range(3))
+              f"coalesce(max(case when pkt_order = {i} then substr(raw, 1, 512) end), repeat('0', 512)) as packet_{i}, "
+              f"count(*) filter (where pkt_order = {i}) = 0 as padding_{i}, max(case when pkt_order = {i} then timestamp_rel end) as t{i}" for i in range(5))
           + " from usable group by 1, 2)"]
-ORACLES["tensor_pack"] = with_(PACKED, select="select * exclude (t0, t1, t2) from packed")
+ORACLES["tensor_pack"] = with_(PACKED, select="select * exclude (t0, t1, t2, t3, t4) from packed")
 ORACLES["byte_features"] = with_(PACKED, select="""
-select capture_file, flow_id, 192 as width, (select sum(cast(concat('0x', substr(x, 2 * i - 1, 2)) as bigint)) from range(1, 193) r(i)) as byte_sum
-from (select capture_file, flow_id, concat(packet_0, packet_1, packet_2) as x from packed) p""")
+select capture_file, flow_id, 1280 as width, (select sum(cast(concat('0x', substr(x, 2 * i - 1, 2)) as bigint)) from range(1, 1281) r(i)) as byte_sum
+from (select capture_file, flow_id, concat(packet_0, packet_1, packet_2, packet_3, packet_4) as x from packed) p""")
 _ANGLE = "least(greatest(cast(t{i} as double), 0.0), 60.0) / 10.0"
 ORACLES["time_encoding"] = with_(PACKED, select="select capture_file, flow_id, " + ", ".join(
     f"case when padding_{i} then 0.0 else round({fn}({_ANGLE.format(i=i)} * {omega}), 4) end as c{i}{j}"
-    for i in range(3) for j, (fn, omega) in enumerate((("sin", "1.0"), ("cos", "1.0"), ("sin", "0.01"), ("cos", "0.01")))) + " from packed")
+    for i in range(5) for j, (fn, omega) in enumerate((("sin", "1.0"), ("cos", "1.0"), ("sin", "0.01"), ("cos", "0.01")))) + " from packed")
 
 # --- scores -------------------------------------------------------------------------------------------------
 
@@ -624,7 +624,7 @@ select dataset, case when config like 'rf%' then 'rf' else 'transformer' end as
 ORACLES["top_regions"] = with_(OCC, select="""
 select dataset, region, round(mean, 9) as mean, round(std, 9) as std, case when region like 'tcp%' then 'tcp' when region like 'payload%' then 'payload' else 'ip' end as category
 from (select dataset, region, avg(-delta_macro_f1) as mean, coalesce(stddev_samp(-delta_macro_f1), 0) as std from occlusion_runs group by 1, 2
- order by mean desc, dataset, region limit 13) t""")
+ qualify row_number() over (partition by dataset order by mean desc, region) <= 13) t""")
 ORACLES["missing_keys"] = with_(RUNS, select="""
 select dataset, replace(config, 'abs_5', 'abs_6') as config from runs where config like '%abs_5%' group by all""")
 

@@ -766,16 +766,16 @@ def byte_extraction(spark, sf):
 
 @query
 def tensor_pack(spark, sf):
-    packed = tn.pack_flows(_byte_rows(spark, sf), 3, 64, 100)
-    return packed.select(*fl.FLOW, "y", *[F.hex(F.get("packets", F.lit(i))).alias(f"packet_{i}") for i in range(3)],
-                         *[F.get("padding", F.lit(i)).alias(f"padding_{i}") for i in range(3)])
+    packed = tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100)
+    return packed.select(*fl.FLOW, "y", *[F.hex(F.get("packets", F.lit(i))).alias(f"packet_{i}") for i in range(5)],
+                         *[F.get("padding", F.lit(i)).alias(f"padding_{i}") for i in range(5)])
 
 
 @query
 def byte_features(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    packed = tn.byte_features(tn.pack_flows(_byte_rows(spark, sf), 3, 64, 100))
+    packed = tn.byte_features(tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100))
     values = vector_to_array("features")
     return packed.select(*fl.FLOW, F.size(values).alias("width"),
                          F.rint(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * 255)).cast("long").alias("byte_sum"))
@@ -783,9 +783,9 @@ def byte_features(spark, sf):
 
 @query
 def time_encoding(spark, sf):
-    packed = tn.pack_flows(_byte_rows(spark, sf), 3, 64, 100).withColumn("code", tn.time_encoding("times", "padding", 4))
+    packed = tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100).withColumn("code", tn.time_encoding("times", "padding", 4))
     return packed.select(*fl.FLOW, *[
-        F.round(F.get(F.get("code", F.lit(i)), F.lit(j)), 4).alias(f"c{i}{j}") for i in range(3) for j in range(4)])
+        F.round(F.get(F.get("code", F.lit(i)), F.lit(j)), 4).alias(f"c{i}{j}") for i in range(5) for j in range(4)])
 
 
 # --- scores ----------------------------------------------------------------------------------------------
@@ -848,13 +848,13 @@ def _model_rows(spark, sf):
 
 @query
 def forest_scores(spark, sf):
-    built = builds.train_forest(_model_rows(spark, sf), SEED, 50, trees=10, depth=6)
+    built = builds.train_forest(_model_rows(spark, sf), SEED, 50, trees=100, depth=30)
     return built.classes
 
 
 @query
 def forest_importances(spark, sf):
-    built = builds.train_forest(_model_rows(spark, sf), SEED, 50, trees=10, depth=6, extra_drop=sel.INITIAL_WINDOW)
+    built = builds.train_forest(_model_rows(spark, sf), SEED, 50, trees=100, depth=30, extra_drop=sel.INITIAL_WINDOW)
     return built.importances
 
 
@@ -875,12 +875,12 @@ for _name, _options in {"xgb": {"rounds": 3, "depth": 3}, "gnb": {}, "logreg": {
 
 @query
 def occlusion_sweep(spark, sf):
-    packed = tn.pack_flows(_byte_rows(spark, sf), 3, 64, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets").persist()
+    packed = tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets").persist()
     split = sp.train_test_split(packed, "label", fl.FLOW, SEED)
     train = tn.byte_features(split.where("split = 'train'"))
-    model = md.fit("rf", train, "features", SEED, trees=5, depth=5)
+    model = md.fit("rf", train, "features", SEED, trees=100, depth=30)
     score = lambda rows: md.predict(model, tn.byte_features(rows), "features")
-    drops, _ = tn.occlusion_sweep(split.where("split = 'test'"), score, [r for r in hb.OCCLUSION_REGIONS if r[2] <= 64])
+    drops, _ = tn.occlusion_sweep(split.where("split = 'test'"), score)
     return drops
 
 

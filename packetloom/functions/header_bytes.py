@@ -37,9 +37,9 @@ def byte_at(packet: Column, at: Column | int) -> Column:
     return F.when(text != "", F.conv(text, 16, 10).cast("int"))
 
 
-def zeros(count: Column | int, most: int = N_BYTES) -> Column:
-    """``count`` zero bytes, at most ``most``."""
-    return F.substring(F.lit(bytes(most)), F.lit(1), _int(count))
+def zeros(count: Column | int) -> Column:
+    """``count`` zero bytes, however many; none for a negative count."""
+    return F.unhex(F.repeat(F.lit("00"), _int(count)))
 
 
 def _patch(masked: Column, packet: Column, start: Column | int, end: Column | int, where: Column | None = None) -> Column:
@@ -161,7 +161,7 @@ def repair_checksum(packet: Column) -> Column:
 def to_fixed_length(packet: Column, size: int = N_BYTES) -> Column:
     """First ``size`` bytes, zero padded; NULL (no frame) becomes all zeros."""
     head = F.coalesce(F.substring(packet, 1, size), F.unhex(F.lit("")))
-    return F.concat(head, zeros(F.lit(size) - F.octet_length(head), size))
+    return F.concat(head, zeros(F.lit(size) - F.octet_length(head)))
 
 
 def strip_ethernet(frame: Column) -> Column:

@@ -112,21 +112,32 @@ def incomplete_runs(runs: DataFrame, seeds: int = len(SEEDS)) -> DataFrame:
 
 # --- grids ---------------------------------------------------------------------------------
 
+#: Byte-model inputs as (scope, mask, packet counts). ``first`` is the first data set, ``rest`` the others.
+BYTE_INPUTS = (
+    ("first", "basic", (1, 2, 3, 4, 5)), ("first", "strict", (1, 2, 3, 4, 5)),
+    ("first", "csum_fix", (3, 5)), ("first", "strict_csum", (3, 5)),
+    ("first", "occ_top1", (3, 5)), ("first", "occ_top2", (3, 5)), ("first", "occ_top3", (3, 5)), ("first", "occ_top4", (3, 5)), ("first", "occ_top5", (3, 5)),
+    ("rest", "basic", (3, 4, 5)), ("rest", "strict", (3,)), ("rest", "occ_top5", (3,)),
+)
+BYTE_SIZES = (("", ("transformer", "bigru")), ("_d16", ("transformer",)), ("_d128", ("transformer",)))
+
+
 def byte_grid(spark: SparkSession) -> DataFrame:
-    """Byte-model configurations: dataset, kind, config, inputs, seed."""
-    probes = [("basic", n) for n in (1, 2, 3, 4, 5)] + [("strict", n) for n in (1, 2, 3, 4, 5)]
-    probes += [(v, n) for v in ("csum_fix", "strict_csum", *[f"occ_top{k}" for k in (1, 2, 3, 4, 5)]) for n in (3, 5)]
-    rows = []
-    for arch in ("transformer", "bigru"):
-        rows += [(DATASETS[0], f"{arch}_pkt{n}_{v}", n, v, n) for v, n in probes]
-        for dataset in DATASETS[1:]:
-            rows += [(dataset, f"{arch}_pkt{n}_basic", n, "basic", 5) for n in (3, 4, 5)]
-    rows += [(DATASETS[0], f"transformer_d{d}_pkt5_basic", 5, "basic", 5) for d in (16, 128)]
-    rows += [(d, f"transformer_pkt3_{v}", 3, v, 5) for d in DATASETS[1:] for v in ("strict", "occ_top5")]
-    table = spark.createDataFrame(rows, "dataset string, config string, packets int, mask string, stored int")
-    suffix = F.when(F.col("mask") == "basic", "").otherwise(F.concat(F.lit("_"), F.col("mask")))
-    stored = F.concat(F.lit("raw_bytes_pkt"), F.col("stored").cast("string"), F.lit("_b256"), suffix)
-    return _with_seeds(table.select("dataset", F.lit("byte").alias("kind"), "config", stored.alias("input")))
+    """Byte-model configurations: dataset, kind, config, inputs, seed.
+
+    The table of inputs, joined with the models that are trained on them: both on every input of the first
+    data set, masked inputs of the others by the transformer alone, other sizes on five unmasked packets.
+    """
+    inputs = spark.createDataFrame(BYTE_INPUTS, "scope string, mask string, packets array<int>").withColumn("packets", F.explode("packets"))
+    data = spark.createDataFrame([(d, "first" if d == DATASETS[0] else "rest") for d in DATASETS], "dataset string, scope string")
+    models = spark.createDataFrame([(a + s, a, s) for s, archs in BYTE_SIZES for a in archs], "model string, arch string, size string")
+    plain, first = F.col("mask") == "basic", F.col("scope") == "first"
+    trained = F.when(F.col("size") != "", first & plain & (F.col("packets") == 5)).otherwise(first | plain | (F.col("arch") == "transformer"))
+    table = data.join(inputs, "scope").join(models, trained)
+    held = F.when(first & (F.col("size") == ""), F.col("packets")).otherwise(F.lit(5))
+    config = F.concat_ws("_", "model", F.concat(F.lit("pkt"), F.col("packets").cast("string")), "mask")
+    stored = F.concat(F.lit("raw_bytes_pkt"), held.cast("string"), F.lit("_b256"), F.when(plain, "").otherwise(F.concat(F.lit("_"), F.col("mask"))))
+    return _with_seeds(table.select("dataset", F.lit("byte").alias("kind"), config.alias("config"), stored.alias("input")))
 
 
 def forest_grid(spark: SparkSession) -> DataFrame:
@@ -234,11 +245,12 @@ def packet_series(aggregated: DataFrame) -> DataFrame:
 
 
 def top_regions(aggregated: DataFrame, count: int = 13) -> DataFrame:
-    """Regions with the largest mean loss and the header they belong to."""
+    """The regions of each data set with the largest mean loss, and the header they belong to."""
     family = F.create_map(*[F.lit(x) for kv in REGION_FAMILIES.items() for x in kv])
-    return aggregated.select(
+    order = Window.partitionBy("dataset").orderBy(F.desc("mean"), "region")
+    return aggregated.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= count).select(
         "dataset", "region", "mean", "std", F.coalesce(F.try_element_at(family, F.col("region")), F.lit("ip")).alias("category")
-    ).orderBy(F.desc("mean"), "dataset", "region").limit(count)
+    ).orderBy("dataset", F.desc("mean"), "region")
 
 
 def missing_keys(wanted: DataFrame, aggregated: DataFrame, key: Sequence[str] = ("dataset", "config")) -> DataFrame:

@@ -33,7 +33,6 @@ from packetloom.session import scratch_path
 MAX_KEY_ROWS = 4_000_000
 BLOCK_ROWS = 250_000
 MAX_CARRY_BYTES = 256 << 20
-MAX_BROADCAST_KEYS = 100_000
 CHUNK = "_chunk"
 
 
@@ -106,24 +105,14 @@ def _stream(batches: Iterator[pa.RecordBatch], keys, kernel: Kernel, schema: pa.
         yield from emit(table, key_starts(table, keys))
 
 
-def _surely_small(df: DataFrame, max_key_rows: int) -> bool:
-    """The optimizer expects less than eight bytes per allowed row, so no key can
-    matter. A wrong estimate costs speed, never rows."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) < 8 * max_key_rows
-
-
 def heavy_keys(df: DataFrame, keys: Sequence[str], max_key_rows: int) -> DataFrame | None:
     """Keys above the limit, or None. At most rows/limit keys can come back; the count
     reads the key columns only and is combined before its shuffle."""
-    if _surely_small(df, max_key_rows):
-        return None
     heavy = df.groupBy(*keys).count().where(F.col("count") > max_key_rows).select(*keys)
     found = heavy.collect()
     if not found:
         return None
-    table = df.sparkSession.createDataFrame(found, heavy.schema)
-    return F.broadcast(table) if len(found) <= MAX_BROADCAST_KEYS else table
+    return df.sparkSession.createDataFrame(found, heavy.schema)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import header_bytes as hb
 from packetloom.functions.classes import (
-    DAY_CAP_DEFAULT, DAY_CAPS, DAY_EXCLUDED, FOLDER_CAPS, GROUND_TRUTH_CAPS, GROUND_TRUTH_CODES, collapse_attempt,
+    DAY_EXCLUDED, GROUND_TRUTH_CODES, collapse_attempt,
 )
 from packetloom.functions.packets import apply_finite_policy
 from packetloom.operators import cuts as ct
@@ -81,12 +81,13 @@ def registry_labelled_cuts(
 
 
 def folder_labelled_flows(
-    packets: DataFrame, cuts: Sequence[ct.Cut], seed: int = 42, caps: Mapping[str, int] = FOLDER_CAPS,
+    packets: DataFrame, cuts: Sequence[ct.Cut], seed: int = 42, caps: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Class-folder data: the label is the packet's folder; the same capped flows in
-    every cut."""
+    """Class-folder data: the label is the packet's folder; the same flows in every cut.
+
+    All flows are kept unless ``caps`` are given (the study's own are ``FOLDER_CAPS``)."""
     base = fl.group_into_flows(packets, carry=["label", *PACKET_INPUTS])
-    kept = sp.cap_per_class(fl.first_packets(base).select(*fl.FLOW, "label"), "label", fl.FLOW, seed, caps)
+    kept = sp.cap_per_class(fl.first_packets(base).select(*fl.FLOW, "label"), "label", fl.FLOW, seed, caps or {})
     chosen = base.join(kept.select(*fl.FLOW), fl.FLOW, "left_semi")
     return flow_features(ct.cut_grid(chosen, cuts), by=["label", "cut"])
 
@@ -99,23 +100,25 @@ def truth_labelled_flows(
     return lb.label_by_nearest(features, lb.prepare_ground_truth(ground_truth), codes)
 
 
-def assemble(flows: DataFrame, seed: int = 42, caps: Mapping[str, int] = GROUND_TRUTH_CAPS) -> DataFrame:
-    """Class caps over all scenarios. The order key is the flow, so every cut keeps
-    the same flows."""
-    return sp.cap_per_class(flows, "label", fl.FLOW, seed, caps)
+def assemble(flows: DataFrame, seed: int = 42, caps: Mapping[str, int] | None = None) -> DataFrame:
+    """Flows of all scenarios, whole unless ``caps`` are given (the study's own are
+    ``GROUND_TRUTH_CAPS``). The order key is the flow, so every cut keeps the same flows."""
+    return sp.cap_per_class(flows, "label", fl.FLOW, seed, caps or {})
 
 
 def flows_for_bytes(
-    registry: DataFrame, seed: int = 42, caps: Mapping[str, int] = DAY_CAPS, default: int = DAY_CAP_DEFAULT,
+    registry: DataFrame, seed: int = 42, caps: Mapping[str, int] | None = None, default: int | None = None,
     excluded: Sequence[str] = DAY_EXCLUDED, within: Sequence[str] = (), anchor: DataFrame | None = None,
 ) -> DataFrame:
-    """Matched flows of wanted classes, capped per day and class, or anchored to an
-    earlier extraction."""
+    """Matched flows of wanted classes, or those anchored to an earlier extraction.
+
+    All are kept unless ``caps`` or a ``default`` cap per day and class are given (the study's
+    own are ``DAY_CAPS`` and ``DAY_CAP_DEFAULT``)."""
     matched = registry.where("matched").withColumn("y", collapse_attempt("label"))
     wanted = matched.where(~F.col("y").isin(list(excluded)))
     if anchor is not None:
         return lb.anchor_flows(wanted, anchor)
-    return sp.cap_per_class(wanted, "y", fl.FLOW, seed, caps, default, within)
+    return sp.cap_per_class(wanted, "y", fl.FLOW, seed, caps or {}, default, within)
 
 
 def extract_bytes(

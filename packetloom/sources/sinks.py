@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +17,10 @@ from packetloom.functions.classes import shown_label
 
 def exists(df: DataFrame, path: str) -> bool:
     """Committed output is present; what a failed job left (``_temporary``) is not."""
-    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    return system.exists(target) and any(
-        not f.getPath().getName().startswith(("_", ".")) for f in system.listStatus(target)
-    )
+    try:
+        return bool(df.sparkSession.read.parquet(path).columns)
+    except AnalysisException:  # no such folder, or no finished file in it
+        return False
 
 
 def write_table(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +77,26 @@ def number_packets(packets: DataFrame, tie_break: Sequence[str] = ()) -> DataFra
     return ranked.withColumn("capture_packet_index", F.col("_rank") - 1).drop("_rank")
 
 
+def in_file_order(raw: DataFrame, name: str) -> DataFrame:
+    """``name``: a number that rises with file path and place in the file, however the files are split.
+
+    Rows are numbered within their block; a block starts at its byte offset, which no earlier block's
+    rows reach, since a row takes at least a byte. One row per block is joined back.
+    """
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_row"))
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_row").alias("_first"))
+    files = blocks.groupBy("_file").agg(F.count(F.lit(1))).select("_file", F.row_number().over(Window.orderBy("_file")).alias("_nth"))  # one row per file
+    full = placed.join(blocks.join(files, "_file"), ["_file", "_block"])
+    number = F.shiftleft(F.col("_nth").cast("long"), 42) + F.col("_block") + F.col("_row") - F.col("_first")
+    return full.select(*raw.columns, number.alias(name))
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Label registry CSV; text timestamps to microseconds, no category is -1."""
     schema = ", ".join(f"`{c}` string" for c in REGISTRY_FIELDS)
-    raw = spark.read.csv(path, header=True, schema=schema)
-    named = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(REGISTRY_FIELDS, REGISTRY_NAMES)],
-                       F.monotonically_increasing_id().alias("row_ord"))
+    raw = in_file_order(spark.read.csv(path, header=True, schema=schema), "row_ord")
+    named = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(REGISTRY_FIELDS, REGISTRY_NAMES)], "row_ord")
     return clean_registry(named)
 
 
@@ -102,13 +116,13 @@ def read_ground_truth(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     Columns go by name, so the header is read from the files; all values stay text
     until :func:`prepare_ground_truth`.
     """
-    raw = spark.read.csv(paths, header=True, inferSchema=False)
+    raw = in_file_order(spark.read.csv(paths, header=True, inferSchema=False), "gt_ord")
     names = {c: c.replace(BOM, "").strip() for c in raw.columns}
-    flat = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if n in TRUTH_FIELDS])
+    flat = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if n in (*TRUTH_FIELDS, "gt_ord")])
     missing = set(TRUTH_FIELDS) - set(flat.columns)
     if missing:
         raise ValueError(f"ground truth lacks columns {sorted(missing)}")
-    return flat.select(*TRUTH_FIELDS, F.monotonically_increasing_id().alias("gt_ord")).withColumn(
+    return flat.select(*TRUTH_FIELDS, "gt_ord").withColumn(
         "ts", F.col("ts").try_cast("double")
     )
 

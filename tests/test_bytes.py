@@ -127,3 +127,13 @@ def test_cooked_and_big_endian(spark, tmp_path):
     p = ip(proto=17, body=b"12345678")
     (tmp_path / "x.pcap").write_bytes(pcap([bytes(14) + b"\x08\x00" + p], ">", 113))
     assert bytes(fr.read_frames(spark, str(tmp_path)).first().ip_bytes) == p
+
+
+def test_zeroed_ranges_keep_every_length(spark):
+    from pyspark.sql import functions as F
+
+    from packetloom.functions import header_bytes as hb
+
+    rows = spark.range(0, 2001, 37).select(F.col("id").cast("int").alias("n"), F.unhex(F.repeat(F.lit("AB"), F.col("id").cast("int"))).alias("p"))
+    got = rows.select("n", F.octet_length(hb.zero_range(F.col("p"), 0, 1000)).alias("m"), F.hex(hb.zero_range(F.col("p"), 0, 1000)).alias("h")).collect()
+    assert all(r.m == r.n and r.h == "00" * min(r.n, 1000) + "AB" * max(r.n - 1000, 0) for r in got)

@@ -119,3 +119,15 @@ def test_ordered_cut_reaches_the_scan(spark, tmp_path):
     spark.range(10).selectExpr("id as flow_id", "cast(id as int) as packet_index", "'x' as other").write.parquet(path)
     plan = tb.read_first_packets(spark, path, 3, ["flow_id"])._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(packet_index,3)" in plan and "other" not in plan
+
+
+def test_rows_follow_their_files_whatever_their_size(spark, tmp_path):
+    for name, rows in (("a.csv", [("k", "first")]), ("b.csv", [("k", f"later{i}") for i in range(50_000)])):
+        (tmp_path / name).write_text("key,value\n" + "".join(f"{k},{v}\n" for k, v in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = tb.in_file_order(spark.read.csv(str(tmp_path), header=True), "ord")
+        got = rows.agg(F.min_by("value", "ord"), F.max_by("value", "ord"), F.countDistinct("ord")).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tuple(got) == ("first", "later49999", 50_001)
