@@ -30,7 +30,7 @@ from packetloom.llm import repeats
 from packetloom.llm.common import stored
 from packetloom.llm.hashes import BASES, BYTE, Prefix, Runs, mixed
 
-WINDOW, GRAM, CROWD = 400, 200, 20_000
+WINDOW, GRAM, CROWD = 400, 200, 1000
 SEGMENT = "bucket int, anchor long, doc long, key int, at int, lead int, count int, piece binary"
 
 
