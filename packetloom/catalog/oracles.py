@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from packetloom.catalog.oracle_parts import features, flow_table, flows_from, grouping, with_
-from packetloom.catalog.views import duck_ctes
+from packetloom.catalog.views import ABSENT, duck_ctes
 from packetloom.functions.classes import CLASS_GROUPS, GROUND_TRUTH_CLASSES, GROUP_OF
 
 ORACLES: dict[str, str] = {}
@@ -282,9 +282,9 @@ select count(*) as requested, count(*) filter (where matched) as kept, count(*)
 ORACLES["packets_labelled"] = with_(REG, select="""
 select l.label, count(*) as packets from flow_packets p join labelled l on p.capture_file = l.capture_file and p.flow_id = l.flow_id
 where l.matched group by 1""")
-ORACLES["bytes_attached"] = with_(view("frames"), FLOWS, select="""
+ORACLES["bytes_attached"] = with_(view("frames"), FLOWS, select=f"""
 select p.capture_file, p.flow_id, p.packet_index as pkt_order, f.ip_hex is not null as found, length(f.ip_hex) // 2 as bytes
-from flow_packets p left join (select * from frames where event_id % 10 <> 3) f
+from flow_packets p left join (select * replace ({ABSENT} as capture_packet_index) from frames) f
  on p.capture_file = f.capture_file and p.capture_packet_index = f.capture_packet_index where p.packet_index < 3""")
 
 # --- reports -----------------------------------------------------------------------------------------
@@ -413,7 +413,7 @@ _WEIGHT = "cast(sum(count) over () as double) / (count(*) over () * count)"
 ORACLES["class_weights"] = with_(DOCS, select=f"select label as class, count, {_WEIGHT} as weight from (select label, count(*) as count from docs group by 1) c")
 ORACLES["sample_weights"] = with_(DOCS, select=f"select label, count as rows, {_WEIGHT} as weight from (select label, count(*) as count from docs group by 1) c")
 ORACLES["flows_of_byte_table"] = with_(FLOWS, select="""
-select capture_file, flow_id, capture_packet_index, packet_index as pkt_order from flow_packets where packet_index = 1""")
+select capture_file, flow_id, capture_packet_index, packet_index as pkt_order from flow_packets where packet_index = 0""")
 
 # --- bytes: the same rules on hex text --------------------------------------------------------------
 
@@ -491,10 +491,10 @@ select count(*) as rows, count(*) as rows_sane, count(*) filter (where s.proto =
  count(*) filter (where s.proto = 6 and substr(s.h, 65, 1) in ('6', '7', '8', '9', 'A', 'B', 'C', 'D', 'E', 'F')) as tcp_with_options,
  count(*) filter (where s.h <> t.h) as changed from stored s join {_two_name} t using (event_id)""")
 ORACLES["link_stripped"] = with_(view("frames"), select="select event_id, case when event_id % 4 < 3 then ip_hex end as packet from frames")
-BYTES = [*view("registry"), *KEPT, *HEAD, *registered(), """byte_rows as (select p.capture_file, p.flow_id, p.packet_index as pkt_order,
+BYTES = [*view("registry"), *KEPT, *HEAD, *registered(), f"""byte_rows as (select p.capture_file, p.flow_id, p.packet_index as pkt_order,
  cast(cast(p.ts_us - p.flow_start_us as double) / 1e6 as float) as timestamp_rel, coalesce(s.h, repeat('0', 512)) as raw, coalesce(a.size, 0) as real_length,
  s.h is not null as found, l.label from flow_packets p join labelled l on l.matched and p.capture_file = l.capture_file and p.flow_id = l.flow_id
- left join (select * from stored where event_id % 10 <> 3) s on s.capture_file = p.capture_file and s.capture_packet_index = p.capture_packet_index
+ left join (select * replace ({ABSENT} as capture_packet_index) from stored) s on s.capture_file = p.capture_file and s.capture_packet_index = p.capture_packet_index
  left join addressed a on a.event_id = s.event_id where p.packet_index < 5)"""]
 ORACLES["byte_extraction"] = with_(BYTES, select="""
 select capture_file, flow_id, pkt_order, md5(unhex(raw)) as digest, real_length, found, label from byte_rows""")

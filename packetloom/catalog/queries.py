@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.catalog.views import load, view
+from packetloom.catalog.views import ABSENT, load, view
 from packetloom.functions import classes as cl
 from packetloom.functions import header_bytes as hb
 from packetloom.functions import packets as pk
@@ -467,9 +467,13 @@ def packets_labelled(spark, sf):
     return lb.label_packets(grouped(spark, sf), labels).groupBy("label").agg(F.count(F.lit(1)).alias("packets"))
 
 
+def _some_absent(frames):
+    return frames.withColumn("capture_packet_index", F.expr(ABSENT))
+
+
 @query
 def bytes_attached(spark, sf):
-    some = byte_frames(spark, sf).where("event_id % 10 <> 3")
+    some = _some_absent(byte_frames(spark, sf))
     first = ct.first_packets_for_bytes(grouped(spark, sf), 3)
     return lb.attach_bytes(first, some).select(
         *fl.FLOW, "pkt_order", F.col("ip_bytes").isNotNull().alias("found"), F.octet_length("ip_bytes").alias("bytes"))
@@ -681,7 +685,7 @@ def split_ledger(spark, sf):
 
 @query
 def flows_of_byte_table(spark, sf):
-    rows = ct.first_packets_for_bytes(grouped(spark, sf), 5).where("pkt_order > 0")
+    rows = ct.first_packets_for_bytes(grouped(spark, sf), 5)
     return sp.flows_of_bytes(rows, fl.FLOW).select(*fl.FLOW, "capture_packet_index", "pkt_order")
 
 
@@ -754,7 +758,7 @@ def link_stripped(spark, sf):
 
 
 def _byte_rows(spark, sf, packets=5):
-    frames = byte_frames(spark, sf).where("event_id % 10 <> 3")
+    frames = _some_absent(byte_frames(spark, sf))
     chosen = registry_labelled(spark, sf).where("matched")
     return builds.extract_bytes(grouped(spark, sf), chosen, frames, packets)
 
