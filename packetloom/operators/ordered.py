@@ -32,7 +32,6 @@ from packetloom.session import scratch_path
 
 MAX_KEY_ROWS = 4_000_000
 BLOCK_ROWS = 250_000
-MAX_CARRY_BYTES = 256 << 20
 CHUNK = "_chunk"
 
 
@@ -76,9 +75,13 @@ def key_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
 
 
 def _stream(batches: Iterator[pa.RecordBatch], keys, kernel: Kernel, schema: pa.Schema):
-    """Feed whole keys to the kernel in blocks, whatever the batch edges are."""
+    """Feed whole keys to the kernel in blocks, whatever the batch edges are.
+
+    A key that fills a block is looked at again only when the rows held have doubled, so
+    the work stays linear in the rows of a long key.
+    """
     held: list[pa.RecordBatch] = []
-    held_rows = 0
+    held_rows, wanted = 0, BLOCK_ROWS
 
     def emit(table: pa.Table, starts: np.ndarray):
         out, _ = kernel(table, starts, None, False)
@@ -89,17 +92,18 @@ def _stream(batches: Iterator[pa.RecordBatch], keys, kernel: Kernel, schema: pa.
             continue
         held.append(batch)
         held_rows += batch.num_rows
-        if held_rows < BLOCK_ROWS:
+        if held_rows < wanted:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         starts = key_starts(table, keys)
         last = int(starts[-1])
         if last == 0:
-            held, held_rows = table.to_batches(), table.num_rows
+            held, wanted = table.to_batches(), 2 * held_rows
             continue
         yield from emit(table.slice(0, last).combine_chunks(), starts[:-1])
         rest = table.slice(last)
         held, held_rows = rest.to_batches(), rest.num_rows
+        wanted = max(BLOCK_ROWS, 2 * held_rows)
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield from emit(table, key_starts(table, keys))
@@ -189,6 +193,17 @@ def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
             [pa.array(v, type=f.type) for v, f in zip(values, edge_arrow)], schema=edge_arrow
         )
 
+    def beside(states: dict) -> DataFrame:
+        """(chunk, state) as a table: states go to the tasks by a join, whatever their size."""
+        rows = [(chunk, bytearray(pickle.dumps(state))) for chunk, state in states.items()]
+        return spark.createDataFrame(rows, f"{CHUNK} int, state binary")
+
+    def with_states(part: DataFrame, states: dict, work, out_schema) -> DataFrame:
+        """``work(table, state)`` for every chunk of ``part``."""
+        def meet(table: pa.Table, held: pa.Table) -> pa.Table:
+            return work(table, pickle.loads(held.column("state")[0].as_py()))
+        return part.groupBy(CHUNK).cogroup(beside(states).groupBy(CHUNK)).applyInArrow(meet, out_schema)
+
     def survey(table: pa.Table) -> pa.Table:
         """State after a chunk when it can be known without the chunk before."""
         chunk = table.column(CHUNK)[0].as_py()
@@ -232,15 +247,15 @@ def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
         if not ready:
             break
 
-        def settle(table: pa.Table) -> pa.Table:
+        def settle(table: pa.Table, carry) -> pa.Table:
             chunk = table.column(CHUNK)[0].as_py()
             table, starts = tidy(table)
-            _, state = kernel(table, starts, ready[chunk], True)
+            _, state = kernel(table, starts, carry, True)
             key = key_at(table, 0)
             return edge_row(chunk, key, key, True, state)
 
         pending = frozen.where(F.col(CHUNK).isin(list(ready)))
-        for row in pending.groupBy(CHUNK).applyInArrow(settle, edge_schema).collect():
+        for row in with_states(pending, ready, settle, edge_schema).collect():
             edges[row["chunk"]].update(settled=True, state=pickle.loads(row["state"]))
 
     for chunk in present:
@@ -248,17 +263,13 @@ def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
         if prev is not None and edges[prev]["last"] == edge["first"] == edge["last"]:
             edge["state"] = kernel.inherit(edges[prev]["state"], edge["state"])
     carries = {c: carry_into(c)[1] for c in present}
-    if len(pickle.dumps(carries)) > MAX_CARRY_BYTES:
-        raise RuntimeError("chunk states exceed the broadcast bound; raise max_key_rows")
-    shared = spark.sparkContext.broadcast(carries)
 
-    def run(table: pa.Table) -> pa.Table:
-        chunk = table.column(CHUNK)[0].as_py()
+    def run(table: pa.Table, carry) -> pa.Table:
         table, starts = tidy(table)
-        out, _ = kernel(table, starts, shared.value[chunk], True)
+        out, _ = kernel(table, starts, carry, True)
         return out.select(arrow_schema.names).cast(arrow_schema)
 
-    return frozen.groupBy(CHUNK).applyInArrow(run, schema)
+    return with_states(frozen, carries, run, schema)
 
 
 def ranked_within(
