@@ -37,8 +37,9 @@ def label_by_rules(
 
     ``rules``: rule_pos, label, attacker_ips[], victim_ips[], victim_ports[] or NULL,
     start_us, end_us. ``policy``: ``first`` rule wins, or the ``narrowest`` window.
-    Rules are gathered per address pair, so flows meet them in one equi join that
-    keeps one row per flow, and the winner is picked inside the row.
+    ``rule_pos`` is unique. Rules are gathered per attacker, so each end of a flow meets
+    them in an equi join that keeps one row per flow; victims are tested and the winner
+    is picked inside the row. Nothing grows with attackers times victims.
     """
     if policy not in ("first", "narrowest"):
         raise ValueError(f"unknown policy {policy!r}")
@@ -46,44 +47,42 @@ def label_by_rules(
         raise ValueError("no attack rules: label an attack-free part with label_attack_free")
     margin = round(margin_seconds * 1e6)
     width = F.col("end_us") - F.col("start_us") if policy == "narrowest" else F.lit(0)
-    pairs = (
-        rules.withColumn("_attacker", F.explode(F.array_distinct("attacker_ips")))
-        .withColumn("_victim", F.explode(F.array_distinct("victim_ips")))
-        .withColumn("_lo", F.least("_attacker", "_victim"))
-        .withColumn("_hi", F.greatest("_attacker", "_victim"))
-        .select(
-            "_lo", "_hi",
-            F.struct(
-                width.alias("width"), F.col("rule_pos").alias("pos"), F.col("label").alias("label"),
-                F.array_contains("attacker_ips", F.col("_lo")).alias("lo_attacks"),
-                F.array_contains("attacker_ips", F.col("_hi")).alias("hi_attacks"),
-                F.col("victim_ports").alias("ports"),
-                (F.col("start_us") - margin).alias("start"), (F.col("end_us") + margin).alias("end"),
-            ).alias("rule"),
-        )
-        .groupBy("_lo", "_hi")
-        .agg(F.array_sort(F.collect_set("rule")).alias("_rules"))
+    rule = F.struct(
+        width.alias("width"), F.col("rule_pos").alias("pos"), F.col("label").alias("label"),
+        F.col("victim_ips").alias("victims"), F.col("victim_ports").alias("ports"),
+        (F.col("start_us") - margin).alias("start"), (F.col("end_us") + margin).alias("end"),
     )
-
-    def applies(rule: Column) -> Column:
-        src_is_lo = F.col("flow_src_ip") <= F.col("flow_dst_ip")
-        src_attacks = F.when(src_is_lo, rule["lo_attacks"]).otherwise(rule["hi_attacks"])
-        dst_attacks = F.when(src_is_lo, rule["hi_attacks"]).otherwise(rule["lo_attacks"])
-        on_port = (src_attacks & F.array_contains(rule["ports"], F.col("flow_dst_port"))) | (
-            dst_attacks & F.array_contains(rule["ports"], F.col("flow_src_port"))
-        )
-        free = rule["ports"].isNull() | (F.size(rule["ports"]) == 0)
-        return F.col("flow_start_us").between(rule["start"], rule["end"]) & (free | on_port)
-
-    winner = F.get(F.filter("_rules", applies), F.lit(0))["label"]
-    labelled = (
-        flows.drop("label", "label_encoded")
-        .withColumn("_lo", F.least("flow_src_ip", "flow_dst_ip"))
-        .withColumn("_hi", F.greatest("flow_src_ip", "flow_dst_ip"))
-        .join(pairs, ["_lo", "_hi"], "left")
-        .withColumn("label", F.coalesce(winner, F.lit(default)))
-        .drop("_lo", "_hi", "_rules")
+    attacks = rules.withColumn("_attacker", F.explode(F.array_distinct("attacker_ips"))).select("_attacker", rule.alias("rule"))
+    attacks = attacks.groupBy("_attacker").agg(F.collect_list("rule").alias("_rules"))
+
+    def applying(own: str, other: str, far_ip: str, far_port: str, near_port: str) -> Column:
+        """Rules under which one end attacks the other; ``other`` are those the far end attacks under."""
+        def applies(rule: Column) -> Column:
+            both = F.exists(other, lambda r: r["pos"] == rule["pos"])
+            free = rule["ports"].isNull() | (F.size(rule["ports"]) == 0)
+            on_port = F.array_contains(rule["ports"], F.col(far_port)) | (both & F.array_contains(rule["ports"], F.col(near_port)))
+            return (
+                F.array_contains(rule["victims"], F.col(far_ip))
+                & F.col("flow_start_us").between(rule["start"], rule["end"]) & (free | on_port)
+            )
+        return F.filter(own, applies)
+
+    def attacking(end: str, name: str) -> DataFrame:
+        return attacks.select(F.col("_attacker").alias(end), F.col("_rules").alias(name))
+
+    def held(name: str) -> Column:
+        return F.coalesce(name, F.array().cast(attacks.schema["_rules"].dataType)).alias(name)
+
+    met = flows.drop("label", "label_encoded")
+    columns = [F.col(c) for c in met.columns]
+    met = met.join(attacking("flow_src_ip", "_src_rules"), "flow_src_ip", "left").join(
+        attacking("flow_dst_ip", "_dst_rules"), "flow_dst_ip", "left"
+    ).select(*columns, held("_src_rules"), held("_dst_rules"))
+    found = F.concat(
+        applying("_src_rules", "_dst_rules", "flow_dst_ip", "flow_dst_port", "flow_src_port"),
+        applying("_dst_rules", "_src_rules", "flow_src_ip", "flow_src_port", "flow_dst_port"),
     )
+    labelled = met.select(*columns, F.coalesce(F.array_min(found)["label"], F.lit(default)).alias("label"))
     return labelled if codes is None else labelled.withColumn("label_encoded", encode_label("label", codes))
 
 
