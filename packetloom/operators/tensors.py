@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +53,17 @@ def pack_flows(
     )
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _scaled_bytes(packets: pd.Series) -> pd.Series:
-    return packets.map(lambda slots: np.frombuffer(b"".join(bytes(p) for p in slots), dtype=np.uint8) / 255.0)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _scaled_bytes(packets: pa.Array) -> pa.Array:
+    """The bytes of a whole batch as one view; lists end where their last packet ends."""
+    slots = packets.flatten().cast(pa.large_binary())
+    _, ends, data = slots.buffers()
+    first = slots.offset
+    ends = np.frombuffer(ends, dtype=np.int64)[first:first + len(slots) + 1] if len(slots) else np.zeros(1, dtype=np.int64)
+    values = np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, dtype=np.uint8)
+    sizes = packets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    bounds = (ends - ends[0])[np.concatenate([[0], np.cumsum(sizes)])]
+    return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(values / 255.0))
 
 
 def byte_features(packed: DataFrame, out: str = "features") -> DataFrame:
