@@ -191,14 +191,14 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=names)
 
 
-def _spread(spark: SparkSession) -> int:
+def spread(spark: SparkSession) -> int:
     """An explicit number of partitions: rows here are a few bytes that stand for megabytes, so they must not be merged."""
     return max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def capture_ranges(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Restart points of every capture; ``files`` has ``path``."""
-    return files.select("path").repartition(_spread(spark)).mapInPandas(_cut_ranges(range_bytes), RANGE_SCHEMA)
+    return files.select("path").repartition(spread(spark)).mapInPandas(_cut_ranges(range_bytes), RANGE_SCHEMA)
 
 
 def read_frames(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, max_packets: int | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ def read_frames(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     ranges = capture_ranges(spark, files, range_bytes)
     if max_packets is not None:
         ranges = ranges.where(F.col("first_ordinal") < max_packets)
-    frames = ranges.repartition(_spread(spark), "path", "start").mapInPandas(_decode, FRAME_SCHEMA)
+    frames = ranges.repartition(spread(spark), "path", "start").mapInPandas(_decode, FRAME_SCHEMA)
     if max_packets is not None:
         frames = frames.where(F.col("capture_packet_index") < max_packets)
     return frames.select(
