@@ -22,6 +22,7 @@ from packetloom.operators import sampling as sp
 from packetloom.operators import selection as sel
 from packetloom.operators import tensors as tn
 from packetloom.operators.features import FEATURES, PACKET_INPUTS, flow_features, to_raw_flow_table
+from packetloom.operators.ordered import stored
 from packetloom.plans import builds
 from packetloom.session import scratch_path
 from packetloom.sources import configs, frames as fr, sinks, tables as tb
@@ -846,8 +847,8 @@ def best_epoch(spark, sf):
 
 def _model_rows(spark, sf):
     labelled = registry_labelled(spark, sf, features(spark, sf)).where("matched")
-    return labelled.withColumn("label", F.when(F.col("protocol") == 6, cl.collapse_attempt("label")).otherwise(
-        F.concat(F.lit("proto_"), F.col("protocol").cast("string")))).persist()
+    named = F.when(F.col("protocol") == 6, cl.collapse_attempt("label")).otherwise(F.concat(F.lit("proto_"), F.col("protocol").cast("string")))
+    return stored(labelled.withColumn("label", named), "model_rows")
 
 
 @query
@@ -873,13 +874,13 @@ def _classifier(name, **options):
     return run
 
 
-for _name, _options in {"xgb": {"rounds": 3, "depth": 3}, "gnb": {}, "logreg": {"rounds": 20}, "svm": {"rounds": 10}, "mlp": {"rounds": 20}}.items():
+for _name, _options in {"xgb": {"rounds": 3, "depth": 3}, "gnb": {}, "logreg": {}, "svm": {"rounds": 10}, "mlp": {"rounds": 20}}.items():
     QUERIES[f"classifier_{_name}"] = _classifier(_name, **_options)
 
 
 @query
 def occlusion_sweep(spark, sf):
-    packed = tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets").persist()
+    packed = stored(tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets"), "packed")
     split = sp.train_test_split(packed, "label", fl.FLOW, SEED)
     train = tn.byte_features(split.where("split = 'train'"))
     model = md.fit("rf", train, "features", SEED, trees=100, depth=30)
