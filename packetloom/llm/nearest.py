@@ -1,17 +1,18 @@
 """Operator 6: approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are brought to unit length (candidates shorter than the longest get one more
-component that fills them up, so the largest inner product becomes the nearest direction),
-padded to a power of two and turned by three rounds of random signs and fast Hadamard
-transforms. The nearest signed axis is the bucket; each table has its own signs. A query
-visits, in every table, the ``PROBES`` signed axes nearest to it. Candidates met are scored
-exactly, in double precision, on the original vectors, and the best are merged over tables.
+Candidates are parted into bands of norms between two powers of two, so that within a band the
+largest inner product is nearly the nearest direction, and every query visits every band.
+Vectors are brought to unit length, padded to a power of two and turned by three rounds of
+random signs and fast Hadamard transforms. The nearest signed axis is the bucket; each table
+has its own signs. A query visits, in every table and band, the ``PROBES`` signed axes nearest
+to it, and ``SHARE`` of the axes at least. Candidates met are scored exactly, in double
+precision, on the original vectors, and the best are merged over tables and bands.
 
 Equal vectors are reduced to as many copies as one query can return before hashing. Rows of
 a table lie in groups of neighbouring buckets; a group with more than ``BLOCK`` candidates is
 split by vec_id, and queries are sent in blocks too, so no task holds more than
 BLOCK candidates and BLOCK queries however a bucket fills. The number of groups (tables x
-groups) is fixed, so their counts may go to the driver.
+groups x bands, of which doubles have 2098 at most) is fixed, so their counts may be broadcast.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 take no part; only vectors of one length are compared with each other; ties go to the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import list_column, stored
 
-TABLES, PROBES, GROUPS = 4, 48, 8
+TABLES, PROBES, SHARE, GROUPS = 4, 48, 3 / 8, 8
 BLOCK = 4096
 
 
@@ -47,16 +48,12 @@ def turned(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def unit(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Unit vectors, padded; candidates are filled up to the length of the longest."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors, padded to a power of two."""
     n, d = x.shape
-    out = np.zeros((n, 1 << int(np.ceil(np.log2(d + 1)))))
-    norms = np.linalg.norm(x, axis=1)
-    if query:
-        out[:, :d] = x / norms[:, None]
-    else:
-        out[:, :d] = x / longest
-        out[:, d] = np.sqrt(np.maximum(0.0, 1 - (norms / longest) ** 2))
+    out = np.zeros((n, 1 << (d - 1).bit_length()))
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of the largest doubles are not finite
+    out[:, :d] = x / np.linalg.norm(x, axis=1)[:, None]
     return out
 
 
@@ -68,12 +65,13 @@ def axes(y: np.ndarray, probes: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, vec, dim, norm) of the vectors that take part."""
+    """(vec_id, vec, dim, band) of the vectors that take part; the band is the norm's power of two."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec")).where("vec_id is not null and vec is not null")
     # double the component, since infinity less itself is not a number and null stays null
     sound = rows.where(F.coalesce(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False)))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
-    return sound.withColumn("dim", F.size("vec")).withColumn("norm", norm).where("norm > 0")
+    band = F.floor(F.log2(F.least("norm", F.lit(1.7e308)))).cast("int")
+    return sound.withColumn("dim", F.size("vec")).withColumn("norm", norm).where("norm > 0").withColumn("band", band).drop("norm")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -88,7 +86,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
     # a vector's copies score alike, so no query can return more than its k smallest ids besides itself
     points = stored(rows.withColumn("copy", F.row_number().over(place)).where(F.col("copy") <= k + 1).drop("copy"), "points")
     asked = stored(rows.where(F.col("vec_id") % every == 0), "queries")
-    longest = {r["dim"]: r["top"] for r in points.groupBy("dim").agg(F.max("norm").alias("top")).collect()}  # a row per vector length
 
     def hashed(query: bool):
         def fn(batches):
@@ -97,42 +94,49 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
                 for dim in np.unique(dims):
                     part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                     for lo in range(0, part.num_rows, 512):
-                        yield from hash_part(part.slice(lo, 512), int(dim))
+                        yield from hash_part(part.slice(lo, 512))
 
-        def hash_part(part: pa.RecordBatch, dim: int):
-            base = unit(_matrix(part.column(1)), longest[dim], query)
+        def hash_part(part: pa.RecordBatch):
+            base = unit(_matrix(part.column(1)))
             span = -(-2 * base.shape[1] // GROUPS)
+            visits = max(probes, round(SHARE * 2 * base.shape[1])) if query else 1
             for table in range(tables):
-                found = np.sort(axes(turned(base, table), probes if query else 1), axis=1)
+                found = np.sort(axes(turned(base, table), visits), axis=1)
                 where, group = np.repeat(np.arange(len(base)), found.shape[1]), found.ravel() // span
                 starts = np.flatnonzero(np.r_[True, (np.diff(where) != 0) | (np.diff(group) != 0)])
                 lengths = np.diff(np.r_[starts, len(where)])
                 at = pa.array(where[starts])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(np.full(len(starts), table, dtype=np.int32)),
+                    [*(c.take(at) for c in part.columns), pa.array(np.full(len(starts), table, dtype=np.int32)),
                      pa.array(group[starts].astype(np.int32)), list_column(found.ravel().astype(np.int32), lengths, pa.int32())],
-                    names=["vec_id", "vec", "dim", "part", "grp", "buckets"])
+                    names=["vec_id", "vec", "dim", "band", "part", "grp", "buckets"])
 
         return fn
 
-    schema = "vec_id long, vec array<double>, dim int, part int, grp int, buckets array<int>"
-    index = points.select("vec_id", "vec", "dim").mapInArrow(hashed(False), schema)
-    probe = asked.select("vec_id", "vec", "dim").mapInArrow(hashed(True), schema)
-    counts = lambda df: df.groupBy("dim", "part", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    cells = counts(index).withColumnRenamed("n", "rows").join(counts(probe).withColumnRenamed("n", "asks"), ["dim", "part", "grp"])
-    cells = F.broadcast(stored(cells, "cells"))  # lengths x tables x groups rows
-    salt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(17)), F.col(n)).cast("int")
-    keys = ["dim", "part", "grp", "row_block", "ask_block"]
-    left = index.join(cells, ["dim", "part", "grp"]).withColumn("row_block", salt("rows")).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    right = probe.join(cells, ["dim", "part", "grp"]).withColumn("ask_block", salt("asks")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    take = [*keys, "vec_id", "vec", "buckets"]
-    best = left.select(*take).groupBy(*keys).cogroup(right.select(*take).groupBy(*keys)).applyInArrow(
-        lambda a, b: _block_best(a, b, k), "query_id long, vec_id long, score double")
+    schema = "vec_id long, vec array<double>, dim int, band int, part int, grp int, buckets array<int>"
+    index = points.select("vec_id", "vec", "dim", "band").mapInArrow(hashed(False), schema)
+    probe = asked.select("vec_id", "vec", "dim", "band").mapInArrow(hashed(True), schema).drop("band")  # a query visits all bands
+    best = _best(index, probe, k)
     merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _best(index: DataFrame, probe: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every block of candidates that a query visits."""
+    cell = ["dim", "part", "grp"]
+    counts = lambda df, keys, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    cells = counts(index, [*cell, "band"], "rows").join(counts(probe, cell, "asks"), cell)
+    cells = F.broadcast(stored(cells, "cells"))  # lengths x bands x tables x groups rows
+    salt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(17)), F.col(n)).cast("int")
+    keys = [*cell, "band", "row_block", "ask_block"]
+    left = index.join(cells, [*cell, "band"]).withColumn("row_block", salt("rows")).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    right = probe.join(cells, cell).withColumn("ask_block", salt("asks")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    take = [*keys, "vec_id", "vec", "buckets"]
+    return left.select(*take).groupBy(*keys).cogroup(right.select(*take).groupBy(*keys)).applyInArrow(
+        lambda a, b: _block_best(a, b, k), "query_id long, vec_id long, score double")
+
+
 def _block_best(rows: pa.Table, asks: pa.Table, k: int) -> pa.Table:
     """The k best candidates of each query among those in buckets that it probes."""
     empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})

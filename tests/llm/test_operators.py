@@ -142,6 +142,21 @@ def test_nearest_recall_and_exact_scores(spark):
     assert [(r["rank"], r.query_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 0), (2, 0), (3, 0)]
 
 
+def test_nearest_recall_with_uneven_norms(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(3000, 64))
+    vectors *= np.exp(rng.normal(size=(3000, 1))) / np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[7] *= 1000 / np.linalg.norm(vectors[7])
+    got = nearest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -np.inf)
+    true = {q: set(np.argsort(-scores[q])[:20].tolist()) for q in range(0, 3000, 20)}
+    recall = sum(r.vec_id in true[r.query_id] for r in got) / (20 * len(true))
+    assert recall >= 0.9
+    want = {q for q, own in true.items() if 7 in own}
+    assert len({r.query_id for r in got if r.vec_id == 7} & want) >= 0.9 * len(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
