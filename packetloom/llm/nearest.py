@@ -6,7 +6,8 @@ Vectors are brought to unit length, padded to a power of two and turned by three
 random signs and fast Hadamard transforms. The nearest signed axis is the bucket; each table
 has its own signs. A query visits, in every table and band, the ``PROBES`` signed axes nearest
 to it, and ``SHARE`` of the axes at least. Candidates met are scored exactly, in double
-precision, on the original vectors, and the best are merged over tables and bands.
+precision, on the original vectors, and the best are merged over tables and bands. Queries that
+met fewer candidates than they can return are scored against all of them, in blocks.
 
 Equal vectors are reduced to as many copies as one query can return before hashing. Rows of
 a table lie in groups of neighbouring buckets; a group with more than ``BLOCK`` candidates is
@@ -118,10 +119,25 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
     probe = asked.select("vec_id", "vec", "dim", "band").mapInArrow(hashed(True), schema).drop("band")  # a query visits all bands
     best = _best(index, probe, k)
     merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = _completed(stored(merged, "met"), points, asked, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _completed(merged: DataFrame, points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``merged``, with queries that met fewer than k candidates, and fewer than there are, scored against all of their length."""
+    ids = points.groupBy("dim").agg(F.count_distinct("vec_id").alias("ids"))
+    there = asked.select("vec_id", "dim").distinct().join(F.broadcast(ids), "dim").groupBy("vec_id").agg(F.sum(F.col("ids") - 1).alias("there"))
+    met = merged.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("met"))
+    lacking = there.join(met, "vec_id", "left").where(F.coalesce("met", F.lit(0)) < F.least("there", F.lit(k)))
+    short = stored(asked.join(lacking.select("vec_id"), "vec_id", "left_semi"), "short")
+    if short.isEmpty():
+        return merged
+    one = {"part": F.lit(0), "grp": F.lit(0), "buckets": F.array(F.lit(0))}  # a single bucket for all
+    whole = _best(points.withColumns(one), short.drop("band").withColumns(one), k)
+    return merged.unionByName(whole).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def _best(index: DataFrame, probe: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of every block of candidates that a query visits."""
     cell = ["dim", "part", "grp"]

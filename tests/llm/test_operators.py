@@ -157,6 +157,21 @@ def test_nearest_recall_with_uneven_norms(spark):
     assert len({r.query_id for r in got if r.vec_id == 7} & want) >= 0.9 * len(want)
 
 
+def test_nearest_returns_all_of_few(spark):
+    rng = np.random.default_rng(7)
+    vectors = {i: rng.normal(size=64) for i in range(15)} | {40 + i: rng.normal(size=32) for i in range(30)}
+    got = nearest.search(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>"), every=1).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(found[q] == set(range(15)) - {q} for q in range(15))
+    assert all(len(found[q]) == 20 and found[q] <= set(range(40, 70)) - {q} for q in range(40, 70))
+    opposed = [(i, (v * (1 if i else -1)).tolist()) for i, v in enumerate(1 + rng.normal(size=(300, 64)) / 20)]
+    got = nearest.search(spark.createDataFrame(opposed, "vec_id long, embedding array<double>"), every=1000).collect()
+    dense = np.array([v for _, v in opposed])
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == (1 + np.argsort(-(dense[1:] @ dense[0]))[:20]).tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
