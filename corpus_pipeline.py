@@ -1,8 +1,8 @@
 """A cleaning pipeline over ``documents``: each stage works on all that the stage before kept.
 
 Stages: language identification (documents without a recognisable language go), near
-duplicates by shingle Jaccard (five words, 0.8; one document of each group stays), repeated byte
-strings (cut from the texts), benchmark passages (documents that hold one go), and encoding.
+duplicates by shingle Jaccard (five words, 0.8; one document of each group stays), repeated
+passages of 50 words or 400 bytes (cut from the texts), benchmark passages (documents that hold one go), and encoding.
 All but the last return the columns of ``documents``.
 """
 
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from packetloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, suffix_dedup
 from packetloom.session import scratch_path
 
+#: No passage of WORDS words is shorter than LEAST_BYTES: a byte for every word and every space between them.
+WORDS, LEAST_BYTES, GRAM = 50, 99, 40
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; profiles come from these documents' own labels."""
@@ -28,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that occur elsewhere; ``n_chars`` follows the text."""
-    cut = suffix_dedup.remove_from(docs)
+    """Texts without the passages of 50 words or 400 bytes that occur elsewhere; ``n_chars`` follows the text."""
+    cut = suffix_dedup.remove_from(docs, LEAST_BYTES, GRAM, WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

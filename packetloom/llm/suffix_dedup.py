@@ -102,7 +102,7 @@ class Suffixes:
         return out
 
 
-def repeated_windows(anchor: np.ndarray, piece: list[bytes], lead: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(anchor: np.ndarray, piece: list[bytes], lead: np.ndarray, count: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(segment, window within it) of windows that another segment with the same anchor holds at the same distance."""
     edges = np.zeros(len(piece) + 1, dtype=np.int64)
     np.cumsum([len(p) for p in piece], out=edges[1:])
@@ -117,7 +117,7 @@ def repeated_windows(anchor: np.ndarray, piece: list[bytes], lead: np.ndarray, c
         live = (ahead <= lead) & (ahead > lead - count)
         if live.sum() < 2:
             continue
-        rank[:] = np.cumsum(ext < WINDOW - ahead)  # suffixes that agree for the rest of the window
+        rank[:] = np.cumsum(ext < width - ahead)  # suffixes that agree for the rest of the window
         k = np.flatnonzero(live)
         left = suffixes.prefix.spans(start[k] - ahead, start[k]) ^ mixed(suffixes.other.spans(start[k] - ahead, start[k]))
         code = mixed(left + mixed(rank[k].astype(np.uint64)))
@@ -130,19 +130,19 @@ def repeated_windows(anchor: np.ndarray, piece: list[bytes], lead: np.ndarray, c
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _compare(suspects: DataFrame, buckets: int) -> DataFrame:
+def _compare(suspects: DataFrame, buckets: int, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Window answers for contested runs: sorted suffixes by bucket, or the index for crowded anchors."""
 
     def cut(batches):
         for batch in batches:
             for part, texts in repeats.unsqueezed(batch):
                 data, edges = repeats.joined(texts)
-                runs = Runs(*byte_values(data, edges), WINDOW, GRAM)
+                runs = Runs(*byte_values(data, edges), width, gram)
                 lists = part.column(3).to_pylist()
                 which = np.concatenate([np.searchsorted(runs.text, t) + np.unique(np.array(own, dtype=np.int64)) for t, own in enumerate(lists)])
                 first, count, text = runs.first[which], runs.count[which], runs.text[which]
                 raw = data.tobytes()
-                piece = [raw[a:a + c - 1 + WINDOW] for a, c in zip((edges[text] + first).tolist(), count.tolist())]
+                piece = [raw[a:a + c - 1 + width] for a, c in zip((edges[text] + first).tolist(), count.tolist())]
                 anchor = runs.anchor[which]
                 yield pa.RecordBatch.from_arrays([
                     pa.array((anchor % np.uint64(buckets)).astype(np.int32)), pa.array(anchor.astype(np.int64)), pa.array(np.asarray(part.column(0))[text]), pa.array(np.asarray(part.column(1))[text]),
@@ -158,7 +158,7 @@ def _compare(suspects: DataFrame, buckets: int) -> DataFrame:
     def sort(batches):
         for bucket in _buckets(batches):
             anchor, lead, count = (bucket.column(c).to_numpy() for c in (1, 5, 6))
-            segment, window = repeated_windows(anchor, [x.as_buffer() for x in bucket.column(7)], lead.astype(np.int64), count.astype(np.int64))
+            segment, window = repeated_windows(anchor, [x.as_buffer() for x in bucket.column(7)], lead.astype(np.int64), count.astype(np.int64), width)
             entries = {"doc": bucket.column(2).to_numpy()[segment], "key": bucket.column(3).to_numpy()[segment], "at": (bucket.column(4).to_numpy()[segment] + window).astype(np.uint32)}
             yield from repeats.answers(entries, np.ones(len(segment), dtype=bool), repeats.WINDOW, buckets)
 
@@ -171,7 +171,7 @@ def _compare(suspects: DataFrame, buckets: int) -> DataFrame:
                 owner = np.repeat(np.arange(part.num_rows), count)
                 step = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
                 start = edges[owner] + step
-                a, b = (mixed(Prefix(BYTE[data], base).spans(start, start + WINDOW)) for base in BASES)
+                a, b = (mixed(Prefix(BYTE[data], base).spans(start, start + width)) for base in BASES)
                 entries = {"doc": np.asarray(part.column(2))[owner], "key": np.asarray(part.column(3))[owner], "at": (np.asarray(part.column(4))[owner] + step).astype(np.uint32), "a": a, "b": b}
                 yield from repeats.ask(entries, buckets, False, repeats.WINDOW)
 
@@ -195,9 +195,12 @@ def _buckets(batches):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def remove(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): removed byte runs, and the remaining bytes."""
-    found = repeats.repeated(docs, byte_values, WINDOW, GRAM, False, _compare, carry)
+def remove(docs: DataFrame, carry: list[str] | None = None, width: int = WINDOW, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept): removed byte runs, and the remaining bytes.
+
+    A run of repeated ``width``-byte strings goes if it has ``words`` words or ``WINDOW`` bytes.
+    """
+    found = repeats.repeated(docs, byte_values, width, gram, False, lambda suspects, buckets: _compare(suspects, buckets, width, gram), carry)
 
     def fn(batches):
         for batch in batches:
@@ -205,11 +208,14 @@ def remove(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
                 wholes, singles = part.column(2).to_pylist(), part.column(3).to_pylist()
                 hit = [k for k in range(len(texts)) if wholes[k] or singles[k]]
                 data, edges = repeats.joined([texts[k] for k in hit])
-                runs = Runs(*byte_values(data, edges), WINDOW, GRAM)
+                runs = Runs(*byte_values(data, edges), width, gram)
                 gone, spans, kept = [0] * len(texts), [[] for _ in texts], list(texts)
                 for t, k in enumerate(hit):
                     own = data[edges[t]:edges[t + 1]]
-                    mask = repeats.covered(runs, t, len(own), wholes[k], singles[k], WINDOW)
+                    mask = repeats.covered(runs, t, len(own), wholes[k], singles[k], width)
+                    flips = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
+                    for a, b in flips.reshape(-1, 2):
+                        mask[a:b] = b - a >= WINDOW or len(own[a:b].tobytes().split()) >= words
                     flips = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
                     gone[k], kept[k] = int(mask.sum()), own[~mask].tobytes()
                     spans[k] = [{"start": int(a), "end": int(b)} for a, b in flips.reshape(-1, 2)]
@@ -221,10 +227,10 @@ def remove(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     return found.mapInArrow(fn, repeats.result_schema(found, "n_bytes", T.BinaryType()))
 
 
-def remove_from(docs: DataFrame) -> DataFrame:
+def remove_from(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, words: int = 0) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated bytes cut from ``text``; a character cut in two goes whole."""
     carry = [c for c in docs.columns if c != "text"]
-    cut = remove(docs, carry)
+    cut = remove(docs, carry, width, gram, words)
 
     @F.pandas_udf(T.StringType())
     def readable(kept):
