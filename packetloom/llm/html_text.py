@@ -10,7 +10,8 @@ emitted, navigation and asides included.
 Every page is rendered where it is read: there is no shuffle.
 
 Defined results: null html gives null text, empty html an empty text; markup without end
-keeps its text; an unclosed comment hides the rest of the page, as in a browser; nesting
+keeps its text; formulas stand in the line without their annotations, and of drawings the labels
+and embedded content; an unclosed comment hides the rest of the page, as in a browser; nesting
 deeper than ``DEEPEST`` is flattened into the element at that depth; a table inside a cell
 is rendered on its own and its lines become lines of the cell. A table wider than
 ``WIDEST`` characters is written with single separators instead of padding.
@@ -33,7 +34,10 @@ DEEPEST, WIDEST = 200, 400
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-HIDDEN = frozenset("head script style title noscript template iframe object audio video canvas svg math datalist noembed noframes".split())
+HIDDEN = frozenset("head script style title noscript template iframe object audio video canvas datalist noembed noframes".split())
+#: Elements of svg that show nothing themselves, and those whose content is text.
+SVG_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+SVG_TEXT = frozenset("text foreignobject".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr legend li main menu nav ol p pre search section summary table ul caption tr optgroup option".split())
@@ -84,6 +88,10 @@ def build(page: str) -> Node:
             elif stack[depth].name in fence:
                 return
 
+    def foreign(attrs: str) -> bool:
+        """Whether a tag ends itself, which it can only inside svg and math."""
+        return attrs.endswith("/") and any(x.name in ("svg", "math") for x in stack[1:] + [node])
+
     while (m := TOKEN.search(page, at)):
         text(at, m.start())
         at, name = m.end(), (m["name"] or "").lower()
@@ -106,12 +114,14 @@ def build(page: str) -> Node:
             close({"p"}, FENCES)
         node = Node(name, _attributes(m["attrs"]))
         stack[-1].children.append(node)
-        if name in RAW:
+        if name in ("annotation", "annotation-xml") and any(x.name == "math" for x in stack):
+            node.attrs["hidden"] = ""
+        if name in RAW and not foreign(m["attrs"]):
             stop = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
             inner = page[at:stop.start() if stop else end]
             node.children.append(entities.unescape(inner) if name in ("title", "textarea") else inner)
             at = stop.end() if stop else end
-        elif name not in VOID and len(stack) < DEEPEST:
+        elif name not in VOID and not foreign(m["attrs"]) and len(stack) < DEEPEST:
             stack.append(node)
     text(at, end)
     return root
@@ -230,6 +240,20 @@ def _lines(node: Node) -> list[str]:
     return inner.done()
 
 
+def _drawing(node: Node, out: Layout, keep: bool, depth: int) -> None:
+    """The text of a drawing; each of its labels is a word of its own."""
+    for child in node.children:
+        if isinstance(child, str) or not _visible(child) or child.name in SVG_UNSEEN:
+            continue
+        if child.name in SVG_TEXT:
+            out.word(" ")
+            for inner in child.children:
+                _render(inner, out, keep, depth)
+            out.word(" ")
+        else:
+            _drawing(child, out, keep, depth)
+
+
 def _render(node: Node | str, out: Layout, keep: bool = False, depth: int = 0) -> None:
     if isinstance(node, str):
         out.word(node, keep)
@@ -248,6 +272,9 @@ def _render(node: Node | str, out: Layout, keep: bool = False, depth: int = 0) -
         if shown and node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "image", "file"):
             out.word(shown)
         return
+    if name == "svg":
+        _drawing(node, out, keep, depth)
+        return
     block = name in BLOCK
     if block:
         out.end(blank=name in SPACED and not (name in ("ul", "ol") and depth))

@@ -38,6 +38,14 @@ three<p>Four<br>five<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul><table><tr><th
         "One two three\n\nFour\nfive\n\n- a\n- b\n  3. c\n  4. d\n\nName   | N\nlonger | 1\n\n  x\n    y\n\ntail & inline")
 
 
+def test_html_formulas_and_drawings():
+    page = """<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow><annotation encoding="TeX">x=2 tex</annotation>
+<annotation-xml><ci>no</ci></annotation-xml></semantics></math> hold.</p><div><svg><title>no</title><desc>no</desc><style>no</style>stray
+<script href="x"/><defs><text>no</text></defs><path d="M0"/><g><text x=1>North <tspan>Sea</tspan></text><text>South</text></g><foreignObject><p>inside</p></foreignObject>
+</svg>after</div>"""
+    assert html_text.page_text(page) == "Let x=2 hold.\n\nNorth Sea South\n\ninside\n\nafter"
+
+
 def test_html_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "<p"), (4, "<div>" * 5000 + "deep"), (5, "</p></table>a<td>b"), (5, "</p></table>a<td>b")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id int, html string").withColumn("text", F.lit("clash"))).collect()
