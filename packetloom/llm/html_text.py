@@ -13,8 +13,9 @@ Defined results: null html gives null text, empty html an empty text; markup wit
 keeps its text; formulas stand in the line without their annotations, and of drawings the labels
 and embedded content; an unclosed comment hides the rest of the page, as in a browser; nesting
 deeper than ``DEEPEST`` is flattened into the element at that depth; a table inside a cell
-is rendered on its own and its lines become lines of the cell. A table wider than
-``WIDEST`` characters is written with single separators instead of padding.
+is rendered on its own and its lines become lines of the cell; below a cell that spans rows the
+grid stays free. In a table wider than ``WIDEST`` characters the cells of all columns but the last
+are wrapped between words; a word, preformatted text or inner table wider than its column stays whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from packetloom.llm.common import by_piece, with_columns
 
-DEEPEST, WIDEST = 200, 400
+DEEPEST, WIDEST, NARROWEST = 200, 400, 16
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -186,8 +187,8 @@ class Layout:
         return lines
 
 
-def _rows(table: Node) -> tuple[list[list[Node]], list[Node]]:
-    """Cells by row, and what stands in a table without being part of its grid."""
+def _rows(table: Node) -> tuple[list[tuple[Node, list[Node]]], list[Node]]:
+    """(row group, cells) by row, and what stands in a table without being part of its grid."""
     rows, rest = [], []
     for child in table.children:
         if isinstance(child, str):
@@ -196,17 +197,64 @@ def _rows(table: Node) -> tuple[list[list[Node]], list[Node]]:
         elif not _visible(child):
             continue
         elif child.name == "tr":
-            rows.append([c for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and _visible(c)])
+            rows.append((table, [c for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and _visible(c)]))
             rest.extend(c for c in child.children if not (isinstance(c, Node) and c.name in ("td", "th")) and not (isinstance(c, str) and not c.strip()))
         elif child.name in ("thead", "tbody", "tfoot"):
             inner, other = _rows(child)
             rows += inner
             rest += other
         elif child.name in ("td", "th"):
-            rows.append([child])
+            rows.append((table, [child]))
         elif child.name not in ("col", "colgroup"):
             rest.append(child)
-    return [r for r in rows if r], rest
+    return rows, rest
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    given = cell.attrs.get(name, "1").strip()
+    return min(int(given[:6]), most) if given.isascii() and given.isdigit() else 1
+
+
+def _grid(rows: list[tuple[Node, list[Node]]]) -> list[list[Node | None]]:
+    """Cells by row and column; None where a cell spans into."""
+    grid, taken, group = [], {}, None
+    for own, cells in rows:
+        if own is not group:  # cells do not span beyond their row group
+            taken, group = {}, own
+        line, ahead = [], {}
+        for cell in cells:
+            while len(line) in taken:
+                line.append(None)
+            across, down = max(1, _span(cell, "colspan", 1000)), _span(cell, "rowspan", 65534)
+            if down != 1:
+                ahead.update(dict.fromkeys(range(len(line), len(line) + across), down - 1 if down else len(rows)))
+            line += [cell, *[None] * (across - 1)]
+        while len(line) in taken:
+            line.append(None)
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | ahead
+        grid.append(line)
+    return grid
+
+
+def _fixed(node: Node) -> bool:
+    """Whether the lines of a cell must stay as they are."""
+    return any(isinstance(c, Node) and (c.name in ("table", "pre", "textarea") or _fixed(c)) for c in node.children)
+
+
+def _wrapped(line: str, width: int) -> list[str]:
+    """``line`` in pieces of ``width`` characters, or one word if that is longer."""
+    out, at = [], 0
+    while len(line) - at > width:
+        cut = line.rfind(" ", at, at + width + 1)
+        if cut <= at or line[at:cut].isspace():
+            cut = line.find(" ", at + width)
+        if cut < 0:
+            break
+        out.append(line[at:cut].rstrip(" "))
+        while cut < len(line) and line[cut] == " ":
+            cut += 1
+        at = cut
+    return [*out, line[at:]]
 
 
 def _table(node: Node, out: Layout) -> None:
@@ -214,20 +262,25 @@ def _table(node: Node, out: Layout) -> None:
     for child in rest:  # captions and misplaced content come first
         _render(child, out)
     out.end()
-    grid = []
-    for cells in rows:
-        line = []
-        for cell in cells:
-            span = cell.attrs.get("colspan", "1")
-            line.append(_lines(cell))
-            line += [[]] * (min(int(span[:4]), 1000) - 1 if span.isascii() and span.isdigit() else 0)
-        grid.append(line)
+    cells = _grid(rows)
+    grid = [[_lines(c) if c else [] for c in row] for row in cells]
     count = max(map(len, grid), default=0)
-    widths = [max((len(x) for row in grid if c < len(row) for x in row[c]), default=0) for c in range(count)]
-    padded = sum(widths) + 3 * count <= WIDEST
+    widths = [0] * count
+    for row in grid:
+        for c, lines in enumerate(row):
+            widths[c] = max(widths[c], max(map(len, lines), default=0))
+    if sum(widths) + 3 * count > WIDEST:
+        most = NARROWEST
+        while most < WIDEST and sum(min(w, most + 1) for w in widths) + 3 * count <= WIDEST:
+            most += 1
+        for k, row in enumerate(grid):
+            for c, lines in enumerate(row):
+                if c < count - 1 and any(len(x) > most for x in lines) and not _fixed(cells[k][c]):
+                    row[c] = [piece for x in lines for piece in _wrapped(x, most)]
+        widths = [min(w, most) for w in widths]
     for row in grid:
         for parts in zip_longest(*row, fillvalue=""):
-            text = " | ".join(p.ljust(w) if padded else p for p, w in zip(parts, widths))
+            text = " | ".join(p.ljust(w) for p, w in zip(parts[:-1], widths)) + (" | " if len(parts) > 1 else "") + parts[-1]
             if text.strip(" |"):
                 out.word(text.rstrip(" "), keep=True)
                 out.end()

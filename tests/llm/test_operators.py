@@ -46,6 +46,19 @@ def test_html_formulas_and_drawings():
     assert html_text.page_text(page) == "Let x=2 hold.\n\nNorth Sea South\n\ninside\n\nafter"
 
 
+def test_html_spans_and_wide_tables():
+    page = """<table><tr><th rowspan=2>a<th>b<th rowspan=0>c<tr><td>d<tr><td>e<td>f<tbody><tr><td>g<td>h<td>i</table>"""
+    assert html_text.page_text(page) == "a | b | c\n  | d |\ne | f |\ng | h | i"
+    words = [f"word{k}" for k in range(200)]
+    wide = f"<table><tr><td>{' '.join(words)}<td>one<td>x<tr><td>short<td>three<td>{' '.join(words)}<tr><td>{'u' * 500}<td>v<td>w</table>"
+    lines = html_text.page_text(wide).split("\n")
+    edge = lines[0].index(" | ")
+    assert 150 < edge <= 200 and lines[0][edge:] == " | one   | x"
+    rest = [x for x in lines[1:] if not x.startswith(("short", "u"))]
+    assert " ".join(x[:edge].strip() for x in [lines[0], *rest]).split() == words and all(x[edge:].strip(" |") == "" for x in rest)
+    assert "short".ljust(edge) + " | three | " + " ".join(words) in lines and "u" * 500 + " | v     | w" in lines
+
+
 def test_html_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "<p"), (4, "<div>" * 5000 + "deep"), (5, "</p></table>a<td>b"), (5, "</p></table>a<td>b")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id int, html string").withColumn("text", F.lit("clash"))).collect()
