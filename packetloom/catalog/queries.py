@@ -863,18 +863,24 @@ def forest_importances(spark, sf):
     return built.importances
 
 
-def _classifier(name, **options):
+def _classifier(name, candidates=(), patience=1):
+    """A model at full rounds, or at the best of ``candidates`` by a validation share of the training rows."""
     def run(spark, sf):
         rows = _model_rows(spark, sf)
         columns = sel.feature_columns(rows)
         clean = pk.apply_finite_policy(rows.select(*fl.FLOW, "label", *columns), columns, "zero")
-        split = sp.train_test_split(clean, "label", fl.FLOW, SEED)
-        stacked = md.run_models([name], split.where("split = 'train'"), split.where("split = 'test'"), columns, SEED, options={name: options})
+        split = stored((sp.three_way_split if candidates else sp.train_test_split)(clean, "label", fl.FLOW, SEED), "split")
+        train, options = split.where("split = 'train'"), {}
+        if candidates:
+            options["rounds"], _ = md.tune_rounds(name, train, split.where(F.col("split") == sp.VALID), columns, SEED, candidates, patience)
+        stacked = md.run_models([name], train, split.where("split = 'test'"), columns, SEED, options={name: options})
         return md.model_summary(stacked)
     return run
 
 
-for _name, _options in {"xgb": {"rounds": 3, "depth": 3}, "gnb": {}, "logreg": {}, "svm": {"rounds": 10}, "mlp": {"rounds": 20}}.items():
+#: Boosting stops when 30 more rounds bring nothing; the perceptron when 20 do not.
+ROUNDS = {"xgb": {"candidates": range(30, 601, 30)}, "mlp": {"candidates": range(10, 201, 10), "patience": 2}}
+for _name, _options in {"xgb": ROUNDS["xgb"], "gnb": {}, "logreg": {}, "svm": {}, "mlp": ROUNDS["mlp"]}.items():
     QUERIES[f"classifier_{_name}"] = _classifier(_name, **_options)
 
 

@@ -28,8 +28,8 @@ def _forest(seed: int, classes: int, width: int, trees: int = 100, depth: int =
     return (model.setWeightCol(WEIGHT) if weighted else model), False
 
 
-def _boosted(seed: int, classes: int, width: int, rounds: int = 40, depth: int = 6):
-    trees = GBTClassifier(featuresCol=RAW, labelCol=CODE, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)
+def _boosted(seed: int, classes: int, width: int, rounds: int = 600, depth: int = 6):
+    trees = GBTClassifier(featuresCol=RAW, labelCol=CODE, maxIter=rounds, maxDepth=depth, stepSize=0.08, subsamplingRate=0.85, seed=seed)
     return OneVsRest(classifier=trees, featuresCol=RAW, labelCol=CODE, weightCol=WEIGHT), False
 
 
@@ -106,12 +106,16 @@ def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFra
 def tune_rounds(
     name: str, train: DataFrame, valid: DataFrame, features, seed: int, candidates: Sequence[int], patience: int,
 ) -> tuple[int, DataFrame]:
-    """Training rounds by validation macro-F1 with patience; also the history."""
-    history = []
+    """Training rounds by validation macro-F1 with patience; also the history, which ends where patience does."""
+    history, best = [], 0
     for rounds in sorted(candidates):
         model = fit(name, train, features, seed, rounds=rounds)
         scored = overall(confusion_counts(predict(model, valid, features))).first()
         history.append((len(history), rounds, float(scored["macro_f1"])))
+        if history[-1][2] > history[best][2]:
+            best = history[-1][0]
+        elif history[-1][0] - best >= patience:
+            break
     table = train.sparkSession.createDataFrame(history, "epoch int, rounds int, val_macro_f1 double")
     best = best_epoch(table, patience).first()["best_epoch"]
     return history[best][1], table
