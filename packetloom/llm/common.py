@@ -75,3 +75,29 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array
     """The kept columns of ``batch`` followed by new ones."""
     columns = [batch.column(batch.schema.get_field_index(k)) for k in keep] + list(new.values())
     return pa.RecordBatch.from_arrays(columns, names=[*keep, *new])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Calls ``fn(table, starts of the groups)`` on tables of whole groups of about ``rows`` rows, from batches sorted by ``keys``."""
+    from packetloom.operators.ordered import key_starts
+
+    held: list[pa.RecordBatch] = []
+    size, wanted = 0, rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < wanted:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = key_starts(table, keys)
+        last = int(starts[-1])
+        if last:
+            yield from fn(table.slice(0, last).combine_chunks(), starts[:-1]).combine_chunks().to_batches(65_536)
+        rest = table.slice(last)
+        held, size = rest.to_batches(), rest.num_rows
+        wanted = max(rows, 2 * size)
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield from fn(table, key_starts(table, keys)).combine_chunks().to_batches(65_536)

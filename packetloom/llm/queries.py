@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import byte_bpe, decontaminate, html_text, jaccard_join, language_id, nearest, substring_dedup, suffix_dedup, token_files, url_lists
+from packetloom.llm import byte_bpe, decontaminate, dialogue_repair, html_text, jaccard_join, language_id, nearest, substring_dedup, suffix_dedup, token_files, url_lists
 from packetloom.session import scratch_path
 
 
@@ -92,6 +92,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue_repair.turns(table(spark, sf_dir, "conversations"))
+    return dialogue_repair.digests(rows, dialogue_repair.damaged(rows))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
+    "op12_dialogue_repair": op12_dialogue_repair,
 }
 
 #: Whole-table SQL twins for DuckDB.
@@ -149,4 +155,49 @@ ORACLES: dict[str, str] = {
         select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
         from d left join k using (doc_id)
     """,
+    "op12_dialogue_repair": r"""
+        with recursive t as (
+            select coalesce('=' || conv_id, '') k, conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') x,
+                   list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ord(c)::bigint),
+                               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))) crc from conversations),
+        d as (select *, (4294967295 - crc) % 20 m from t),
+        e as (
+            select k, turn, case when m = 4 then 'user' else r end r,
+                   case when m = 1 then '' when m = 2 then regexp_replace(x, '[.!?]', '', 'g') else x end x,
+                   unnest(range(case when m = 3 then 2 else 1 end)) copy from d where m <> 0),
+        o as (select *, row_number() over (partition by k order by turn nulls first, r, md5(x)) i from e),
+        f as (
+            select k, i, turn, r, x, substr(r, 1, 1) c, row_number() over (partition by k, r, x order by i) > 1 again,
+                   not regexp_matches(x, '[^\x20\x09-\x0D]') blank, not regexp_matches(x, '[.!?][\x20\x09-\x0D]*\z') cut from o),
+        g as (
+            select *, case when blank then 'blank' when again then 'duplicate' when cut then 'truncated' else '' end fault,
+                   lag(c) over (partition by k order by i) || c pair from f),
+        sums as (
+            select k, count_if(fault = 'blank') blank, count_if(fault = 'duplicate') duplicate, count_if(fault = 'truncated') truncated,
+                   count_if(pair not in ('su', 'ua', 'au')) illegal,
+                   coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, max(i) n from g group by k),
+        w as (
+            select k, 0::bigint i, {'c': 0, 'a': '', 'o': ''} s0, {'c': 1000000, 'a': '', 'o': ''} s1, {'c': 3, 'a': 'I', 'o': chr(10) || 'user:'} s2,
+                   {'c': 6, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'} s3 from sums
+            union all
+            select k, i, p0, p1, q2, list_min([p3, {'c': q2.c + 3, 'a': q2.a || 'I', 'o': q2.o || chr(10) || 'assistant:'}]) from (
+                select k, i, p0, p1, p3, list_min([p2, {'c': p0.c + 3, 'a': p0.a || 'I', 'o': p0.o || chr(10) || 'user:'},
+                    {'c': p1.c + 3, 'a': p1.a || 'I', 'o': p1.o || chr(10) || 'user:'}, {'c': p3.c + 3, 'a': p3.a || 'I', 'o': p3.o || chr(10) || 'user:'}]) q2 from (
+                    select k, i, {'c': s0.c + 4, 'a': s0.a || 'D', 'o': s0.o} p0,
+                        list_min([{'c': s1.c + 4, 'a': s1.a || 'D', 'o': s1.o}, {'c': s0.c + t + case when c = 's' then 0 else 1000000 end, 'a': s0.a || 'K', 'o': s0.o || line}]) p1,
+                        list_min([{'c': s2.c + 4, 'a': s2.a || 'D', 'o': s2.o}]
+                            || list_transform([s0, s1, s3], lambda s: {'c': s.c + t + case when c = 'u' then 0 else 1000000 end, 'a': s.a || 'K', 'o': s.o || line})
+                            || list_transform([s0, s1, s3], lambda s: {'c': s.c + t + 3, 'a': s.a || 'R', 'o': s.o || chr(10) || 'user:' || x})) p2,
+                        list_min([{'c': s3.c + 4, 'a': s3.a || 'D', 'o': s3.o}, {'c': s2.c + t + case when c = 'a' then 0 else 1000000 end, 'a': s2.a || 'K', 'o': s2.o || line},
+                            {'c': s2.c + t + 3, 'a': s2.a || 'R', 'o': s2.o || chr(10) || 'assistant:' || x}]) p3
+                    from (select w.k, g.i, s0, s1, s2, s3, c, x, chr(10) || r || ':' || x line,
+                                 case when fault in ('blank', 'duplicate') then 1000000 when fault = 'truncated' then 3 else 0 end t
+                          from w join g on g.k = w.k and g.i = w.i + 1)))),
+        z as (select k, list_min([s0, s3]) s from w join sums using (k) where w.i = n),
+        ids as (select distinct k, conv_id from t)
+        select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+               coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(s.c, 0)::bigint as cost,
+               coalesce(s.a, '') as audit, sha256(coalesce(substr(s.o, 2), '')) as repaired_sha256
+        from ids left join sums using (k) left join z using (k)
+    """,
 }
