@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import byte_bpe, decontaminate, dialogue_repair, html_text, jaccard_join, language_id, nearest, substring_dedup, suffix_dedup, token_files, url_lists
+from packetloom.llm import byte_bpe, decontaminate, dialogue_repair, html_text, jaccard_join, language_id, nearest, substring_dedup, suffix_dedup, token_alignment, token_files, url_lists
 from packetloom.session import scratch_path
 
 
@@ -97,6 +97,14 @@ def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue_repair.digests(rows, dialogue_repair.damaged(rows))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as source:
+        definition = source.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as source:
+        model = source.read()
+    return token_alignment.digests(table(spark, sf_dir, "documents"), definition, model)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
@@ -109,6 +117,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
     "op12_dialogue_repair": op12_dialogue_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: Whole-table SQL twins for DuckDB.
