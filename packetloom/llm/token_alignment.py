@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from packetloom.llm.common import Shared, pieces, stored
 from packetloom.llm.hashes import Prefix, mixed
 
-BLOCK_BYTES, SLICE_BYTES, REMEMBERED = 8 << 20, 1 << 20, 300_000
+BLOCK_BYTES, SLICE_BYTES, REMEMBERED = 8 << 20, 1 << 20, 1_000_000  # bytes of text, of text, ids in remembered windows
 MARK = "▁"
 #: Pre-tokens of the byte-level scheme: fixed by that public format.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,12 +51,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class TokenTable:
-    """What each id stands for: bytes, their number, and whether they start with a space."""
+    """What each id stands for: bytes, their number, and whether they start with a space; and its text inside and at the end of a group."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], signs: str):
         self.tokens = tokens
         self.length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.spaced = np.array([t[:1] == b" " for t in tokens])
+        self.signed = [f"{i}{sign}" for i in range(len(tokens)) for sign in signs]
 
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -81,7 +82,7 @@ class ByteLevel:
             if word not in special:
                 tokens[i] = bytes(letters[c] for c in word)
                 ranks[tokens[i]] = i
-        self.table = TokenTable(tokens)
+        self.table = TokenTable(tokens, ",|")
         merges = [m if isinstance(m, list) else m.split(" ") for m in parsed["model"]["merges"]]
         made = [vocabulary["".join(m)] for m in merges]
         rule = parsed.get("pre_tokenizer") or {}
@@ -112,32 +113,43 @@ class Pieces:
         for i in range(self.library.get_piece_size()):
             piece = self.library.id_to_piece(i)
             tokens.append(bytes([int(piece[3:5], 16)]) if self.library.is_byte(i) else piece.replace(MARK, " ").encode())
-        self.table = TokenTable(tokens)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
-
-
-def window_alignment(a: list[int], b: list[int], length_a: list[int], length_b: list[int]) -> tuple[str, list[int]]:
-    """(groups as text, overlapping pairs as a << 32 | b) of one window, walking both sides by bytes."""
-    i = j = 0
-    end_a, end_b = length_a[0], length_b[0]
-    groups, links, first_a, first_b = [], [], 0, 0
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-            i, j = i + 1, j + 1
-            first_a, first_b = i, j
-            if i == len(a):
-                return ";".join(groups), links
-            end_a, end_b = end_a + length_a[i], end_b + length_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += length_a[i]
-        else:
-            j += 1
-            end_b += length_b[j]
+        self.table = TokenTable(tokens, ",;")
+
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text)
+
+
+def flat_spans(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all stretches, one after another."""
+    return np.arange(size.sum()) + np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else np.zeros(0, dtype=np.int64)
+
+
+def window_alignments(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, table_a: TokenTable, table_b: TokenTable) -> list[tuple[str, bytes, int]]:
+    """(groups as text, overlapping pairs as 64-bit a << 32 | b, number of groups) of every window; ``a`` and ``b`` hold the windows' ids one after another.
+
+    Both sides of a window cover the same bytes, so ends are compared over all windows at once: between two
+    neighbouring ends of either side lies exactly one overlapping pair, and a shared end closes a group.
+    """
+    end_a, end_b = np.cumsum(table_a.length[a]), np.cumsum(table_b.length[b])
+    ends = np.union1d(end_a, end_b)
+    link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    links = (a[link_a].astype(np.int64) << 32 | b[link_b]).tobytes()
+    shared = np.flatnonzero((end_a[link_a] == ends) & (end_b[link_b] == ends))
+    last_a, last_b = link_a[shared], link_b[shared]
+    # a group's ids of A, then those of B: each id's text ends with the sign that follows it
+    group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+    closes_a, closes_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    closes_a[last_a], closes_b[last_b] = 1, 1
+    order = np.empty(len(a) + len(b), dtype=np.int64)
+    order[np.arange(len(a)) + np.r_[0, last_b + 1][group_a]] = 2 * a + closes_a
+    order[np.arange(len(b)) + last_a[group_b] + 1] = 2 * b + closes_b + len(table_a.signed)
+    signed = table_a.signed + table_b.signed
+    written = list(map(signed.__getitem__, order.tolist()))
+    top_a, top_b = np.cumsum(size_a), np.cumsum(size_b)
+    top = end_a[top_a - 1]
+    hi_link, hi_group, hi_id = np.searchsorted(ends, top) + 1, np.searchsorted(ends[shared], top) + 1, top_a + top_b
+    bounds = zip(*(x.tolist() for x in (np.r_[0, hi_id[:-1]], hi_id, 8 * np.r_[0, hi_link[:-1]], 8 * hi_link, np.diff(hi_group, prepend=0))))
+    return [("".join(written[p:q])[:-1], links[x:y], n) for p, q, x, y, n in bounds]
 
 
 class Aligner:
@@ -156,31 +168,36 @@ class Aligner:
     def ready(self) -> Aligner:
         if self.a is None:
             self.a, self.b = ByteLevel(self.source[0]), Pieces(self.source[1])
-            self.known: dict[tuple[bytes, bytes], tuple[str, np.ndarray, int]] = {}
+            self.known: dict[tuple[bytes, bytes], tuple[str, bytes, int]] = {}
             self.held = 0
         return self
 
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray, int]:
-        key = a.tobytes(), b.tobytes()
-        found = self.known.get(key)
-        if found is None:
-            text, links = window_alignment(a.tolist(), b.tolist(), self.a.table.length[a].tolist(), self.b.table.length[b].tolist())
-            found = text, np.array(links, dtype=np.int64), text.count(";") + 1
-            self.held += len(a) + len(b)
-            if self.held > REMEMBERED * 4:
+    def windows(self, a: np.ndarray, b: np.ndarray, bounds: tuple[np.ndarray, ...]) -> list[tuple[str, bytes, int]]:
+        """Alignments of the windows with these bounds (lo and hi in ``a``, then in ``b``): remembered ones, the others worked out together."""
+        raw_a, raw_b, get = a.tobytes(), b.tobytes(), self.known.get
+        keys = [(raw_a[p:q], raw_b[r:s]) for p, q, r, s in zip(*((4 * x).tolist() for x in bounds))]
+        found = list(map(get, keys))
+        new = np.array([k for k, f in enumerate(found) if f is None], dtype=np.int64)
+        if len(new):
+            lo_a, hi_a, lo_b, hi_b = (x[new] for x in bounds)
+            size_a, size_b = hi_a - lo_a, hi_b - lo_b
+            fresh = window_alignments(a[flat_spans(lo_a, size_a)], b[flat_spans(lo_b, size_b)], size_a, size_b, self.a.table, self.b.table)
+            self.held += int(size_a.sum() + size_b.sum())
+            if self.held > REMEMBERED:
                 self.known.clear()
-                self.held = len(a) + len(b)
-            self.known[key] = found
+                self.held = int(size_a.sum() + size_b.sum())
+            for k, f in zip(new.tolist(), fresh):
+                found[k] = self.known[keys[k]] = f
         return found
 
     def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
         """Ids in A and B of each text, None where they do not stand for a space and the text."""
-        coded = self.b.encode([t or "" for t in texts])
         out = []
-        for t, ids in zip(texts, coded):
+        for t in texts:
             whole = b" " + (t or "").encode()
-            own = self.a.encode(" " + t) if t and self.b.table.joined(ids) == whole else None
-            out.append((own, ids) if own is not None and self.a.table.joined(own) == whole else None)
+            ids = self.b.encode(t) if t else []
+            own = self.a.encode(" " + t) if self.b.table.joined(ids) == whole else []
+            out.append((own, ids) if t and self.a.table.joined(own) == whole else None)
         return out
 
     def slice(self, texts: list[str | None]) -> dict:
@@ -194,8 +211,7 @@ class Aligner:
             return out
         size_a, size_b = (np.array([len(coded[k][s]) for k in good]) for s in (0, 1))
         out["n_a"][good], out["n_b"][good] = size_a, size_b
-        a = np.fromiter((i for k in good for i in coded[k][0]), dtype=np.int32, count=size_a.sum())
-        b = np.fromiter((i for k in good for i in coded[k][1]), dtype=np.int32, count=size_b.sum())
+        a, b = (np.concatenate([np.array(coded[k][s], dtype=np.int32) for k in good]) for s in (0, 1))
         end_a, end_b = np.cumsum(self.a.table.length[a]), np.cumsum(self.b.table.length[b])
         # both ends, after the last token of each: positions in the texts joined, so a text's end is always shared
         both, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
@@ -207,20 +223,19 @@ class Aligner:
         lo_a, lo_b = np.r_[0, hi_a[:-1]], np.r_[0, hi_b[:-1]]
         owner = np.searchsorted(np.cumsum(size_a), lo_a, side="right")
         index, kinds = self._kinds(a, b, lo_a, hi_a, lo_b, hi_b)
-        sizes, groups = np.array([len(k[1]) for k in kinds]), np.array([k[2] for k in kinds])
+        sizes, groups = np.array([len(k[1]) >> 3 for k in kinds]), np.array([k[2] for k in kinds])
         out["n_groups"][good] = np.bincount(owner, weights=groups[index], minlength=len(good)).astype(np.int64)
         out["n_links"][good] = np.bincount(owner, weights=sizes[index], minlength=len(good)).astype(np.int64)
         texts_of, heads = [k[0] for k in kinds], np.searchsorted(owner, np.arange(len(good) + 1))
         for k, lo, hi in zip(good, heads[:-1].tolist(), heads[1:].tolist()):
             out["groups"][k] = ";".join(map(texts_of.__getitem__, index[lo:hi].tolist()))
-        codes, code_of = np.unique(np.concatenate([k[1] for k in kinds]), return_inverse=True)
+        codes, code_of = np.unique(np.frombuffer(b"".join([k[1] for k in kinds]), dtype=np.int64), return_inverse=True)
         first = np.r_[0, np.cumsum(sizes)[:-1]]
         many = sizes[index]
-        links = np.repeat(first[index] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        entry, times = np.unique(np.repeat(np.array(good)[owner], many) << 32 | code_of[links], return_counts=True)
+        entry, times = np.unique(np.repeat(np.array(good)[owner], many) << 32 | code_of[flat_spans(first[index], many)], return_counts=True)
         return out | {"doc": entry >> 32, "pair": entry & 0xFFFFFFFF, "times": times, "codes": codes}
 
-    def _kinds(self, a, b, lo_a, hi_a, lo_b, hi_b) -> tuple[np.ndarray, list[tuple[str, np.ndarray, int]]]:
+    def _kinds(self, a, b, lo_a, hi_a, lo_b, hi_b) -> tuple[np.ndarray, list[tuple[str, bytes, int]]]:
         """(kind of every window, alignment of every kind)."""
         size_a, size_b = hi_a - lo_a, hi_b - lo_b
         spread = lambda x, salt: mixed(x.astype(np.uint64) + np.uint64(salt)) | np.uint64(1)
@@ -229,15 +244,13 @@ class Aligner:
         model = head[index]
         same = (size_a == size_a[model]) & (size_b == size_b[model])
         for ids, lo, size in ((a, lo_a, size_a), (b, lo_b, size_b)):
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            here, there = np.repeat(lo, size) + at, np.minimum(np.repeat(lo[model], size) + at, len(ids) - 1)
+            here, there = flat_spans(lo, size), np.minimum(flat_spans(lo[model], size), len(ids) - 1)
             wrong = np.flatnonzero(ids[here] != ids[there])
-            same[np.repeat(np.arange(len(size)), size)[wrong]] = False
+            same[np.searchsorted(np.cumsum(size), wrong, side="right")] = False
         odd = np.flatnonzero(~same)  # windows of equal hash and different ids stand for themselves
         index[odd] = len(head) + np.arange(len(odd))
         heads = np.r_[head, odd]
-        bounds = zip(lo_a[heads].tolist(), hi_a[heads].tolist(), lo_b[heads].tolist(), hi_b[heads].tolist())
-        return index, [self.window(a[p:q], b[r:s]) for p, q, r, s in bounds]
+        return index, self.windows(a, b, (lo_a[heads], hi_a[heads], lo_b[heads], hi_b[heads]))
 
 
 def packed(pair: np.ndarray, times: np.ndarray, press) -> bytes:
