@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import byte_bpe, decontaminate, dialogue_repair, html_text, jaccard_join, language_id, nearest, substring_dedup, suffix_dedup, token_alignment, token_files, url_lists
+from packetloom.llm import byte_bpe, decontaminate, dialogue_repair, html_text, jaccard_join, language_id, minhash_dedup, nearest, substring_dedup, suffix_dedup, token_alignment, token_files, url_lists
 from packetloom.session import scratch_path
 
 
@@ -92,6 +92,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dialogue_repair.turns(table(spark, sf_dir, "conversations"))
     return dialogue_repair.digests(rows, dialogue_repair.damaged(rows))
@@ -116,6 +120,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op12_dialogue_repair": op12_dialogue_repair,
     "op13_token_alignment": op13_token_alignment,
 }
