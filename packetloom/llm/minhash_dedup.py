@@ -3,14 +3,16 @@
 Every set of shingles gets ``PERMS`` minima of universal hashes ``(a x + b) mod 2^64 >> 32``. ``ROWS`` minima make a band,
 and documents that agree in a band share a bucket: of two sets with Jaccard 0.85 the chance to share none of the
 ``BANDS`` is (1 - 0.85^6)^40 = 6e-9. A candidate pair must then agree in enough of all its minima (their low bytes; the bound
-lies more than six standard deviations below the threshold), and is confirmed on the full sets. Components come from
+lies five standard deviations below the threshold), and is confirmed on the full sets. Components come from
 alternating large-star and small-star steps.
 
 1. Equal sets (128-bit sums over all shingles, and the size) are one class; only one document of a class goes on.
 2. In every bucket the other classes are compared with its least one, so a bucket of n classes gives n - 1 pairs.
-3. Buckets whose classes still lie in several components are compared inside, across components only. A crowded
-   bucket is first banded again by its classes' other bands; what stays crowded is split into blocks, whose pairs are
-   worked on apart. Only pairs that agree in enough minima leave a task.
+3. In buckets whose classes still lie in several components, all are compared with the class that agrees best with the
+   bucket's most frequent minima: copies of one original are often alike only through it.
+4. Buckets that are still mixed are compared inside, across components only, a pair in the first bucket it shares. A
+   crowded bucket is split into blocks, whose pairs are worked on apart. A pair leaves its task only if it agrees in enough minima, and if 16 bits of every shingle allow
+   the similarity: a bound that no shared shingle escapes.
 
 So no link between different texts is lost, and groups of copies never list their pairs.
 
@@ -32,12 +34,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from packetloom.llm.common import stored, whole_groups
 from packetloom.llm.components import components
 from packetloom.llm.hashes import mixed
-from packetloom.llm.jaccard_join import Sets, texts_in_sets, verified
+from packetloom.llm.jaccard_join import Sets, enough, texts_in_sets, verified
 
 BANDS, ROWS = 40, 6
 PERMS = BANDS * ROWS
-MARGIN = 0.15
-CROWD = 256
+MARGIN = 0.12
+CROWD = 4096
 _DRAWN = np.random.default_rng(20240911).integers(0, 1 << 64, (2, PERMS), dtype=np.uint64)
 FACTOR, SHIFT = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -126,44 +128,97 @@ def similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(fn, "sid long, pivot long")
 
 
+def _stars(percent: int):
+    """Pairs of one block with its centre: the class that agrees most with the block's most frequent minima."""
+
+    def fn(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        sid, comp, n, sig = _block_columns(rows)
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for lo, hi in zip(starts, np.r_[starts[1:], rows.num_rows]):
+            own = sig[lo:hi]
+            seen = np.bincount((np.arange(PERMS) * 256 + own).ravel(), minlength=PERMS * 256).reshape(PERMS, 256)
+            k = lo + int((own == seen.argmax(axis=1)).sum(axis=1).argmax())
+            rest = np.arange(lo, hi)[comp[lo:hi] != comp[k]]
+            rest = rest[alike(sig[k], n[k], sig[rest], n[rest], percent)]
+            found.append(np.stack([np.maximum(sid[k], sid[rest]), np.minimum(sid[k], sid[rest])]))
+        return _pair_table(found)
+
+    return fn
+
+
 def _across(percent: int):
-    """Pairs of one group (one block, or two), of different components and similar signatures."""
+    """Pairs of one block, or of two blocks, of different components and similar signatures, where they share no earlier band."""
 
     def fn(rows: pa.Table, starts: np.ndarray) -> pa.Table:
-        rows = rows.combine_chunks()
-        sid, comp, n, own, x, y = (np.asarray(rows.column(c).chunk(0)) for c in ("sid", "comp", "n", "own", "x", "y"))
-        sig, found = matrix(rows.column("sig").chunk(0)), []
+        sid, comp, n, sig = _block_columns(rows)
+        own, x, y, band = (np.asarray(rows.column(c).chunk(0)) for c in ("own", "x", "y", "band"))
+        keys = np.frombuffer(b"".join(v.as_py() for v in rows.column("bands").chunk(0)), dtype=np.int64).reshape(-1, BANDS)
+        codes = [np.frombuffer(v.as_buffer(), dtype=np.uint16) for v in rows.column("codes").chunk(0)]
+        held = np.zeros(1 << 16, dtype=np.int64)
+        found = [np.zeros((2, 0), dtype=np.int64)]
         for lo, hi in zip(starts, np.r_[starts[1:], rows.num_rows]):
-            for k in range(lo, hi):
-                rest = np.arange(k + 1, hi)
-                rest = rest[(comp[rest] != comp[k]) & ((x[k] == y[k]) | (own[rest] != own[k]))]
+            names, size = np.unique(comp[lo:hi], return_counts=True)
+            largest = names[size.argmax()]
+            first = np.arange(lo, hi)
+            for k in first[comp[lo:hi] != largest]:  # pairs inside the largest component are none
+                rest = first[(comp[lo:hi] != comp[k]) & ((first > k) | (comp[lo:hi] == largest)) & ((x[k] == y[k]) | (own[lo:hi] != own[k]))]
                 rest = rest[alike(sig[k], n[k], sig[rest], n[rest], percent)]
+                rest = rest[(keys[rest] == keys[k]).argmax(axis=1) == band[k]]
+                held[codes[k]] = 1
+                shared = np.array([held[codes[r]].sum() for r in rest], dtype=np.int64)  # at least what the sets share
+                held[codes[k]] = 0
+                rest = rest[enough(shared, n[rest], n[k], percent)]
                 found.append(np.stack([np.maximum(sid[k], sid[rest]), np.minimum(sid[k], sid[rest])]))
-        both = np.concatenate(found, axis=1)
-        return pa.table({"sid": pa.array(both[0], pa.int64()), "pivot": pa.array(both[1], pa.int64())})
+        return _pair_table(found)
 
     return fn
 
 
-def open_pairs(met: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (sid, pivot) of different components that share a bucket and pass the signature."""
-    rows = met.select("bucket", "sid", "band").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    rows = stored(rows.select("bucket", "sid", "band", F.coalesce("component", "sid").alias("comp")), "labelled")
-    sized = lambda t: t.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("bucket", "size")
-    mixed_up = sized(rows)
-    crowded = rows.join(mixed_up.where(f"size > {CROWD}"), "bucket").select("bucket", "sid", "band", "comp")
-    # a pair at the threshold that shares a band shares no other with a chance of 2e-7
-    again = crowded.alias("c").join(entries(classes).alias("e"), F.col("c.sid") == F.col("e.sid")).where(F.col("e.band") != F.col("c.band"))
-    again = again.select(F.xxhash64("c.bucket", "e.bucket").alias("bucket"), "c.sid", "c.comp")
-    again = stored(again, "banded")
-    groups = rows.join(mixed_up.where(f"size <= {CROWD}"), "bucket").select("bucket", "sid", "comp", "size")
-    groups = groups.unionByName(again.join(sized(again), "bucket").select("bucket", "sid", "comp", "size"))
-    blocks = F.ceil(F.col("size") / CROWD).cast("int")
-    placed = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "comp").join(classes.select("sid", "n", "sig"), "sid")
-    laid = placed.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return laid.mapInArrow(lambda batches: whole_groups(batches, ["bucket", "x", "y"], _across(percent), 4096), "sid long, pivot long").distinct()
+def _block_columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    return (*(np.asarray(rows.column(c).chunk(0)) for c in ("sid", "comp", "n")), matrix(rows.column("sig").chunk(0)))
+
+
+def _pair_table(found: list[np.ndarray]) -> pa.Table:
+    both = np.concatenate(found, axis=1)
+    return pa.table({"sid": pa.array(both[0], pa.int64()), "pivot": pa.array(both[1], pa.int64())})
+
+
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, band, sid, comp, blocks) of buckets whose classes lie in several components."""
+    rows = met.select("bucket", "band", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    rows = stored(rows.select("bucket", "band", "sid", F.coalesce("component", "sid").alias("comp")), "labelled")
+    sizes = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"))
+    return rows.join(sizes.where("lo != hi").select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+
+
+def coded(base: DataFrame, sids: DataFrame, width: int) -> DataFrame:
+    """(sid, codes): 16 bits of every shingle of these classes, whose matches are no fewer than the shingles shared."""
+
+    def fn(batches):
+        for batch in batches:
+            for part, sets in texts_in_sets(batch, 1, width):
+                low = (sets.hash & np.uint64(0xFFFF)).astype(np.uint16)
+                raw = [low[lo:hi].tobytes() for lo, hi in zip(sets.edges[:-1], sets.edges[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["sid", "codes"])
+
+    return base.join(sids.select(F.col("sid").alias("doc")), "doc", "left_semi").select("doc", "text").mapInArrow(fn, "sid long, codes binary")
+
+
+def centre_pairs(met: DataFrame, labels: DataFrame, classes: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (sid, pivot) of each block of a mixed bucket with the block's centre, where sizes and minima allow the similarity."""
+    rows = _mixed(met, labels).join(classes.select("sid", "n", "sig"), "sid").select("bucket", "own", "sid", "comp", "n", "sig")
+    laid = rows.repartition("bucket", "own").sortWithinPartitions("bucket", "own")
+    return laid.mapInArrow(lambda batches: whole_groups(batches, ["bucket", "own"], _stars(percent), CROWD), "sid long, pivot long").distinct()
+
+
+def open_pairs(met: DataFrame, labels: DataFrame, classes: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (sid, pivot) of different components that share a bucket, where sizes, minima and codes allow the similarity; each in one bucket only."""
+    rows = stored(_mixed(met, labels), "mixed")
+    codes = coded(base, rows.select("sid").distinct(), width)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # each block meets itself and every other
+    placed = rows.select("bucket", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "comp")
+    laid = placed.join(classes.select("sid", "n", "sig", "bands"), "sid").join(codes, "sid").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return laid.mapInArrow(lambda batches: whole_groups(batches, ["bucket", "x", "y"], _across(percent), CROWD), "sid long, pivot long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -180,9 +235,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     met = stored(places.join(shared, "bucket"), "met")
     stars = stored(met.where("sid != pivot").select("sid", "pivot").distinct(), "stars")
     linked = stored(verified(stored(similar(stars, classes, percent), "near"), points, base, width, percent), "linked")
-    between = open_pairs(met, components(linked), classes, percent).join(stars, ["sid", "pivot"], "left_anti")
-    more = verified(stored(between, "open"), points, base, width, percent)
-    labels = components(stored(linked.unionByName(more), "links"))
+    asked = stars
+    for pairs in (centre_pairs, open_pairs):
+        labels = components(linked)
+        fresh = stored(pairs(met, labels, classes, base, width, percent).join(asked, ["sid", "pivot"], "left_anti"), "pairs")
+        linked = stored(linked.unionByName(verified(fresh, points, base, width, percent)), "linked")
+        asked = asked.unionByName(fresh)
+    labels = components(linked)
     members = stored(full.select("doc", "doc_id", "name_a", "name_b", "n").join(heads, ["name_a", "name_b", "n"]).select("doc_id", "n", "sid"), "members")
     # names are found per class first, so that a component of many classes is not one join key of all its documents
     least = members.groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")

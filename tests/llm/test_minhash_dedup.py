@@ -40,7 +40,7 @@ def test_chains_and_edge_of_the_threshold(spark):
     assert found(minhash_dedup.near_duplicates(documents(spark, rows), 3, 85)) == expected(rows, 3, 85)
 
 
-@pytest.mark.parametrize("crowd", [4, 256])
+@pytest.mark.parametrize("crowd", [8, 4096])
 def test_crowded_buckets(spark, monkeypatch, crowd):
     monkeypatch.setattr(minhash_dedup, "CROWD", crowd)
     rng = random.Random(6)
