@@ -1,7 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 Environment: BENCH_SF_DIR (data folder), BENCH_CPUS (local cores). Every query is
-executed in full and its rows are counted on the executors (``noop`` sink).
+executed in full and its rows are counted on the executors (``noop`` sink). ``store_summary``
+writes the stored packet base, which ``tensor_pack`` then reads.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ HEADLINE = [
     "cut_packet_pct", "cut_time_abs", "cut_packet_abs", "cut_grid", "early_flow_features", "flow_features_full",
     "feature_cut_grid", "label_rules_first", "label_registry_exact", "label_nearest", "fuzzy_one_to_one",
     "exclusion_by_length", "day_label_mix", "feature_quality", "claim_audit", "class_cap", "stratified_split",
-    "mask_strict", "ipv4_checksum", "tensor_pack", "per_class_metrics", "seed_aggregate",
+    "mask_strict", "ipv4_checksum", "store_summary", "tensor_pack", "per_class_metrics", "seed_aggregate",
 ]
 
 

@@ -496,6 +496,11 @@ BYTES = [*view("registry"), *KEPT, *HEAD, *registered(), f"""byte_rows as (selec
  s.h is not null as found, l.label from flow_packets p join labelled l on l.matched and p.capture_file = l.capture_file and p.flow_id = l.flow_id
  left join (select * replace ({ABSENT} as capture_packet_index) from stored) s on s.capture_file = p.capture_file and s.capture_packet_index = p.capture_packet_index
  left join addressed a on a.event_id = s.event_id where p.packet_index < 5)"""]
+ORACLES["store_summary"] = with_(view("frames"), FLOWS, select=f"""
+select p.capture_file, 0 as slice, count(*) as packets, count(*) filter (where packet_index = 0) as flows, count(s.ip_hex) as frames,
+ cast(sum(length(s.ip_hex) // 2) as bigint) as frame_bytes from flow_packets p
+left join (select * replace ({ABSENT} as capture_packet_index) from frames) s on s.capture_file = p.capture_file and s.capture_packet_index = p.capture_packet_index
+group by 1""")
 ORACLES["byte_extraction"] = with_(BYTES, select="""
 select capture_file, flow_id, pkt_order, md5(unhex(raw)) as digest, real_length, found, label from byte_rows""")
 PACKED = [*BYTES, "classed as (select *, replace(label, ' - Attempted', '') as y from byte_rows)",

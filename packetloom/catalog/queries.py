@@ -26,6 +26,7 @@ from packetloom.operators.ordered import stored
 from packetloom.plans import builds
 from packetloom.session import scratch_path
 from packetloom.sources import configs, frames as fr, sinks, tables as tb
+from packetloom.sources.store import KEY, PacketStore, open_store, write_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +54,25 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return flow_features(grouped(spark, sf, PACKET_INPUTS))
 
 
+STORES: dict[tuple[str, str], str] = {}
+
+
+def packet_store(spark: SparkSession, sf: str) -> PacketStore:
+    """The stored base of the packets and their frames: the first job of a session writes it, later ones read it."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in STORES:
+        path = scratch_path(spark, "store")
+        write_store(grouped(spark, sf, PACKET_INPUTS), path, _some_absent(byte_frames(spark, sf)), spark.sparkContext.defaultParallelism)
+        STORES[at] = path
+    return open_store(spark, STORES[at])
+
+
+def stored_heads(store: PacketStore) -> DataFrame:
+    return store.flows().select(
+        *fl.FLOW, "flow_src_ip", "flow_dst_ip", "flow_src_port", "flow_dst_port", "protocol", "flow_start_us", "flow_total_packets"
+    )
+
+
 def flow_heads(spark: SparkSession, sf: str) -> DataFrame:
     return fl.first_packets(grouped(spark, sf)).select(
         *fl.FLOW, "flow_src_ip", "flow_dst_ip", "flow_src_port", "flow_dst_port", "protocol", "flow_start_us"
@@ -758,10 +778,25 @@ def link_stripped(spark, sf):
     return byte_frames(spark, sf).select("event_id", F.hex(hb.strip_link(frame, link)).alias("packet"))
 
 
+def _chosen(spark, sf):
+    return registry_labelled(spark, sf, stored_heads(packet_store(spark, sf))).where("matched")
+
+
 def _byte_rows(spark, sf, packets=5):
-    frames = _some_absent(byte_frames(spark, sf))
-    chosen = registry_labelled(spark, sf).where("matched")
-    return builds.extract_bytes(grouped(spark, sf), chosen, frames, packets)
+    return builds.extract_stored_bytes(packet_store(spark, sf), _chosen(spark, sf), packets)
+
+
+@query
+def store_summary(spark, sf):
+    """What the stored base holds, per capture and slice."""
+    return packet_store(spark, sf).packets.groupBy("capture_file", "slice").agg(
+        F.count(F.lit(1)).alias("packets"), F.count_if(F.col("packet_index") == 0).alias("flows"),
+        F.count("ip_bytes").alias("frames"), F.sum(F.octet_length("ip_bytes").cast("long")).alias("frame_bytes"))
+
+
+def _packed(spark, sf):
+    flows = tn.supported_flows(stored(_chosen(spark, sf), "chosen"), 100)
+    return tn.pack_flows(builds.extract_stored_bytes(packet_store(spark, sf), flows), 5, 256, None, key=KEY)
 
 
 @query
@@ -771,7 +806,7 @@ def byte_extraction(spark, sf):
 
 @query
 def tensor_pack(spark, sf):
-    packed = tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100)
+    packed = _packed(spark, sf)
     return packed.select(*fl.FLOW, "y", *[F.hex(F.get("packets", F.lit(i))).alias(f"packet_{i}") for i in range(5)],
                          *[F.get("padding", F.lit(i)).alias(f"padding_{i}") for i in range(5)])
 
@@ -780,7 +815,7 @@ def tensor_pack(spark, sf):
 def byte_features(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    packed = tn.byte_features(tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100))
+    packed = tn.byte_features(_packed(spark, sf))
     values = vector_to_array("features")
     return packed.select(*fl.FLOW, F.size(values).alias("width"),
                          F.rint(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * 255)).cast("long").alias("byte_sum"))
@@ -788,7 +823,7 @@ def byte_features(spark, sf):
 
 @query
 def time_encoding(spark, sf):
-    packed = tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100).withColumn("code", tn.time_encoding("times", "padding", 4))
+    packed = _packed(spark, sf).withColumn("code", tn.time_encoding("times", "padding", 4))
     return packed.select(*fl.FLOW, *[
         F.round(F.get(F.get("code", F.lit(i)), F.lit(j)), 4).alias(f"c{i}{j}") for i in range(5) for j in range(4)])
 
@@ -886,7 +921,7 @@ for _name, _options in {"xgb": ROUNDS["xgb"], "gnb": {}, "logreg": {}, "svm": {}
 
 @query
 def occlusion_sweep(spark, sf):
-    packed = stored(tn.pack_flows(_byte_rows(spark, sf), 5, 256, 100).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets"), "packed")
+    packed = stored(_packed(spark, sf).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets"), "packed")
     split = sp.train_test_split(packed, "label", fl.FLOW, SEED)
     train = tn.byte_features(split.where("split = 'train'"))
     model = md.fit("rf", train, "features", SEED, trees=100, depth=30)
@@ -1124,7 +1159,7 @@ def part_statistics(spark, sf):
 
 @query
 def registry_cuts(spark, sf):
-    built = builds.registry_labelled_cuts(view(spark, sf, "packets"), view(spark, sf, "registry").drop("capture_file"),
+    built = builds.registry_labelled_cuts(packet_store(spark, sf), view(spark, sf, "registry").drop("capture_file"),
                                           [ct.Cut(ct.PACKET_COUNT, 3), ct.Cut(ct.PACKET_COUNT, 5)], "last")
     return built.flows.groupBy("cut", "label", "matched").agg(
         F.count(F.lit(1)).alias("flows"), F.sum("tot_fwd_pkts").alias("fwd"), F.sum("totlen_bwd_pkts").alias("bwd_bytes"))

@@ -17,9 +17,17 @@ from packetloom.operators.flows import FLOW
 from packetloom.operators.metrics import confusion_counts, overall, per_class
 
 
+def supported_flows(flows: DataFrame, min_real: int = 100) -> DataFrame:
+    """Flows (one row each, with ``label``) of the classes with ``min_real`` flows that are no attempts."""
+    marked = flows.withColumn("_y", collapse_attempt("label", anywhere=True))
+    real = F.count_if(~is_attempt("label"))
+    kept = marked.groupBy("_y").agg(real.alias("_real")).where(F.col("_real") >= min_real)
+    return marked.join(kept.select("_y"), "_y", "left_semi").select(*flows.columns)
+
+
 def pack_flows(
-    byte_rows: DataFrame, max_packets: int = 5, n_bytes: int = N_BYTES, min_real: int = 100,
-    count_before_found: bool = True,
+    byte_rows: DataFrame, max_packets: int = 5, n_bytes: int = N_BYTES, min_real: int | None = 100,
+    count_before_found: bool = True, key: Sequence[str] = tuple(FLOW),
 ) -> DataFrame:
     """One row per flow: ``packets`` ARRAY<BINARY>, ``padding`` ARRAY<BOOLEAN>,
     ``times`` ARRAY<FLOAT> and the class ``y``.
@@ -27,18 +35,22 @@ def pack_flows(
     ``byte_rows``: flow, pkt_order, timestamp_rel, raw_bytes, found, label. Missing
     slots are zero bytes and padding. Classes need ``min_real`` flows that are no
     attempts; whether flows without any found packet count towards that differs
-    between data sets.
+    between data sets. With None all classes stay: choose the flows by :func:`supported_flows`
+    before their bytes are fetched. ``key`` names the columns that the rows are laid out by,
+    where those are the flow and more.
     """
     rows = byte_rows.withColumn("y", collapse_attempt("label", anywhere=True))
-    counted = rows if count_before_found else rows.where("found")
-    flows = counted.groupBy(*FLOW, "y").agg(F.bool_and(is_attempt("label")).alias("_attempt"))
-    kept = flows.groupBy("y").agg(F.count_if(~F.col("_attempt")).alias("_real")).where(F.col("_real") >= min_real)
-    held = rows.where(F.col("found")).join(kept.select("y"), "y", "left_semi")
+    held = rows.where(F.col("found"))
+    if min_real is not None:
+        counted = rows if count_before_found else held
+        flows = counted.groupBy(*key, "y").agg(F.bool_and(is_attempt("label")).alias("_attempt"))
+        kept = flows.groupBy("y").agg(F.count_if(~F.col("_attempt")).alias("_real")).where(F.col("_real") >= min_real)
+        held = held.join(kept.select("y"), "y", "left_semi")
     slot = F.struct(
         F.col("pkt_order").cast("int").alias("at"),
         F.substring("raw_bytes", 1, n_bytes).alias("raw"), F.col("timestamp_rel").alias("t"),
     )
-    grouped = held.groupBy(*FLOW).agg(
+    grouped = held.groupBy(*key).agg(
         F.min_by("y", "pkt_order").alias("y"),
         F.collect_list(F.when(F.col("pkt_order") < max_packets, slot)).alias("_slots"),
     )

@@ -25,7 +25,7 @@ from packetloom.operators import reports as rp
 from packetloom.operators import sampling as sp
 from packetloom.operators.features import PACKET_INPUTS, flow_features
 from packetloom.operators.selection import feature_columns
-from packetloom.sources import sinks
+from packetloom.sources.store import KEY, PacketStore, per_slice, write_store
 
 WHOLE = ct.Cut(ct.PACKET_SHARE, 1.0)
 
@@ -60,18 +60,20 @@ class RegistryBuild:
 
 
 def registry_labelled_cuts(
-    packets: DataFrame, registry: DataFrame, cuts: Sequence[ct.Cut], keep: str = "last",
+    packets: DataFrame | PacketStore, registry: DataFrame, cuts: Sequence[ct.Cut], keep: str = "last",
     match_path: str | None = None, dedup: bool = False,
 ) -> RegistryBuild:
     """Labels come from the whole flows, features from every cut of them.
 
     The grouped packets are used twice; with ``match_path`` they are written there
-    once and read back, which is what a large run should do.
+    once as a store and read back, which is what a large run should do. A store may also
+    be given in place of packets.
     """
-    base = packet_base(packets, dedup)
-    if match_path is not None:
-        sinks.write_table(base, match_path)
-        base = packets.sparkSession.read.parquet(match_path)
+    if isinstance(packets, PacketStore):
+        base = packets.packets
+    else:
+        base = packet_base(packets, dedup)
+        base = base if match_path is None else write_store(base, match_path).packets
     whole = fl.first_packets(base).select(
         *fl.FLOW, "flow_src_ip", "flow_dst_ip", "flow_src_port", "flow_dst_port", "protocol", "flow_start_us"
     )
@@ -138,6 +140,26 @@ def extract_bytes(
     )
 
 
+def extract_stored_bytes(
+    store: PacketStore, chosen: DataFrame, packets: int = 5, n_bytes: int = hb.N_BYTES, strict: bool = False,
+) -> DataFrame:
+    """:func:`extract_bytes` on a store with frames, keyed by ``KEY``: packets are neither grouped nor shuffled again.
+
+    ``chosen`` needs ``flow_total_packets``.
+    """
+    since = ((F.col("ts_us") - F.col("flow_start_us")).cast("double") / 1e6).cast("float")
+    first = store.packets.where(F.col("packet_index") < packets)
+    mask = hb.mask_strict if strict else hb.mask_addresses
+    first = first.select(*KEY, "packet_index", "capture_packet_index", since.alias("timestamp_rel"), mask(F.col("ip_bytes")).alias("_masked"))
+    wanted = per_slice(chosen.select(*fl.FLOW, "label", "attempted_category", "flow_total_packets"), packets)
+    return first.join(wanted.drop("flow_total_packets"), KEY).select(
+        *KEY, F.col("packet_index").cast("byte").alias("pkt_order"), "capture_packet_index", "timestamp_rel",
+        hb.to_fixed_length(F.col("_masked"), n_bytes).alias("raw_bytes"),
+        F.coalesce(F.octet_length("_masked"), F.lit(0)).cast("int").alias("real_length"),
+        F.col("_masked").isNotNull().alias("found"), "label", "attempted_category",
+    )
+
+
 def derive_bytes(byte_rows: DataFrame, variant: str) -> DataFrame:
     """Stored bytes under a derived mask."""
     raw = F.col("raw_bytes")

@@ -13,7 +13,7 @@ from packetloom.catalog.views import TABLES
 FOLDER = "/root/testdata/sf0.001"
 QUICK = [
     "packet_fields_unified", "flow_grouping", "cross_capture_dedup", "cut_grid", "flow_features_full", "label_rules_narrowest",
-    "label_nearest", "fuzzy_apply", "claim_audit", "exclusion_by_length", "within_day_split", "mask_strict", "tensor_pack",
+    "label_nearest", "fuzzy_apply", "claim_audit", "exclusion_by_length", "within_day_split", "mask_strict", "store_summary", "byte_extraction", "tensor_pack",
     "per_class_metrics", "window_table", "registry_cuts",
 ]
 
