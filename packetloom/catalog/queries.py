@@ -898,25 +898,28 @@ def forest_importances(spark, sf):
     return built.importances
 
 
-def _classifier(name, candidates=(), patience=1):
-    """A model at full rounds, or at the best of ``candidates`` by a validation share of the training rows."""
+def _classifier(name):
+    """A model at full rounds; boosting and the perceptron end by a validation share that is not trained on."""
     def run(spark, sf):
         rows = _model_rows(spark, sf)
         columns = sel.feature_columns(rows)
         clean = pk.apply_finite_policy(rows.select(*fl.FLOW, "label", *columns), columns, "zero")
-        split = stored((sp.three_way_split if candidates else sp.train_test_split)(clean, "label", fl.FLOW, SEED), "split")
-        train, options = split.where("split = 'train'"), {}
-        if candidates:
-            options["rounds"], _ = md.tune_rounds(name, train, split.where(F.col("split") == sp.VALID), columns, SEED, candidates, patience)
-        stacked = md.run_models([name], train, split.where("split = 'test'"), columns, SEED, options={name: options})
+        split = stored((sp.three_way_split if name in ("xgb", "mlp") else sp.train_test_split)(clean, "label", fl.FLOW, SEED), "split")
+        train, test = split.where("split = 'train'"), split.where("split = 'test'")
+        if name == "mlp":
+            model, _ = md.train_on(train, split.where(F.col("split") == sp.VALID), columns, SEED)
+            stacked = md.predict(model, test).select("y_true", "y_pred").withColumn("model", F.lit(name))
+        elif name == "xgb":
+            seen = split.where("split <> 'test'").withColumn("held_out", F.col("split") == sp.VALID)
+            stacked = md.run_models([name], seen, test, columns, SEED, options={name: {"held_out": "held_out"}})
+        else:
+            stacked = md.run_models([name], train, test, columns, SEED)
         return md.model_summary(stacked)
     return run
 
 
-#: Boosting stops when 30 more rounds bring nothing; the perceptron when 20 do not.
-ROUNDS = {"xgb": {"candidates": range(30, 601, 30)}, "mlp": {"candidates": range(10, 201, 10), "patience": 2}}
-for _name, _options in {"xgb": ROUNDS["xgb"], "gnb": {}, "logreg": {}, "svm": {}, "mlp": ROUNDS["mlp"]}.items():
-    QUERIES[f"classifier_{_name}"] = _classifier(_name, **_options)
+for _name in ("xgb", "gnb", "logreg", "svm", "mlp"):
+    QUERIES[f"classifier_{_name}"] = _classifier(_name)
 
 
 @query

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +22,7 @@ from packetloom.operators.metrics import best_epoch, confusion_counts, overall
 from packetloom.operators.sampling import with_sample_weight
 
 LABEL, CODE, WEIGHT = "label", "_code", "weight"
-RAW, SCALED = "_raw_features", "_features"
+RAW, SCALED, MARGIN = "_raw_features", "_features", "_margin_"
 
 
 def _forest(seed: int, classes: int, width: int, trees: int = 100, depth: int = 20, weighted: bool = True):
@@ -28,9 +33,35 @@ def _forest(seed: int, classes: int, width: int, trees: int = 100, depth: int =
     return (model.setWeightCol(WEIGHT) if weighted else model), False
 
 
-def _boosted(seed: int, classes: int, width: int, rounds: int = 600, depth: int = 6):
-    trees = GBTClassifier(featuresCol=RAW, labelCol=CODE, maxIter=rounds, maxDepth=depth, stepSize=0.08, subsamplingRate=0.85, seed=seed)
-    return OneVsRest(classifier=trees, featuresCol=RAW, labelCol=CODE, weightCol=WEIGHT), False
+def _boosted(
+    seed: int, classes: int, width: int, rounds: int = 600, depth: int = 6, held_out: str | None = None, tolerance: float = 0.01,
+    parallel: int = 8,
+):
+    """Boosted trees of every class against the rest. With ``held_out``, a boolean column, those rows are not trained on:
+    the trees of a class end where their loss on the held-out rows no longer falls by ``tolerance`` (of the loss),
+    so one fit per class finds its number of rounds."""
+    trees = GBTClassifier(featuresCol=RAW, weightCol=WEIGHT, maxIter=rounds, maxDepth=depth, stepSize=0.08, subsamplingRate=0.85, seed=seed)
+    if held_out:
+        trees = trees.setParams(validationIndicatorCol=held_out, validationTol=tolerance)
+    return EachClass(trees, classes, parallel), False
+
+
+class EachClass(Estimator):
+    """One binary model per class, a few at a time; :func:`predict` takes the class with the greatest margin."""
+
+    def __init__(self, classifier: GBTClassifier, classes: int, parallel: int):
+        super().__init__()
+        self.classifier, self.classes, self.parallel = classifier, classes, parallel
+
+    def _fit(self, rows: DataFrame) -> PipelineModel:
+        def train(k: int):
+            own = self.classifier.copy().setLabelCol("_own").setRawPredictionCol(f"{MARGIN}{k}")
+            own = own.setProbabilityCol(f"_probability_{k}").setPredictionCol(f"_prediction_{k}")
+            return own.fit(rows.withColumn("_own", (F.col(CODE) == k).cast("double")))
+
+        # a round is many short jobs: the classes' jobs fill the cluster together
+        with ThreadPool(min(self.parallel, self.classes)) as pool:
+            return PipelineModel(pool.map(inheritable_thread_target(rows.sparkSession)(train), range(self.classes)))
 
 
 def _bayes(seed: int, classes: int, width: int):
@@ -48,10 +79,12 @@ def _svm(seed: int, classes: int, width: int, rounds: int = 100, penalty: float
     return OneVsRest(classifier=margin, featuresCol=SCALED, labelCol=CODE, weightCol=WEIGHT), True
 
 
-def _perceptron(seed: int, classes: int, width: int, rounds: int = 100):
-    return MultilayerPerceptronClassifier(
+def _perceptron(seed: int, classes: int, width: int, rounds: int = 100, weights: DenseVector | None = None):
+    """``weights`` of an earlier model of the same layers: training goes on from there."""
+    model = MultilayerPerceptronClassifier(
         featuresCol=SCALED, labelCol=CODE, layers=[width, 128, 64, classes], maxIter=rounds, seed=seed,
-    ), True
+    )
+    return (model if weights is None else model.setInitialWeights(weights)), True
 
 
 TRAINERS: dict[str, Callable] = {
@@ -70,7 +103,8 @@ def fit(name: str, train: DataFrame, features: Sequence[str] | str, seed: int =
     rows = with_sample_weight(train, LABEL)
     # Read many times below: kept in memory or on disk, recomputed if an executor goes.
     vector = isinstance(features, str)
-    rows = (rows.withColumnRenamed(features, RAW) if vector else rows).select(LABEL, WEIGHT, *([RAW] if vector else features))
+    extra = [options["held_out"]] if options.get("held_out") else []
+    rows = (rows.withColumnRenamed(features, RAW) if vector else rows).select(LABEL, WEIGHT, *extra, *([RAW] if vector else features))
     rows = rows.persist()
     try:
         indexer = StringIndexer(inputCol=LABEL, outputCol=CODE, stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
@@ -91,6 +125,9 @@ def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str] | str
     source = rows.withColumnRenamed(features, RAW) if isinstance(features, str) else rows
     indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
     scored = model.transform(source)
+    if "prediction" not in scored.columns:
+        margins = F.array(*[vector_to_array(f"{MARGIN}{k}")[1] for k in range(len(indexer.labels))])
+        scored = scored.withColumn("prediction", (F.array_position(margins, F.array_max(margins)) - 1).cast("double"))
     named = IndexToString(inputCol="prediction", outputCol="y_pred", labels=list(indexer.labels)).transform(scored)
     keep = [c for c in rows.columns if c != features]
     return named.select(*keep, F.col(LABEL).alias("y_true"), "y_pred")
@@ -103,22 +140,26 @@ def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFra
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def tune_rounds(
-    name: str, train: DataFrame, valid: DataFrame, features, seed: int, candidates: Sequence[int], patience: int,
-) -> tuple[int, DataFrame]:
-    """Training rounds by validation macro-F1 with patience; also the history, which ends where patience does."""
-    history, best = [], 0
-    for rounds in sorted(candidates):
-        model = fit(name, train, features, seed, rounds=rounds)
+def train_on(
+    train: DataFrame, valid: DataFrame, features: Sequence[str] | str, seed: int, step: int = 10, most: int = 200, patience: int = 2,
+) -> tuple[PipelineModel, DataFrame]:
+    """A perceptron trained ``step`` rounds at a time from its last weights, and its history by epoch (one per step).
+
+    Training ends after ``patience`` epochs without a better macro-F1 on ``valid``; the best epoch's model is returned.
+    Earlier rounds are never repeated.
+    """
+    history, models, weights = [], [], None
+    for epoch in range(most // step):
+        model = fit("mlp", train, features, seed, rounds=step, weights=weights)
+        weights = model.stages[-1].weights
         scored = overall(confusion_counts(predict(model, valid, features))).first()
-        history.append((len(history), rounds, float(scored["macro_f1"])))
-        if history[-1][2] > history[best][2]:
-            best = history[-1][0]
-        elif history[-1][0] - best >= patience:
+        history.append((epoch, (epoch + 1) * step, float(scored["macro_f1"])))
+        models.append(model)
+        best = max(range(epoch + 1), key=lambda e: (history[e][2], -e))
+        if epoch - best >= patience:
             break
     table = train.sparkSession.createDataFrame(history, "epoch int, rounds int, val_macro_f1 double")
-    best = best_epoch(table, patience).first()["best_epoch"]
-    return history[best][1], table
+    return models[best_epoch(table, patience).first()["best_epoch"]], table
 
 
 def run_models(

@@ -1,39 +1,82 @@
-"""Registered classifiers train for the whole job."""
+"""Classifiers are really trained: on small tables, to the end that their held-out rows set."""
 
-from types import SimpleNamespace
+import math
+
+import pytest
+from pyspark.sql import functions as F
 
 from packetloom.catalog import queries as qs
 from packetloom.operators import models as md
+from packetloom.operators.metrics import confusion_counts, overall
+from packetloom.operators.sampling import with_sample_weight
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Three classes on a plane with some noise, a fifth of the rows held out."""
+    def point(i):
+        label = "abc"[i % 3]
+        turn = 2.1 * (i % 3) + 0.6 * math.sin(i * 12.9898)
+        return label, math.cos(turn) + 0.1 * math.sin(i * 7.7), math.sin(turn) + 0.1 * math.cos(i * 3.3), i % 5 == 0
+
+    return spark.createDataFrame([point(i) for i in range(240)], "label string, x double, y double, held_out boolean").coalesce(1)
+
+
+def macro_f1(model, table):
+    return overall(confusion_counts(md.predict(model, table, ["x", "y"]))).first()["macro_f1"]
+
+
+def test_boosting_ends_by_the_held_out_rows(spark, rows):
+    model = md.fit("xgb", rows, ["x", "y"], 1, rounds=15, depth=2, held_out="held_out")
+    trees = [m.getNumTrees for m in model.stages[-1].stages]
+    assert len(trees) == 3 and all(1 <= t <= 15 for t in trees)
+    assert macro_f1(model, rows.where("held_out")) > 0.8
+    # each class ends before the first round that gains too little on held-out rows
+    for k, own in enumerate(model.stages[-1].stages):
+        table = model.stages[1].transform(model.stages[0].transform(with_sample_weight(rows, "label").where("held_out")))
+        loss = own.evaluateEachIteration(table.withColumn("_own", (F.col(md.CODE) == k).cast("double")))
+        assert loss == sorted(loss, reverse=True)
+
+
+def test_boosting_without_held_out_rows_runs_all_rounds(rows):
+    model = md.fit("xgb", rows, ["x", "y"], 1, rounds=2, depth=2)
+    assert [m.getNumTrees for m in model.stages[-1].stages] == [2, 2, 2]
+
+
+def test_margins_decide_and_models_can_be_stored(spark, rows, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    model = md.fit("xgb", rows, ["x", "y"], 1, rounds=1, depth=2)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    pick = lambda m: sorted(map(tuple, md.predict(m, rows, ["x", "y"]).select("x", "y_true", "y_pred").collect()))
+    assert pick(model) == pick(again)
+
+
+def test_perceptron_goes_on_from_its_last_weights(spark, rows):
+    train, valid = rows.where("not held_out"), rows.where("held_out")
+    model, history = md.train_on(train, valid, ["x", "y"], 1, step=4, most=8, patience=2)
+    found = [tuple(r) for r in history.orderBy("epoch").collect()]
+    assert [r[:2] for r in found] == [(e, 4 * (e + 1)) for e in range(len(found))]
+    best = max(range(len(found)), key=lambda e: (found[e][2], -e))
+    assert len(found) == 2 or len(found) - 1 - best == 2
+    assert macro_f1(model, valid) == pytest.approx(found[best][2])
+    first = md.fit("mlp", train, ["x", "y"], 1, rounds=4)
+    second = md.fit("mlp", train, ["x", "y"], 1, rounds=4, weights=first.stages[-1].weights)
+    assert macro_f1(second, valid) == pytest.approx(found[1][2])
+
+
+@pytest.mark.parametrize("name", ["gnb", "svm"])
+def test_other_models_learn(rows, name):
+    train, test = rows.where("not held_out"), rows.where("held_out")
+    stacked = md.run_models([name], train, test, ["x", "y"], 1)
+    assert md.model_summary(stacked).first()["macro_f1"] > 0.7
 
 
-def test_rounds_end_with_patience(spark, monkeypatch):
-    scores, asked = {10: 0.2, 20: 0.5, 30: 0.5, 40: 0.4, 50: 0.9}, []
-    monkeypatch.setattr(md, "fit", lambda name, train, features, seed, rounds: asked.append(rounds) or rounds)
-    monkeypatch.setattr(md, "predict", lambda model, rows, features: model)
-    monkeypatch.setattr(md, "confusion_counts", lambda rounds: rounds)
-    monkeypatch.setattr(md, "overall", lambda rounds: SimpleNamespace(first=lambda: {"macro_f1": scores[rounds]}))
-    rounds, history = md.tune_rounds("xgb", spark.range(1), None, [], 1, list(scores), 2)
-    assert rounds == 20 and asked == [10, 20, 30, 40] and history.count() == 4
-
-
-def test_classifiers_train_in_full(spark, monkeypatch):
-    trained = {}
-
-    def tuned(name, train, valid, features, seed, candidates, patience):
-        assert not valid.isEmpty() and not train.isEmpty()
-        assert train.select(*qs.fl.FLOW).intersect(valid.select(*qs.fl.FLOW)).isEmpty()
-        trained[name] = max(candidates)
-        return 77, None
-
-    def run(names, train, test, features, seed, options):
-        assert not test.isEmpty()
-        trained[f"{names[0]} options"] = options[names[0]]
-        return test.selectExpr("label as y_true", "label as y_pred", f"'{names[0]}' as model")
-
-    monkeypatch.setattr(md, "tune_rounds", tuned)
-    monkeypatch.setattr(md, "run_models", run)
-    for name in ("xgb", "svm", "mlp"):
-        assert qs.QUERIES[f"classifier_{name}"](spark, "/root/testdata/sf0.001").count() == 1
-    assert trained == {"xgb": 600, "xgb options": {"rounds": 77}, "svm options": {}, "mlp": 200, "mlp options": {"rounds": 77}}
-    trees = md.TRAINERS["xgb"](1, 2, 3)[0].getClassifier()
+def test_registered_models_keep_their_full_rounds():
+    assert {f"classifier_{n}" for n in ("xgb", "gnb", "logreg", "svm", "mlp")} <= set(qs.QUERIES)
+    trees = md.TRAINERS["xgb"](1, 2, 3)[0].classifier
     assert (trees.getMaxIter(), trees.getStepSize(), trees.getMaxDepth()) == (600, 0.08, 6)
+    with pytest.raises(ValueError):
+        md.fit("other", None, [])
+    assert md.run_models(["rf", "mlp"], None, None, [], dry_run=True) == ["rf", "mlp"]
