@@ -233,13 +233,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     places = entries(classes)
     shared = places.groupBy("bucket").agg(F.min("sid").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
     met = stored(places.join(shared, "bucket"), "met")
+    # texts are fetched again below, but only of classes that met another
+    texts = stored(base.join(met.select(F.col("sid").alias("doc")).distinct(), "doc", "left_semi").select("doc", "key", "doc_id", "text"), "texts")
     stars = stored(met.where("sid != pivot").select("sid", "pivot").distinct(), "stars")
-    linked = stored(verified(stored(similar(stars, classes, percent), "near"), points, base, width, percent), "linked")
+    linked = stored(verified(stored(similar(stars, classes, percent), "near"), points, texts, width, percent), "linked")
     asked = stars
     for pairs in (centre_pairs, open_pairs):
         labels = components(linked)
-        fresh = stored(pairs(met, labels, classes, base, width, percent).join(asked, ["sid", "pivot"], "left_anti"), "pairs")
-        linked = stored(linked.unionByName(verified(fresh, points, base, width, percent)), "linked")
+        fresh = stored(pairs(met, labels, classes, texts, width, percent).join(asked, ["sid", "pivot"], "left_anti"), "pairs")
+        linked = stored(linked.unionByName(verified(fresh, points, texts, width, percent)), "linked")
         asked = asked.unionByName(fresh)
     labels = components(linked)
     members = stored(full.select("doc", "doc_id", "name_a", "name_b", "n").join(heads, ["name_a", "name_b", "n"]).select("doc_id", "n", "sid"), "members")
