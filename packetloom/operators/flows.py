@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.packets import canonical_key, capture_host, ipv4_number
-from packetloom.operators.ordered import MAX_KEY_ROWS, Kernel, ordered_fold
+from packetloom.operators.ordered import MAX_KEY_ROWS, ordered_fold
+from packetloom.operators.spans import FRESH, NEVER, SpanKernel, Steps, fold_in_spans
 
 ACTIVE_TIMEOUT_SECONDS = 120.0
 ACTIVE_GAP_SECONDS = 5.0
@@ -65,9 +66,9 @@ def _masked(values: np.ndarray, valid: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.array(values, type=kind, mask=~valid)
 
 
-class FlowKernel(Kernel):
+class FlowKernel(SpanKernel):
     """Which side started a key does not move any flow edge: a flow ends when both
-    sides have sent a FIN, so chunks can be settled before the initiator is known."""
+    sides have sent a FIN, so edges are found before the initiator is known."""
 
     def __init__(self, timeout_us: int, gap_us: int):
         self.timeout_us = timeout_us
@@ -82,17 +83,76 @@ class FlowKernel(Kernel):
         side = table.column("from_b").to_numpy(zero_copy_only=False).astype(bool)
         return get("ts_us"), get("capture_packet_index"), side, fin, reset
 
-    def reset(self, table: pa.Table) -> int | None:
-        """Last row of one key that opens a flow whatever came before."""
-        ts, _, _, _, reset = self._columns(table)
-        fresh = np.flatnonzero((np.diff(ts) > self.timeout_us) | reset[:-1])
-        return int(fresh[-1]) + 1 if len(fresh) else None
-
-    def origin(self, table: pa.Table):
-        return {"initiator": table.column("from_b")[0].as_py()}
+    def _piece(self, piece: pa.Table):
+        """Rows of ONE key: times, ordinals, sides, the next FIN of a and of b, the row that ends a flow opened
+        at each row, the last flow of the piece on the way from there, and for each mode the row that ends the flow
+        running in."""
+        ts, ordinal, side, fin, reset = self._columns(piece)
+        n = len(ts)
+        fin_a, fin_b, over = _next_true(fin & ~side), _next_true(fin & side), _next_true(reset)
+        ends = np.minimum(over, np.maximum(fin_a, fin_b))
+        after = np.minimum(ends + 1, np.searchsorted(ts, ts + self.timeout_us, side="right"))
+        last = np.where(after < n, after, np.arange(n))
+        while True:
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            last = further
+        running = [int(min(over[0], e)) for e in (max(fin_a[0], fin_b[0]), fin_b[0], fin_a[0])]
+        return ts, ordinal, side, fin_a, fin_b, ends, last, running
+
+    def steps(self, piece: pa.Table) -> Steps:
+        ts, ordinal, _, fin_a, fin_b, ends, last, running = self._piece(piece)
+        n = len(ts)
+        outlived = ts - self.timeout_us
+        # a flow running in started no later than the first row, so it has expired by this row
+        expired = int(np.searchsorted(outlived, ts[0], side="right"))
+        parts = []
+        for mode, end in enumerate(running):
+            heads = np.arange(min(expired, end + 1, n - 1) + 1)
+            upto, to = outlived[heads].copy(), last[heads]
+            ended = ends[to] == n - 1
+            start, head = np.where(ended, FRESH, ts[to]), np.where(ended, 0, ordinal[to])
+            next_mode = np.where(ended, 0, (fin_a[to] < n) + 2 * (fin_b[to] < n))
+            passes = np.zeros(len(heads), dtype=bool)
+            if min(expired, end + 1) < n:
+                upto[-1] = NEVER
+            else:
+                goes_on = end >= n
+                left = (mode | int(fin_a[0] < n) | 2 * int(fin_b[0] < n)) if goes_on else 0
+                upto, start, head = np.append(upto, NEVER), np.append(start, FRESH), np.append(head, 0)
+                next_mode, passes = np.append(next_mode, left), np.append(passes, goes_on)
+            since = np.concatenate([[FRESH], upto[:-1]])
+            parts.append(Steps(np.full(len(upto), mode), since, upto, start, head, next_mode, passes).merged())
+        return Steps.stacked(parts)
+
+    def left(self, piece: pa.Table, start: int, head: int, mode: int) -> tuple:
+        ts, ordinal, side, fin_a, fin_b, ends, last, running = self._piece(piece)
+        n, end = len(ts), running[mode]
+        first = min(int(np.searchsorted(ts - self.timeout_us, start, side="right")), end + 1)
+        opened = first < n
+        base = int(last[first]) if opened else 0
+        paused = np.flatnonzero(np.diff(ts[base:]) > self.gap_us)
+        segment = int(ts[base + paused[-1] + 1]) if len(paused) else int(ts[base]) if opened else None
+        latest = lambda mine: int(ts[base:][mine][-1]) if mine.any() else None
+        return (
+            opened, int(ts[base]) if opened else None, int(ordinal[base]) if opened else None,
+            bool(side[base]) if opened else None, n - base, latest(~side[base:]), latest(side[base:]),
+            bool(fin_a[base] < n), bool(fin_b[base] < n), bool((ends[base] if opened else end) == n - 1),
+            segment, int(ts[0]), int(ts[-1]), bool(side[0]),
+        )
 
-    def inherit(self, earlier, state):
-        return {**state, "initiator": earlier["initiator"]}
+    def carry(self, row: dict):
+        """The running flow as the few packets that later rows can still see: its first one and the last of each side."""
+        seen = [(row["last_a"], False, row["fin_a"]), (row["last_b"], True, row["fin_b"])]
+        later = sorted([s for s in seen if s[0] is not None])
+        rows = [(row["start"], row["head"], row["head_side"], False, False)]
+        rows += [(at, row["head"], side, fin, row["ended"] and i == len(later) - 1) for i, (at, side, fin) in enumerate(later)]
+        kinds = (np.int64, np.int64, bool, bool, bool)
+        return {
+            "rows": tuple(np.array(c, dtype=k) for c, k in zip(zip(*rows), kinds)),
+            "count": row["count"], "initiator": row["initiator"], "segment": row["segment"],
+        }
 
     def __call__(self, table: pa.Table, starts: np.ndarray, carry, open_end: bool):
         ts, ordinal, side, fin, reset = self._columns(table)
@@ -178,26 +238,7 @@ class FlowKernel(Kernel):
         }
         for name, column in added.items():
             out = out.append_column(name, column)
-
-        # State: the few packets of the running flow that later rows can still see.
-        last = int(heads[-1])
-        tail = np.arange(last, n)
-        fwd = forward[last:]
-        picks = {last, n - 1}
-        for chosen in (tail[fwd], tail[~fwd]):
-            if len(chosen):
-                picks.add(int(chosen[-1]))
-        for chosen in (tail[(fin[last:]) & fwd], tail[(fin[last:]) & ~fwd]):
-            if len(chosen):
-                picks.add(int(chosen[0]))
-        picks = np.array(sorted(picks))
-        state = {
-            "rows": tuple(a[picks] for a in (ts, ordinal, side, fin, reset)),
-            "count": int(index[n - 1]) + 1,
-            "initiator": bool(initiator[n - 1]),
-            "segment": int(seg_open[n - 1]),
-        }
-        return out, state
+        return out, None
 
 
 def with_canonical_key(packets: DataFrame) -> DataFrame:
@@ -229,7 +270,7 @@ def group_into_flows(
     keyed = with_canonical_key(packets.select(*own, *extra))
     kernel = FlowKernel(round(active_timeout_seconds * 1e6), round(active_gap_seconds * 1e6))
     schema = T.StructType(keyed.schema.fields + ADDED.fields)
-    grouped = ordered_fold(keyed, KEYS, ORDER, kernel, schema, max_key_rows, _edge_totals)
+    grouped = ordered_fold(keyed, KEYS, ORDER, kernel, schema, max_key_rows, _edge_totals, fold_in_spans)
     return _restore_endpoints(grouped, extra)
 
 

@@ -51,16 +51,6 @@ class Kernel:
         """In rows of ONE key, the last one whose outcome needs nothing before it."""
         raise NotImplementedError
 
-    def origin(self, table: pa.Table):
-        """What the first row of ONE key fixes for all of its rows."""
-        return None
-
-    def inherit(self, earlier, state):
-        """Put that into a state found behind a reset; ``earlier`` is an origin or the
-        state of the chunk before."""
-        return state
-
-
 
 def key_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """Offsets at which any key column differs from the row above."""
@@ -135,10 +125,12 @@ def ordered_fold(
     schema: T.StructType,
     max_key_rows: int = MAX_KEY_ROWS,
     finish_heavy: Callable[[DataFrame], DataFrame] = lambda out: out,
+    fold_heavy: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
     """Apply ``kernel`` to ``df`` sorted by ``order`` within ``keys``.
 
-    ``finish_heavy`` completes values of the chunked keys that no single chunk knows.
+    ``fold_heavy`` folds the keys above the limit (by default chunk after chunk where no reset parts
+    them); ``finish_heavy`` completes values of those keys that no single chunk knows.
     """
     keys, order = list(keys), list(order)
     arrow_schema = to_arrow_schema(schema)
@@ -155,28 +147,31 @@ def ordered_fold(
         return light(df)
     cold = df.join(heavy, keys, "left_anti").select(*df.columns)
     hot = df.join(heavy, keys, "left_semi").select(*df.columns)
-    folded = _fold_heavy(hot, keys, order, kernel, schema, max_key_rows)
+    folded = (fold_heavy or _fold_in_turn)(hot, keys, order, kernel, schema, max_key_rows)
     return light(cold).unionByName(finish_heavy(folded))
 
 
-def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
-    """Chunked fold: freeze the chunks, settle the state at their edges, run all."""
+def frozen_chunks(hot: DataFrame, keys, order, max_key_rows: int) -> DataFrame:
+    """``hot`` in range-partitioned chunks under ``CHUNK``, written so that their edges never move."""
+    chunks = max(2, math.ceil(hot.count() / max(1, max_key_rows // 2)))
+    ranged = hot.repartitionByRange(chunks, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+    return stored(ranged, "chunks")
+
+
+def sorted_rows(table: pa.Table, keys, order) -> tuple[pa.Table, np.ndarray]:
+    """A chunk in order, and the offsets at which its keys start."""
+    table = table.sort_by([(c, "ascending") for c in [*keys, *order]]).combine_chunks()
+    return table, key_starts(table, keys)
+
+
+def _fold_in_turn(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
+    """Chunked fold: settle the state at the chunks' edges, run all."""
     spark = hot.sparkSession
     arrow_schema = to_arrow_schema(schema)
-    rows = hot.count()
-    chunks = max(2, math.ceil(rows / max(1, max_key_rows // 2)))
-    path = scratch_path(spark, "chunks")
-    (
-        hot.repartitionByRange(chunks, *keys, *order)
-        .withColumn(CHUNK, F.spark_partition_id())
-        .write.parquet(path)
-    )
-    frozen = spark.read.parquet(path)
-    sort_keys = [(c, "ascending") for c in keys + order]
+    frozen = frozen_chunks(hot, keys, order, max_key_rows)
 
     def tidy(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-        table = table.sort_by(sort_keys).combine_chunks()
-        return table, key_starts(table, keys)
+        return sorted_rows(table, keys, order)
 
     def key_at(table: pa.Table, row: int) -> tuple:
         return tuple(table.column(c)[row].as_py() for c in keys)
@@ -211,14 +206,12 @@ def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
         tail_at = int(starts[-1])
         settled, state = tail_at > 0, None
         tail = table.slice(tail_at).combine_chunks()
-        origin = kernel.origin(tail)
         if not settled:
             cut = kernel.reset(tail)
             if cut is not None:
                 tail, settled = tail.slice(cut).combine_chunks(), True
         if settled:
             _, state = kernel(tail, np.array([0]), None, True)
-            state = kernel.inherit(origin, state)
         return edge_row(chunk, key_at(table, 0), key_at(table, table.num_rows - 1), settled, state)
 
     edges = {}
@@ -258,10 +251,6 @@ def _fold_heavy(hot, keys, order, kernel, schema, max_key_rows) -> DataFrame:
         for row in with_states(pending, ready, settle, edge_schema).collect():
             edges[row["chunk"]].update(settled=True, state=pickle.loads(row["state"]))
 
-    for chunk in present:
-        edge, prev = edges[chunk], before.get(chunk)
-        if prev is not None and edges[prev]["last"] == edge["first"] == edge["last"]:
-            edge["state"] = kernel.inherit(edges[prev]["state"], edge["state"])
     carries = {c: carry_into(c)[1] for c in present}
 
     def run(table: pa.Table, carry) -> pa.Table:
