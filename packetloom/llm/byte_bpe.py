@@ -24,6 +24,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from packetloom.llm.common import Shared, by_piece, id_and_text, list_column, with_columns
 
-REMEMBERED = 1_000_000
+REMEMBERED, PIECE_IDS = 1_000_000, 1 << 18
 WORD, SPREAD, MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -97,9 +98,10 @@ class Vocabulary:
         self.seen: dict[str, bytes] = {}
         self.merges: list[dict[int, int]] | None = None
         self.split = None
+        self.listed: pa.Array | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "merges", "split")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "merges", "split", "listed")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -166,8 +168,21 @@ class Vocabulary:
             seen[piece] = self.piece_ids(piece)
         return b"".join(map(seen.__getitem__, found))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """The bytes of each list of ids: tokens gathered from one array, cut at the lists' edges."""
+        if self.listed is None:
+            self.listed = pa.array([self.tokens.get(i) for i in range(max(self.ids) + 1)], pa.large_binary())
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+        found = self.listed.take(lists.flatten())
+        if found.null_count:
+            raise ValueError("an id is outside the vocabulary")
+        edges = np.zeros(len(lists) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=edges[1:])
+        at = np.frombuffer(found.buffers()[1], dtype=np.int64)[edges] if len(found) else edges
+        absent = pc.is_null(lists).to_numpy(zero_copy_only=False)
+        whole = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(lists), [pa.array(~absent).buffers()[1], pa.py_buffer(np.ascontiguousarray(at)), found.buffers()[2] or pa.py_buffer(b"")], int(absent.sum()))
+        return whole.cast(pa.binary())
 
 
 def read_vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -200,12 +215,13 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out
 
     def fn(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                lists = part.column(part.schema.get_field_index(ids))
-                vocab = shared.value
-                raw = [None if not x.is_valid else vocab.decode(x.values.to_pylist()) for x in lists]
-                yield with_columns(part, keep, {out: pa.array(raw, pa.binary())})
+            lists = batch.column(batch.schema.get_field_index(ids))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+            group = np.cumsum(sizes) // PIECE_IDS
+            edges = np.flatnonzero(np.diff(group)) + 1
+            for lo, hi in zip(np.r_[0, edges], np.r_[edges, batch.num_rows]):
+                part = batch.slice(lo, hi - lo)
+                yield with_columns(part, keep, {out: shared.value.decode(part.column(part.schema.get_field_index(ids)))})
 
     return coded.select(*keep, ids).mapInArrow(fn, schema)
 

@@ -1,8 +1,10 @@
 """Each operator against brute force or a library, on inputs with every awkward case."""
 
 import base64
+import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -105,6 +107,30 @@ def test_bpe_equals_the_library(spark, docs, nothing):
     assert byte_bpe.encode_and_decode(spark, nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_digests_are_those_of_the_library(spark, docs):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    expected = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        ids = library.encode_ordinary(r.text or "")
+        expected[r.doc_id, len(ids), digest(",".join(map(str, ids)).encode()), digest(library.decode_bytes(ids))] += 1
+    got = byte_bpe.encode_and_decode(spark, docs, RANKS, public_tokenizers.PATTERN)
+    assert Counter(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == expected
+
+
+def test_bpe_decodes_lists_of_any_kind(spark):
+    vocabulary = byte_bpe.read_vocabulary(RANKS, public_tokenizers.PATTERN)
+    some, other = vocabulary.ids[300], vocabulary.ids[-1]
+    table = spark.createDataFrame([(1, None), (2, []), (3, [some, other, some]), (4, None), (5, [other])], "n int, token_ids array<int>").coalesce(1)
+    a, b = vocabulary.tokens[some], vocabulary.tokens[other]
+    assert {r.n: r.decoded and bytes(r.decoded) for r in byte_bpe.decode(table, vocabulary).collect()} == {1: None, 2: bytearray(), 3: a + b + a, 4: None, 5: b}
+    assert byte_bpe.decode(table.where("n < 3"), vocabulary).count() == 2
+    for wrong in (-1, max(vocabulary.ids) + 1, None):
+        with pytest.raises(Exception):
+            byte_bpe.decode(spark.createDataFrame([(1, [some, wrong])], "n int, token_ids array<int>"), vocabulary).collect()
+
+
 def test_decontamination_finds_what_is_contained(spark, docs, nothing):
     items = [(1, cases.text_of(1, 40)), (2, cases.LONG[2000:2300]), (3, None), (4, ""), (5, "two words"), (6, "never seen in any of the documents here"), (1, cases.text_of(1, 40))]
     bench = spark.createDataFrame(items, "item_id long, text string")
