@@ -9,19 +9,20 @@ emitted, navigation and asides included.
 
 Every page is rendered where it is read: there is no shuffle.
 
-Defined results: null html gives null text, empty html an empty text; markup without end
-keeps its text; formulas stand in the line without their annotations, and of drawings the labels
-and embedded content; an unclosed comment hides the rest of the page, as in a browser; nesting
+Defined results: null html gives null text, empty html an empty text; a tag that the page
+ends in is text, with all that follows it; formulas stand in the line without their annotations,
+and of drawings the labels and embedded content; an unclosed comment hides the rest of the page, as in a browser; nesting
 deeper than ``DEEPEST`` is flattened into the element at that depth; a table inside a cell
 is rendered on its own and its lines become lines of the cell; below a cell that spans rows the
-grid stays free. In a table wider than ``WIDEST`` characters the cells of all columns but the last
-are wrapped between words; a word, preformatted text or inner table wider than its column stays whole.
+grid stays free, and columns without visible text take no place. In a table wider than
+``WIDEST`` characters the cells of all columns but the last are wrapped between words; a word, preformatted text or inner table wider than its column stays whole.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from itertools import zip_longest
 
 import pyarrow as pa
@@ -54,8 +55,12 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 FENCES = frozenset("table td th caption".split())
-TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Where markup starts, and the parts of a tag; a quote opens a value only straight after the equals sign.
+MARKUP = re.compile(r"<(?:(?P<comment>!--)|(?P<close>/?)(?P<name>[A-Za-z][^ \t\n\r\f/>]*+)|[!?/])")
+COMMENT_END = re.compile(r"--!?>")
+BETWEEN = re.compile(r"[ \t\n\r\f/]*+")
+NAME = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)([ \t\n\r\f]*+=[ \t\n\r\f]*+)?+")
+BARE = re.compile(r"[^ \t\n\r\f>]*+")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 
@@ -67,14 +72,34 @@ class Node:
         self.name, self.attrs, self.children = name, attrs, []
 
 
-def _attributes(source: str) -> dict[str, str]:
-    if not source or source.isspace():
-        return {}
-    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(source)}
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool] | None:
+    """(attributes, end, whether the tag ends itself) of a tag whose name ends at ``at``; None if the page ends first.
+
+    The first of several attributes with one name counts. A quote that is never closed belongs to a bare value.
+    """
+    attrs: dict[str, str] = {}
+    while True:
+        between = BETWEEN.match(page, at)
+        at = between.end()
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return attrs, at + 1, between[0].endswith("/")
+        m = NAME.match(page, at)
+        at, value = m.end(), ""
+        if m[2]:
+            quote = page[at:at + 1]
+            stop = page.find(quote, at + 1) if quote in ("'", '"') else -1
+            if stop >= 0:
+                value, at = page[at + 1:stop], stop + 1
+            else:
+                bare = BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        attrs.setdefault(m[1].lower(), entities.unescape(value))
 
 
 def build(page: str) -> Node:
-    """The tree of a page, with implied end tags put in."""
+    """The tree of a page, with implied end tags put in. Every character is looked at a bounded number of times."""
     root = Node("html", {})
     stack, at, end = [root], 0, len(page)
 
@@ -89,15 +114,29 @@ def build(page: str) -> Node:
             elif stack[depth].name in fence:
                 return
 
-    def foreign(attrs: str) -> bool:
-        """Whether a tag ends itself, which it can only inside svg and math."""
-        return attrs.endswith("/") and any(x.name in ("svg", "math") for x in stack[1:] + [node])
-
-    while (m := TOKEN.search(page, at)):
-        text(at, m.start())
-        at, name = m.end(), (m["name"] or "").lower()
+    while (m := MARKUP.search(page, at)):
+        name = (m["name"] or "").lower()
+        if m["comment"]:
+            text(at, m.start())
+            inside = m.end()
+            if page.startswith((">", "->"), inside):
+                at = page.index(">", inside) + 1
+            else:
+                stop = COMMENT_END.search(page, inside)
+                at = stop.end() if stop else end
+            continue
         if not name:
+            stop = page.find(">", m.end())
+            if stop < 0:
+                break
+            text(at, m.start())
+            at = stop + 1
             continue
+        tag = _attributes(page, m.end())
+        if tag is None:
+            break
+        text(at, m.start())
+        attrs, at, ends_itself = tag
         if m["close"]:
             fence = FENCES - {name} if name not in ("tr", "table", "tbody", "thead", "tfoot") else frozenset(("table",)) - {name}
             for depth in range(len(stack) - 1, 0, -1):
@@ -113,16 +152,18 @@ def build(page: str) -> Node:
             close(*IMPLIED[name])
         if name in ENDS_P:
             close({"p"}, FENCES)
-        node = Node(name, _attributes(m["attrs"]))
+        node = Node(name, attrs)
         stack[-1].children.append(node)
+        # a tag can end itself only inside svg and math
+        whole = ends_itself and any(x.name in ("svg", "math") for x in stack[1:] + [node])
         if name in ("annotation", "annotation-xml") and any(x.name == "math" for x in stack):
             node.attrs["hidden"] = ""
-        if name in RAW and not foreign(m["attrs"]):
-            stop = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
+        if name in RAW and not whole:
+            stop = re.compile(rf"</{name}(?=[ \t\n\r\f/>])", re.I).search(page, at)
             inner = page[at:stop.start() if stop else end]
             node.children.append(entities.unescape(inner) if name in ("title", "textarea") else inner)
-            at = stop.end() if stop else end
-        elif name not in VOID and not foreign(m["attrs"]) and len(stack) < DEEPEST:
+            at = page.find(">", stop.end()) + 1 or end if stop else end
+        elif name not in VOID and not whole and len(stack) < DEEPEST:
             stack.append(node)
     text(at, end)
     return root
@@ -212,30 +253,50 @@ def _rows(table: Node) -> tuple[list[tuple[Node, list[Node]]], list[Node]]:
 
 def _span(cell: Node, name: str, most: int) -> int:
     given = cell.attrs.get(name, "1").strip()
-    return min(int(given[:6]), most) if given.isascii() and given.isdigit() else 1
+    if not (given.isascii() and given.isdigit()):
+        return 1
+    return min(int(given.lstrip("0")[:9] or 0), most)
 
 
-def _grid(rows: list[tuple[Node, list[Node]]]) -> list[list[Node | None]]:
-    """Cells by row and column; None where a cell spans into."""
-    grid, taken, group = [], {}, None
-    for own, cells in rows:
+def _grid(rows: list[tuple[Node, list[Node]]]) -> list[tuple[dict[int, Node], int]]:
+    """(cells by their first column, width) of every row. Spans are kept as stretches of columns, so a wide one costs no more."""
+    grid: list[tuple[dict[int, Node], int]] = []
+    taken: list[tuple[int, int, int]] = []  # (first column, end, first row below the span), in order
+    group, last = None, 0
+    for number, (own, cells) in enumerate(rows):
         if own is not group:  # cells do not span beyond their row group
-            taken, group = {}, own
-        line, ahead = [], {}
+            taken, group, last = [], own, number
+            while last < len(rows) and rows[last][0] is own:
+                last += 1
+        line, at, met, ahead = {}, 0, 0, []
         for cell in cells:
-            while len(line) in taken:
-                line.append(None)
+            while met < len(taken) and taken[met][0] <= at:
+                at = max(at, taken[met][1])
+                met += 1
             across, down = max(1, _span(cell, "colspan", 1000)), _span(cell, "rowspan", 65534)
+            line[at] = cell
             if down != 1:
-                ahead.update(dict.fromkeys(range(len(line), len(line) + across), down - 1 if down else len(rows)))
-            line += [cell, *[None] * (across - 1)]
-        while len(line) in taken:
-            line.append(None)
-        taken = {c: n - 1 for c, n in taken.items() if n > 1} | ahead
-        grid.append(line)
+                ahead.append((at, at + across, min(number + down, last) if down else last))
+            at += across
+        while met < len(taken) and taken[met][0] <= at:
+            at = max(at, taken[met][1])
+            met += 1
+        grid.append((line, at))
+        taken = _joined(sorted([t for t in taken if t[2] > number + 1] + [t for t in ahead if t[2] > number + 1]))
     return grid
 
 
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Neighbouring stretches that end with one row as one."""
+    out: list[tuple[int, int, int]] = []
+    for first, end, below in spans:
+        if out and out[-1][1] >= first and out[-1][2] == below:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), below)
+        else:
+            out.append((first, end, below))
+    return out
+
+
 def _fixed(node: Node) -> bool:
     """Whether the lines of a cell must stay as they are."""
     return any(isinstance(c, Node) and (c.name in ("table", "pre", "textarea") or _fixed(c)) for c in node.children)
@@ -262,13 +323,20 @@ def _table(node: Node, out: Layout) -> None:
     for child in rest:  # captions and misplaced content come first
         _render(child, out)
     out.end()
-    cells = _grid(rows)
-    grid = [[_lines(c) if c else [] for c in row] for row in cells]
-    count = max(map(len, grid), default=0)
-    widths = [0] * count
-    for row in grid:
-        for c, lines in enumerate(row):
-            widths[c] = max(widths[c], max(map(len, lines), default=0))
+    placed = [({c: (cell, _lines(cell)) for c, cell in line.items()}, width) for line, width in _grid(rows)]
+    # columns without visible text in any row take no place
+    shown = sorted({c for line, _ in placed for c, (_, lines) in line.items() if any(lines)})
+    count, widths = len(shown), [0] * len(shown)
+    number = {c: k for k, c in enumerate(shown)}
+    cells, grid = [], []
+    for line, width in placed:
+        inside = bisect_left(shown, width)
+        cells.append({number[c]: cell for c, (cell, _) in line.items() if c in number})
+        grid.append([[] for _ in range(inside)])
+        for c, (_, lines) in line.items():
+            if c in number:
+                grid[-1][number[c]] = lines
+                widths[number[c]] = max(widths[number[c]], max(map(len, lines), default=0))
     if sum(widths) + 3 * count > WIDEST:
         most = NARROWEST
         while most < WIDEST and sum(min(w, most + 1) for w in widths) + 3 * count <= WIDEST:

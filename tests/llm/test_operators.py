@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -61,6 +62,33 @@ def test_html_spans_and_wide_tables():
     assert "short".ljust(edge) + " | three | " + " ".join(words) in lines and "u" * 500 + " | v     | w" in lines
 
 
+@pytest.mark.parametrize("page,shown", [
+    ("<p title=it's>one</p><p>two don't</p><p>three</p>", "one\n\ntwo don't\n\nthree"),
+    ('<a href="x"">click</a> says "hello"', 'click says "hello"'),
+    ('<p title="x>lost</p>kept', "lost\n\nkept"),
+    ('<p title="a > b" hidden>no</p>yes', "yes"),
+    ("a<!-->b<!--->c<!-- no --!>d</ no>e</>f<?no>g<!no>h", "abcdefgh"),
+    ("<script>no</scripted></script no>yes", "yes"),
+    ("<img alt=first alt=second><img/alt='third'><img alt = x/>", "firstthirdx/"),
+    ("1 < 2 <3 <b>x", "1 < 2 <3 x"),
+    ("one <b title='two", "one <b title='two"),
+    ("<table><tr><td rowspan=0000002>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\nd"),
+    ("<table><tr><td colspan=1000>a<td>b<tr><td>c<td></table>", "a | b\nc"),
+])
+def test_html_markup_as_browsers_read_it(page, shown):
+    assert html_text.page_text(page).replace(" |\n", " |\n") == shown
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!x ", "</script ", "<p a='", '<a b="', "<script></script ", "<tr><td rowspan=0 colspan=1000>", "<p>", "<svg/>"])
+def test_html_time_is_linear(unit):
+    def seconds(size):
+        begin = time.process_time()
+        html_text.page_text("<table>" * unit.startswith("<tr") + unit * (size // len(unit)))
+        return time.process_time() - begin
+
+    assert seconds(1 << 18) < 4 and seconds(1 << 20) < 16
+
+
 def test_html_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "<p"), (4, "<div>" * 5000 + "deep"), (5, "</p></table>a<td>b"), (5, "</p></table>a<td>b")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id int, html string").withColumn("text", F.lit("clash"))).collect()
