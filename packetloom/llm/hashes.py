@@ -17,18 +17,36 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Units that array code holds temporaries for at a time.
+BLOCK = 1 << 16
+
+
 class Powers:
-    """Powers of a base and of its inverse, as far as asked for."""
+    """Powers of a number: those below ``BLOCK``, and those of multiples of ``BLOCK``, as far as asked for."""
+
+    known: dict[int, "Powers"] = {}
 
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, base: int):
+        self.low = self._row(base)
+        self.step = pow(base, BLOCK, 1 << 64)
+        self.high = np.ones(1, dtype=np.uint64)
+
+    @staticmethod
+    def _row(base: int, n: int = BLOCK) -> np.ndarray:
+        return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)])
 
     @classmethod
-    def of(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if base not in cls.known or len(cls.known[base][0]) < n:
-            size = max(1 << 16, 1 << (n - 1).bit_length())
-            cls.known[base] = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, dtype=np.uint64)]) for b in (base, pow(base, -1, 1 << 64)))
-        up, down = cls.known[base]
-        return up[:n], down[:n]
+    def of(cls, base: int, n: int) -> "Powers":
+        """Able to give the powers up to ``n``."""
+        if base not in cls.known:
+            cls.known[base] = cls(base)
+        own = cls.known[base]
+        if len(own.high) <= n // BLOCK:
+            own.high = cls._row(own.step, 2 * (n // BLOCK) + 2)
+        return own
+
+    def at(self, exponents: np.ndarray) -> np.ndarray:
+        return self.low[exponents & (BLOCK - 1)] * self.high[exponents >> 16]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,17 +60,24 @@ class Prefix:
     """Hashes of stretches of one array of unit values."""
 
     def __init__(self, values: np.ndarray, base: int = BASES[0]):
-        up, self.down = Powers.of(base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * up[:-1], out=self.sums[1:])
+        n = len(values)
+        up, self.down = Powers.of(base, n), Powers.of(pow(base, -1, 1 << 64), n)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        for k, lo in enumerate(range(0, n, BLOCK)):
+            part = values[lo:lo + BLOCK]
+            own = self.sums[lo + 1:lo + 1 + len(part)]
+            np.cumsum(part * (up.low[:len(part)] * up.high[k]), out=own)
+            own += self.sums[lo]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return (self.sums[end] - self.sums[start]) * self.down.at(start)
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of every stretch of ``width`` units."""
-        n = len(self.sums) - width
-        return (self.sums[width:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, dtype=np.uint64)
+    def windows(self, width: int, first: int = 0, end: int | None = None) -> np.ndarray:
+        """Hash of every stretch of ``width`` units that starts from ``first`` on and before ``end``."""
+        end = len(self.sums) - width if end is None else end
+        if end <= first:
+            return np.zeros(0, dtype=np.uint64)
+        return (self.sums[first + width:end + width] - self.sums[first:end]) * self.down.at(np.arange(first, end))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,31 +116,50 @@ class Runs:
     """
 
     def __init__(self, values: np.ndarray, edges: np.ndarray, window: int, gram: int):
-        starts = [np.zeros(0, dtype=np.int64)]
+        empty = np.zeros(0, dtype=np.int64)
         long = np.flatnonzero(np.diff(edges) >= window)
-        lengths = edges[long + 1] - edges[long] - window + 1
         if len(long):
-            at = np.repeat(edges[long] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
             prefix = Prefix(values)
-            grams = mixed(prefix.windows(gram))
-            least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-            span, wide = 1, window - gram + 1
-            while span * 2 <= wide:
-                least = np.minimum(least[:-span], least[span:])
-                span *= 2
-            if span < wide:
-                least = np.minimum(least[:len(least) - (wide - span)], least[wide - span:])
-            anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            heads = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(at) != 1)])
-            tails = np.r_[heads[1:], len(at)] - 1
-            first, last, place = at[heads], at[tails], anchor[heads]
-            self.text = np.repeat(long, lengths)[heads]
+            first, last, place, self.text = self._cut(prefix, edges, long, window, gram)
             self.first, self.count, self.lead = first - edges[self.text], last - first + 1, place - first
-            self.anchor = grams[place]
+            self.anchor = mixed(prefix.spans(place, place + gram))
+            del prefix
             whole = Prefix(values, BASES[1]).spans(first, last + window)
             self.content = mixed(whole + mixed((self.lead << 32 | self.count).astype(np.uint64)))
         else:
-            self.text = self.first = self.count = self.lead = starts[0]
+            self.text = self.first = self.count = self.lead = empty
             self.anchor = self.content = np.zeros(0, dtype=np.uint64)
-        fresh = np.flatnonzero(np.r_[True, np.diff(self.text) != 0]) if len(self.text) else starts[0]
+        fresh = np.flatnonzero(np.r_[True, np.diff(self.text) != 0]) if len(self.text) else empty
         self.ordinal = np.arange(len(self.text)) - np.repeat(fresh, np.diff(np.r_[fresh, len(self.text)]))
+
+    @staticmethod
+    def _cut(prefix: Prefix, edges: np.ndarray, long: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+        """(first window, last window, anchor's place, text) of every run, a block of windows at a time."""
+        opened, ended = [], []
+        before = (-2, -1)  # the window before this block, and its anchor
+        begin, end = edges[long], edges[long + 1] - window + 1
+        wide = window - gram + 1
+        for lo in range(int(begin[0]), int(end[-1]), BLOCK):
+            hi = min(lo + BLOCK, int(end[-1]))
+            met = slice(np.searchsorted(end, lo, side="right"), np.searchsorted(begin, hi))
+            starts = np.maximum(begin[met], lo)
+            sizes = np.minimum(end[met], hi) - starts
+            total = int(sizes.sum())
+            if not total:
+                continue
+            at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+            grams = mixed(prefix.windows(gram, lo, hi + wide - 1))
+            least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+            span = 1
+            while span * 2 <= wide:
+                least = np.minimum(least[:-span], least[span:])
+                span *= 2
+            if span < wide:
+                least = np.minimum(least[:len(least) - (wide - span)], least[wide - span:])
+            anchor = (least[at - lo] & np.uint64(0xFFFFFFFF)).astype(np.int64) + lo
+            heads = np.flatnonzero((np.diff(anchor, prepend=before[1]) != 0) | (np.diff(at, prepend=before[0]) != 1))
+            opened.append((at[heads], anchor[heads], np.repeat(long[met], sizes)[heads]))
+            ended.append(np.where(heads > 0, at[heads - 1], before[0]))
+            before = (int(at[-1]), int(anchor[-1]))
+        first, place, text = (np.concatenate(x) for x in zip(*opened))
+        return first, np.r_[np.concatenate(ended)[1:], before[0]], place, text
