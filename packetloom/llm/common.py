@@ -23,6 +23,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the next longer one that no column of ``df`` has, however it is spelled."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Shared:
     """A value broadcast by value, code included, and unpacked once per Python worker, so it may keep what it learns."""
 

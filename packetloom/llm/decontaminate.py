@@ -107,6 +107,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, unchanged, that contain no item."""
-    bad = contained(docs, items, threshold).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_doc_key", F.xxhash64("text"))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_doc_key") == F.col("_key")), "left_anti").select(*docs.columns)
+    bad = contained(docs, items, threshold).select(F.col("doc_id").alias("bad_id"), F.col("doc_key").alias("bad_key")).distinct()
+    # whole rows travel in a struct, so their column names meet no others
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    holds = F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key"))
+    return rows.join(bad, holds, "left_anti").select("row.*")

@@ -110,13 +110,13 @@ def described(base: DataFrame, width: int) -> DataFrame:
         raw = [press.compress(counts[lo:lo + CHUNK].tobytes()) for lo in range(0, COUNTERS, CHUNK)]
         m = len(raw)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(m, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.nulls(m, like), pa.nulls(m, pa.int64()),
+            pa.array(np.ones(m, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array(np.arange(m)), pa.nulls(m, like), pa.nulls(m, pa.int64()),
             pa.nulls(m, pa.int64()), pa.array(raw, pa.binary())], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     like, names = to_arrow_type(base.schema["doc_id"].dataType), ["kind", "doc", "key", "doc_id", "n", "sid", "vec"]
-    return base.select("doc", "key", "doc_id", "text").mapInArrow(fn, f"kind int, doc long, key int, doc_id {kind}, n long, sid long, vec binary")
+    return base.select("doc", "key", "doc_id", "text").mapInArrow(fn, f"kind int, doc long, key long, doc_id {kind}, n long, sid long, vec binary")
 
 
 def order_classes(rows: DataFrame) -> np.ndarray:
@@ -376,8 +376,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     found = join(docs, width, percent)
     first = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", "key")).alias("d")).select("d.doc", "d.key")
     stay = first.unionByName(found.where("comp is null").select("doc", "key")).distinct()
-    stay = stay.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    own = docs.withColumn("_d", doc).withColumn("_k", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = own.join(stay, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    # whole rows travel in a struct, so their column names meet no others
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc.alias("doc"), key.alias("key"))
+    kept = own.join(stay, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"])
+    return kept.select("row.*")

@@ -36,7 +36,7 @@ from packetloom.llm.hashes import Runs, text_bytes
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 ASKED, RUN, CONTESTED, WINDOW = range(4)
 #: Columns of packed entries; the top bit of ``at`` and ``n`` says that a piece has met an entry several times.
-TYPES = {"doc": "<i8", "key": "<i4", "at": "<u4", "a": "<u8", "b": "<u8", "sid": "<i8", "pivot": "<i8", "n": "<u4"}
+TYPES = {"doc": "<i8", "key": "<i8", "at": "<u4", "a": "<u8", "b": "<u8", "sid": "<i8", "pivot": "<i8", "n": "<u4"}
 ENTRY = ("doc", "key", "at", "a", "b")
 ANSWER = ("doc", "key", "at")
 MANY = np.uint32(1 << 31)
@@ -47,14 +47,14 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """(doc, key, doc_id, text): an id that orders, and a hash that tells apart rows with one id.
+    """(doc, key, doc_id, text): an id that orders, and 64 bits of hash that tell apart rows with one id.
 
     With ``carry``, a struct of those columns travels in place of doc_id.
     """
     row = F.struct(*[docs[c] for c in carry]) if carry else F.col("doc_id")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(doc.alias("doc"), F.hash(text).alias("key"), row.alias("doc_id"), text.alias("text"))
+    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("key"), row.alias("doc_id"), text.alias("text"))
 
 
 def squeezed(base: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def by_document(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(key[heads]), *lists], names=["doc", "key", *columns])
 
     lists = ", ".join(f"{c} array<int>" for c in columns)
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(fn, f"doc long, key int, {lists}")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(fn, f"doc long, key long, {lists}")
 
 
 def run_entries(runs: Runs, doc: np.ndarray, key: np.ndarray) -> Entries:

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm import repeats
-from packetloom.llm.common import stored
+from packetloom.llm.common import stored, unused
 from packetloom.llm.hashes import BASES, BYTE, Prefix, Runs, mixed
 
 WINDOW, GRAM, CROWD = 400, 200, 1000
-SEGMENT = "bucket int, anchor long, doc long, key int, at int, lead int, count int, piece binary"
+SEGMENT = "bucket int, anchor long, doc long, key long, at int, lead int, count int, piece binary"
 
 
 def byte_values(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,15 +228,19 @@ def remove(docs: DataFrame, carry: list[str] | None = None, width: int = WINDOW,
 
 
 def remove_from(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, words: int = 0) -> DataFrame:
-    """All rows and columns of ``docs`` with the repeated bytes cut from ``text``; a character cut in two goes whole."""
+    """All rows and columns of ``docs`` with the repeated bytes cut from ``text``; a character cut in two goes whole.
+
+    A null text stays null.
+    """
     carry = [c for c in docs.columns if c != "text"]
-    cut = remove(docs, carry, width, gram, words)
+    absent = unused(docs, "absent")
+    cut = remove(docs.withColumn(absent, F.col("text").isNull()), [*carry, absent], width, gram, words)
 
     @F.pandas_udf(T.StringType())
     def readable(kept):
         return kept.map(lambda raw: raw.decode("utf-8", "ignore"))
 
-    text = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("kept").cast("string"))
+    text = F.when(F.col("doc_id").getField(absent), F.lit(None)).when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("kept").cast("string"))
     made = cut.select(*[F.col("doc_id").getField(c).alias(c) for c in carry], text.alias("text"))
     return made.select(*docs.columns)
 

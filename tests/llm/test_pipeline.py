@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from tests.llm import cases
 
 
@@ -46,11 +48,22 @@ def test_passages_of_fifty_words_are_cut(spark):
             (4, f"{own(37)} {short} {own(38)}", "en"), (5, f"{own(39)} {line} {own(40)}", "en"), (6, f"{own(41)} {line} {own(42)}", "en"),
             (7, own(43) + "日本" * 90, "en"), (8, own(44) + "日本" * 90, "en"), (9, None, "en"), (10, "", "en")]
     got = {r.doc_id: r for r in corpus_pipeline.repeated_bytes(spark, cases.documents(spark, rows), "").collect()}
-    assert {d: r.text or "" for d, r in got.items()} == without_passages(rows, 99, 50)
+    assert {d: r.text for d, r in got.items()} == without_passages(rows, 99, 50) | {9: None}
     assert all(plain not in got[d].text for d in (1, 2)) and all(short not in got[d].text for d in (3, 4)) and all(line in got[d].text for d in (5, 6))
     assert all(r.n_chars == len(r.text or "") for r in got.values())
 
 
+def test_stages_meet_any_column_name(spark):
+    taken = ("_doc_key", "_id", "_key", "_d", "_k", "_doc", "row", "doc", "own_key", "bad_id", "Absent", "_language", "_language_score")
+    docs = cases.documents(spark).drop("key", "kind")
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(taken)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r[c] for c in taken) == tuple(range(len(taken))) for r in rows), name
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
