@@ -3,7 +3,11 @@
 Stages: language identification (documents without a recognisable language go), near
 duplicates by shingle Jaccard (five words, 0.8; one document of each group stays), repeated
 passages of 50 words or 400 bytes (cut from the texts), benchmark passages (documents that hold one go), and encoding.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, whatever further columns there are and however they are called.
+
+Null, empty and letterless texts have no language and go in the first stage; called alone, each later stage keeps them, a
+null text null (``encoded`` gives it no tokens). A null id is an id larger than all others. Of rows that agree in id
+and text one stays; of tied copies the least id, then the least text hash. Texts are never shortened to a limit. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, suffix_dedup
+from packetloom.llm.common import unused
 from packetloom.session import scratch_path
 
 #: No passage of WORDS words is shorter than LEAST_BYTES: a byte for every word and every space between them.
@@ -21,8 +26,9 @@ WORDS, LEAST_BYTES, GRAM = 50, 99, 40
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; profiles come from these documents' own labels."""
-    found = language_id.predict(docs, language_id.fit(docs), lang_out="_language", score_out="_language_score")
-    return found.where(F.col("_language") != language_id.UNKNOWN).select(*docs.columns)
+    found, score = unused(docs, "found"), unused(docs, "score")
+    judged = language_id.predict(docs, language_id.fit(docs), lang_out=found, score_out=score)
+    return judged.where(F.col(found) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or 400 bytes that occur elsewhere; ``n_chars`` follows the text."""
     cut = suffix_dedup.remove_from(docs, LEAST_BYTES, GRAM, WORDS)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
