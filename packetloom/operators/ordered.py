@@ -31,7 +31,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from packetloom.session import scratch_path
 
 MAX_KEY_ROWS = 4_000_000
-BLOCK_ROWS = 250_000
+#: Rows that a kernel is given at once, unless one key has more: what a Python worker holds follows this, not the input.
+BLOCK_ROWS = 32_768
 CHUNK = "_chunk"
 
 
@@ -74,8 +75,15 @@ def _stream(batches: Iterator[pa.RecordBatch], keys, kernel: Kernel, schema: pa.
     held_rows, wanted = 0, BLOCK_ROWS
 
     def emit(table: pa.Table, starts: np.ndarray):
-        out, _ = kernel(table, starts, None, False)
-        yield from out.select(schema.names).cast(schema).combine_chunks().to_batches(65_536)
+        """Whole keys, a block of rows at a time; a long key goes alone."""
+        edges, at = np.append(starts, table.num_rows), 0
+        while at < len(starts):
+            upto = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK_ROWS, side="right")) - 1)
+            first = int(edges[at])
+            block = table.slice(first, int(edges[upto]) - first).combine_chunks()
+            out, _ = kernel(block, starts[at:upto] - first, None, False)
+            yield from out.select(schema.names).cast(schema).combine_chunks().to_batches(65_536)
+            at = upto
 
     for batch in batches:
         if batch.num_rows == 0:
@@ -90,8 +98,9 @@ def _stream(batches: Iterator[pa.RecordBatch], keys, kernel: Kernel, schema: pa.
         if last == 0:
             held, wanted = table.to_batches(), 2 * held_rows
             continue
-        yield from emit(table.slice(0, last).combine_chunks(), starts[:-1])
-        rest = table.slice(last)
+        yield from emit(table.slice(0, last), starts[:-1])
+        # a copy, so that the rows before it can go
+        rest = table.slice(last).combine_chunks()
         held, held_rows = rest.to_batches(), rest.num_rows
         wanted = max(BLOCK_ROWS, 2 * held_rows)
     if held:

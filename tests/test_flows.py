@@ -174,3 +174,26 @@ def test_plan_shuffles_packets_once_for_grouping_and_once_per_flow(spark, tmp_pa
     cut = ct.apply_cut(fl.group_into_flows(spark.read.parquet(path), carry=PACKET_INPUTS), ct.Cut("packet_abs", 3))
     plan = flow_features(cut)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "unused" not in plan
+
+
+def test_blocks_stay_small_around_a_long_key(monkeypatch):
+    """A kernel gets one block at a time, a long key alone: the memory of a worker follows the block."""
+    import pyarrow as pa
+
+    from packetloom.operators import ordered
+
+    seen = []
+
+    class Recording(ordered.Kernel):
+        def __call__(self, table, starts, carry, open_end):
+            assert starts[0] == 0 and carry is None and not open_end
+            seen.append((table.num_rows, len(starts)))
+            return table, None
+
+    assert ordered.BLOCK_ROWS <= 1 << 16
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 40)
+    keys = [0] * 3 + [1] * 400 + [2 + i // 3 for i in range(900)]
+    whole = pa.table({"k": keys, "v": list(range(len(keys)))})
+    out = list(ordered._stream(iter(whole.to_batches(16)), ["k"], Recording(), whole.schema))
+    assert pa.Table.from_batches(out).equals(whole)
+    assert [n for n, own in seen if n > 40] == [400] and all(n <= 40 or own == 1 for n, own in seen)
