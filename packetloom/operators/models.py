@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from multiprocessing.pool import ThreadPool
@@ -22,15 +23,38 @@ from packetloom.operators.metrics import best_epoch, confusion_counts, overall
 from packetloom.operators.sampling import with_sample_weight
 
 LABEL, CODE, WEIGHT = "label", "_code", "weight"
-RAW, SCALED, MARGIN = "_raw_features", "_features", "_margin_"
+RAW, SCALED, MARGIN, VOTES = "_raw_features", "_features", "_margin_", "_votes_"
+#: Training values (rows times features) of one task. A job of a round costs the same however few rows its tasks have.
+TASK_VALUES = 4_000_000
 
 
-def _forest(seed: int, classes: int, width: int, trees: int = 100, depth: int = 20, weighted: bool = True):
+def _forest(seed: int, classes: int, width: int, trees: int = 100, depth: int = 20, weighted: bool = True, parallel: int = 8):
     model = RandomForestClassifier(
-        featuresCol=RAW, labelCol=CODE, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True,
-        maxMemoryInMB=1024, checkpointInterval=10,
+        featuresCol=RAW, labelCol=CODE, maxDepth=depth, cacheNodeIds=True, maxMemoryInMB=128, checkpointInterval=10,
     )
-    return (model.setWeightCol(WEIGHT) if weighted else model), False
+    return ForestParts(model.setWeightCol(WEIGHT) if weighted else model, trees, seed, parallel), False
+
+
+class ForestParts(Estimator):
+    """One forest, grown as smaller ones side by side: trees do not depend on each other. :func:`predict` adds up their votes.
+
+    Every task fills statistics for all nodes that are split at once, mostly empty ones deep down; the parts share
+    that work out over the cluster even where the rows are few."""
+
+    def __init__(self, classifier: RandomForestClassifier, trees: int, seed: int, parallel: int):
+        super().__init__()
+        self.classifier, self.trees, self.seed, self.parallel = classifier, trees, seed, parallel
+
+    def _fit(self, rows: DataFrame) -> PipelineModel:
+        parts = min(self.parallel, self.trees)
+
+        def train(k: int):
+            own = self.classifier.copy().setNumTrees(self.trees // parts + (k < self.trees % parts)).setSeed(self.seed * parts + k)
+            own = own.setRawPredictionCol(f"{VOTES}{k}").setProbabilityCol(f"_probability_{k}").setPredictionCol(f"_prediction_{k}")
+            return own.fit(rows)
+
+        with ThreadPool(parts) as pool:
+            return PipelineModel(pool.map(inheritable_thread_target(rows.sparkSession)(train), range(parts)))
 
 
 def _boosted(
@@ -76,7 +100,8 @@ def _logistic(seed: int, classes: int, width: int, rounds: int = 100, penalty: f
 
 def _svm(seed: int, classes: int, width: int, rounds: int = 100, penalty: float = 1e-4):
     margin = LinearSVC(featuresCol=SCALED, labelCol=CODE, maxIter=rounds, regParam=penalty)
-    return OneVsRest(classifier=margin, featuresCol=SCALED, labelCol=CODE, weightCol=WEIGHT), True
+    # a hundred rounds of short jobs per class: the classes' jobs fill the cluster together
+    return OneVsRest(classifier=margin, featuresCol=SCALED, labelCol=CODE, weightCol=WEIGHT, parallelism=min(classes, 8)), True
 
 
 def _perceptron(seed: int, classes: int, width: int, rounds: int = 100, weights: DenseVector | None = None):
@@ -105,13 +130,13 @@ def fit(name: str, train: DataFrame, features: Sequence[str] | str, seed: int =
     vector = isinstance(features, str)
     extra = [options["held_out"]] if options.get("held_out") else []
     rows = (rows.withColumnRenamed(features, RAW) if vector else rows).select(LABEL, WEIGHT, *extra, *([RAW] if vector else features))
-    rows = rows.persist()
+    width = len(rows.select(RAW).first()[0]) if vector else len(features)
+    rows = rows.repartition(max(1, math.ceil(train.count() * width / TASK_VALUES))).persist()
     try:
         indexer = StringIndexer(inputCol=LABEL, outputCol=CODE, stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
         stages: list = [indexer]
         if not vector:
             stages.append(VectorAssembler(inputCols=list(features), outputCol=RAW))
-        width = len(rows.select(RAW).first()[0]) if vector else len(features)
         model, scaled = TRAINERS[name](seed, len(indexer.labels), width, **options)
         if scaled:
             stages.append(StandardScaler(inputCol=RAW, outputCol=SCALED, withMean=True, withStd=True))
@@ -126,7 +151,12 @@ def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str] | str
     indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
     scored = model.transform(source)
     if "prediction" not in scored.columns:
-        margins = F.array(*[vector_to_array(f"{MARGIN}{k}")[1] for k in range(len(indexer.labels))])
+        votes = [c for c in scored.columns if c.startswith(VOTES)]
+        if votes:
+            scored = scored.withColumns({v: vector_to_array(v) for v in votes})
+            margins = F.array(*[sum((F.col(v)[k] for v in votes), F.lit(0.0)) for k in range(len(indexer.labels))])
+        else:
+            margins = F.array(*[vector_to_array(f"{MARGIN}{k}")[1] for k in range(len(indexer.labels))])
         scored = scored.withColumn("prediction", (F.array_position(margins, F.array_max(margins)) - 1).cast("double"))
     named = IndexToString(inputCol="prediction", outputCol="y_pred", labels=list(indexer.labels)).transform(scored)
     keep = [c for c in rows.columns if c != features]
@@ -135,7 +165,8 @@ def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str] | str
 
 def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
     """Forest feature importances, highest first."""
-    values = model.stages[-1].featureImportances.toArray()
+    parts = model.stages[-1].stages
+    values = sum(p.featureImportances.toArray() * p.getNumTrees for p in parts) / sum(p.getNumTrees for p in parts)
     rows = [(f, float(v)) for f, v in zip(features, values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 

@@ -80,3 +80,31 @@ def test_registered_models_keep_their_full_rounds():
     with pytest.raises(ValueError):
         md.fit("other", None, [])
     assert md.run_models(["rf", "mlp"], None, None, [], dry_run=True) == ["rf", "mlp"]
+
+
+def test_a_forest_is_grown_in_parts(spark, rows):
+    train, test = rows.where("not held_out"), rows.where("held_out")
+    model = md.fit("rf", train, ["x", "y"], 1, trees=10, depth=4, parallel=4)
+    parts = model.stages[-1].stages
+    assert [p.getNumTrees for p in parts] == [3, 3, 2, 2] and len({p.getSeed() for p in parts}) == 4
+    assert macro_f1(model, test) > 0.8
+    # votes are added over all trees, as one forest adds them
+    scored = model.transform(test).collect()
+    names = model.stages[0].labels
+    sums = [[sum(r[f"{md.VOTES}{k}"][c] for k in range(4)) for c in range(3)] for r in scored]
+    expected = sorted((r.x, r.y, names[s.index(max(s))]) for r, s in zip(scored, sums))
+    assert sorted((r.x, r.y, r.y_pred) for r in md.predict(model, test, ["x", "y"]).collect()) == expected
+    shares = {r.feature: r.importance for r in md.importances(model, ["x", "y"], spark).collect()}
+    assert sum(shares.values()) == pytest.approx(1.0) and set(shares) == {"x", "y"}
+
+
+def test_margins_are_trained_side_by_side_and_small_tables_in_few_tasks(spark, rows, monkeypatch):
+    assert md.TRAINERS["svm"](1, 6, 2)[0].getParallelism() == 6
+    seen = []
+    fit = md.Pipeline.fit
+    monkeypatch.setattr(md.Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df))
+    spread = rows.where("not held_out").repartition(7)
+    md.fit("gnb", spread, ["x", "y"], 1)
+    monkeypatch.setattr(md, "TASK_VALUES", 100)
+    md.fit("gnb", spread, ["x", "y"], 1)
+    assert seen == [(1, 192), (4, 192)]
