@@ -108,3 +108,11 @@ def test_margins_are_trained_side_by_side_and_small_tables_in_few_tasks(spark, r
     monkeypatch.setattr(md, "TASK_VALUES", 100)
     md.fit("gnb", spread, ["x", "y"], 1)
     assert seen == [(1, 192), (4, 192)]
+
+
+def test_rows_are_prepared_once_for_all_epochs(rows, monkeypatch):
+    calls = []
+    weighed = md.with_sample_weight
+    monkeypatch.setattr(md, "with_sample_weight", lambda *a: calls.append(a) or weighed(*a))
+    _, history = md.train_on(rows.where("not held_out"), rows.where("held_out"), ["x", "y"], 1, step=2, most=6, patience=3)
+    assert history.count() == 3 and len(calls) == 1
