@@ -18,12 +18,13 @@ from packetloom.functions.classes import (
 from packetloom.functions.packets import apply_finite_policy
 from packetloom.operators import cuts as ct
 from packetloom.operators import flows as fl
+from packetloom.operators import forests as fo
 from packetloom.operators import labels as lb
 from packetloom.operators import metrics as mt
-from packetloom.operators import models as md
 from packetloom.operators import reports as rp
 from packetloom.operators import sampling as sp
 from packetloom.operators.features import PACKET_INPUTS, flow_features
+from packetloom.operators.ordered import stored
 from packetloom.operators.selection import feature_columns
 from packetloom.sources.store import KEY, PacketStore, per_slice, write_store
 
@@ -225,11 +226,8 @@ def train_forest(
     rows = rp.keep_supported(labelled, min_rows, support).withColumn("label", collapse_attempt("label"))
     features = feature_columns(rows, extra=extra_drop, strict=bool(extra_drop))
     clean = apply_finite_policy(rows.select(*fl.FLOW, "label", *features), features, finite).persist()
-    split = sp.train_test_split(clean, "label", fl.FLOW, seed, test_share)
-    model = md.fit("rf", split.where(F.col("split") == sp.TRAIN), features, seed, **options)
-    scored = md.predict(model, split.where(F.col("split") == sp.TEST)).select(*fl.FLOW, "y_true", "y_pred")
+    split = stored(sp.train_test_split(clean, "label", fl.FLOW, seed, test_share), "split")
+    model = fo.grow(split.where(F.col("split") == sp.TRAIN), fl.FLOW, "label", features, seed, **options)
+    scored = fo.predict(model, split.where(F.col("split") == sp.TEST), fl.FLOW, "label")
     counts = mt.confusion_counts(scored)
-    return ForestBuild(
-        model, scored, mt.overall(counts), mt.per_class(counts), md.importances(model, features, labelled.sparkSession),
-        clean,
-    )
+    return ForestBuild(model, scored, mt.overall(counts), mt.per_class(counts), fo.importances(model), clean)
