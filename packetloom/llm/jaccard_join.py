@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import repeats
-from packetloom.llm.common import Shared, pieces, stored
+from packetloom.llm.common import Shared, lean, pieces, stored
 from packetloom.llm.components import components
 from packetloom.llm.hashes import Prefix, mixed, owners, text_bytes, word_values
 
@@ -116,7 +116,7 @@ def described(base: DataFrame, width: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     like, names = to_arrow_type(base.schema["doc_id"].dataType), ["kind", "doc", "key", "doc_id", "n", "sid", "vec"]
-    return base.select("doc", "key", "doc_id", "text").mapInArrow(fn, f"kind int, doc long, key long, doc_id {kind}, n long, sid long, vec binary")
+    return base.select("doc", "key", "doc_id", "text").mapInArrow(lean(fn), f"kind int, doc long, key long, doc_id {kind}, n long, sid long, vec binary")
 
 
 def order_classes(rows: DataFrame) -> np.ndarray:
@@ -132,7 +132,7 @@ def order_classes(rows: DataFrame) -> np.ndarray:
             scale = np.minimum(np.log2(counts + 1.0) * 2, 63).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([scale.tobytes()], pa.binary())], names=["chunk", "scale"])
 
-    chunks = rows.where("kind = 1").select("key", "vec").repartition("key").mapInArrow(fn, "chunk int, scale binary").collect()  # 1 MB in all
+    chunks = rows.where("kind = 1").select("key", "vec").repartition("key").mapInArrow(lean(fn), "chunk int, scale binary").collect()  # 1 MB in all
     out = np.zeros(COUNTERS, dtype=np.uint8)
     for c in chunks:
         out[c["chunk"] * CHUNK:(c["chunk"] + 1) * CHUNK] = np.frombuffer(c["scale"], dtype=np.uint8)
@@ -182,8 +182,8 @@ def neighbourhoods(base: DataFrame, classes: np.ndarray, width: int, percent: in
                 e = repeats.unpack([x.as_buffer() for x in batch.column(2).slice(lo, 512)], ("a", "sid", "pivot"))
                 yield pa.RecordBatch.from_arrays([pa.array(e["a"].astype(np.int64)), pa.array(e["sid"]), pa.array(e["pivot"])], names=["a", "sid", "pivot"])
 
-    packed = base.select("text").mapInArrow(asked, repeats.PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, repeats.PACKED)
-    return packed.mapInArrow(rows, "a long, sid long, pivot long")
+    packed = base.select("text").mapInArrow(lean(asked), repeats.PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(met), repeats.PACKED)
+    return packed.mapInArrow(lean(rows), "a long, sid long, pivot long")
 
 
 def _distinct(token: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +211,7 @@ def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame
                 ok = enough(bound(_vectors(p.column(4)), n, _vectors(p.column(5)), n2), n, n2, percent)
                 yield p.select([0, 1]).filter(pa.array(ok))
 
-    return sized.select("sid", "pivot", "n", "n2", "vec", "vec2").mapInArrow(fn, "sid long, pivot long")
+    return sized.select("sid", "pivot", "n", "n2", "vec", "vec2").mapInArrow(lean(fn), "sid long, pivot long")
 
 
 def verified(pairs: DataFrame, points: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
@@ -256,8 +256,8 @@ def verified(pairs: DataFrame, points: DataFrame, base: DataFrame, width: int, p
                     raise AssertionError("a pivot's own set must come first")
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    sent = texts.mapInArrow(send, "pivot long, part int, member int, sid long, hashes binary")
-    return sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(check, "u long, v long").distinct()
+    sent = texts.mapInArrow(lean(send), "pivot long, part int, member int, sid long, hashes binary")
+    return sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(lean(check), "u long, v long").distinct()
 
 
 class Tree:
@@ -322,7 +322,7 @@ def open_pairs(met: DataFrame, labels: DataFrame, points: DataFrame, percent: in
                 a, b = left["sid"][i], right["sid"][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["sid", "pivot"])
 
-    return placed.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(fn, "sid long, pivot long").distinct()
+    return placed.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(lean(fn), "sid long, pivot long").distinct()
 
 
 def _grouped(batches):

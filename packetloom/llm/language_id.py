@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import Shared, by_piece, with_columns
+from packetloom.llm.common import Shared, by_piece, lean, with_columns
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -94,7 +94,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int
             [pa.array([known[i] for i in hit // len(codes)], pa.string()), pa.array(codes[hit % len(codes)]), pa.array(counts[hit])], names=["lang", "code", "n"])
 
     usable = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and text != ''")
-    counted = usable.mapInArrow(by_piece(fn), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = usable.mapInArrow(lean(by_piece(fn)), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     return counted.select("lang", "code", F.row_number().over(order).alias("rank")).where(F.col("rank") <= size)
 
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", lang_out: s
         langs, scores = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
         return with_columns(batch, keep, {lang_out: pa.array(langs, pa.string()), score_out: pa.array(scores)})
 
-    return docs.select(*keep).mapInArrow(by_piece(fn, text, 1 << 18), schema)
+    return docs.select(*keep).mapInArrow(lean(by_piece(fn, text, 1 << 18)), schema)
 
 
 def fit(docs: DataFrame, size: int = PROFILE) -> Profiles:
