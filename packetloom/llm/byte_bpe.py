@@ -8,8 +8,8 @@ equals) and so repeats the vocabulary's own merges in O(n log n).
 
 No shuffle: every document is encoded where it is read. Tables are built once on the
 driver from the vocabulary file (bounded by the vocabulary, not by the data) and broadcast,
-so executors need no file. Results of pre-tokens seen before are kept per worker in a
-dictionary of bounded size.
+so executors need no file. Results of pre-tokens seen lately are kept per worker in two
+dictionaries of bounded size, of which the older goes when the newer is full.
 
 Defined results: a null or empty text has no tokens; null ids decode to null; an id outside
 the vocabulary raises; rows keep their other columns and their number; repeated rows are
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import Shared, by_piece, id_and_text, list_column, with_columns
+from packetloom.llm.common import Shared, by_piece, id_and_text, lean, list_column, with_columns
 
-REMEMBERED, PIECE_IDS = 1_000_000, 1 << 18
+#: Pre-tokens of one dictionary, about 260 bytes each; a worker has two and keeps them between its tasks.
+REMEMBERED, PIECE_IDS = 1 << 17, 1 << 18
 WORD, SPREAD, MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -96,12 +97,13 @@ class Vocabulary:
 
     def _ready(self) -> None:
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.merges: list[dict[int, int]] | None = None
         self.split = None
         self.listed: pa.Array | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "merges", "split", "listed")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "older", "merges", "split", "listed")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -161,11 +163,11 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         if self.split is None:
             self.split = regex.compile(self.pattern).findall
-        found, seen = self.split(text), self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.older = {}, self.seen
+        found, seen, older = self.split(text), self.seen, self.older
         for piece in set(found).difference(seen):
-            seen[piece] = self.piece_ids(piece)
+            seen[piece] = older.get(piece) or self.piece_ids(piece)
         return b"".join(map(seen.__getitem__, found))
 
     def decode(self, lists: pa.Array) -> pa.Array:
@@ -204,7 +206,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
         lengths = np.array([len(c) >> 2 for c in coded], dtype=np.int64)
         return with_columns(batch, keep, {out: list_column(np.frombuffer(b"".join(coded), dtype="<i4"), lengths, pa.int32())})
 
-    return docs.select(*keep, text).mapInArrow(by_piece(fn, text), schema)
+    return docs.select(*keep, text).mapInArrow(lean(by_piece(fn, text)), schema)
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -3,6 +3,10 @@
 import subprocess
 import sys
 
+import public_tokenizers
+
+from packetloom.llm import byte_bpe
+
 SCRIPT = """
 import os
 import numpy as np, pyarrow as pa
@@ -32,3 +36,15 @@ def test_freed_memory_leaves_the_worker():
     done = subprocess.run([sys.executable, "-c", SCRIPT], capture_output=True, text=True, check=True)
     plain, leaned = map(int, done.stdout.split())
     assert plain > 100 and leaned < 30
+
+
+def test_encoder_forgets_rare_pre_tokens():
+    vocabulary = byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    letters = str.maketrans("0123456789", "qwzxvkjyhb")
+    words = [f" {k:06d}".translate(letters) for k in range(300_000)]
+    for at in range(0, len(words), 5_000):
+        vocabulary.encode("".join(words[at:at + 5_000]))
+        assert vocabulary.encode(" the") == vocabulary.piece_ids(" the")
+    held = {**vocabulary.older, **vocabulary.seen}
+    assert len(vocabulary.seen) + len(vocabulary.older) <= (1 << 18) + 20_000 < len(words)
+    assert " the" in held and all(held[w] == vocabulary.piece_ids(w) for w in words[-1_000:])
