@@ -15,7 +15,8 @@ are built inside those:
 3. Each class is compared with the least class of its neighbourhoods: bound by points, then
    exactly on the shingle hashes. Linked classes form components.
 4. In neighbourhoods that still hold several components, a tree over the points finds the pairs of
-   different components that pass the bound; those are verified exactly, and components are final.
+   different components that pass the bound. As many as join those components are verified exactly; where others
+   remain between components, sets are compared inside the neighbourhood and only links that join components come back.
    A large neighbourhood is split into blocks, and pairs of blocks are worked on apart.
 
 No link between different classes is lost, and pairs inside a component are never listed.
@@ -41,7 +42,7 @@ from packetloom.llm.components import components
 from packetloom.llm.hashes import Prefix, mixed, owners, text_bytes, word_values
 
 GROUPS, HASH_BITS, COUNTERS, CHUNK = 256, 54, 1 << 20, 1 << 16
-LEAF, BLOCK, BATCH = 32, 512, 1024
+LEAF, BLOCK, BLOCK_SHINGLES, BATCH = 32, 512, 1 << 20, 1024
 SHINGLE = np.uint64((1 << HASH_BITS) - 1)
 POINT = ("sid", "comp", "n", "vec")
 
@@ -248,8 +249,7 @@ def verified(pairs: DataFrame, points: DataFrame, base: DataFrame, width: int, p
                 if not member:
                     at, whole = (pivot, part), own
                 elif (pivot, part) == at:
-                    spot = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
-                    if enough(int((whole[spot] == own).sum()), len(own), len(whole), percent):
+                    if _linked(own, whole, percent):
                         u.append(sid)
                         v.append(pivot)
                 else:
@@ -283,46 +283,150 @@ class Tree:
         return np.concatenate([self.order[self.edges[k]:self.edges[k + 1]] for k in leaves]) if len(leaves) else self.order[:0]
 
 
-def close_pairs(left: dict, right: dict, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs of different components, one point of each side, that pass the bound."""
-    tree, found = Tree(left["vec"], left["n"]), []
+class Forest:
+    """Trees over the numbers below ``n``; of two trees that are joined the smaller one is renamed."""
+
+    def __init__(self, n: int):
+        self.root, self.held = np.arange(n), [[k] for k in range(n)]
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((int(self.root[a]), int(self.root[b])), key=lambda r: len(self.held[r]))
+        if a != b:
+            self.root[self.held[a]] = b
+            self.held[b] += self.held[a]
+            self.held[a] = []
+
+
+def joining_pairs(left: dict, right: dict, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Indices of pairs of different components, one point of each side, that hold together all that such pairs connect.
+
+    With sets, pairs are links. Without, they pass the bound, and the last value tells whether other pairs do that were left out.
+    """
+    tree, whole = Tree(left["vec"], left["n"]), "set" in left
+    names, place = np.unique(np.r_[left["comp"], right["comp"]], return_inverse=True)
+    comp, forest = place[:len(left["n"])], Forest(len(names))
+    i, j, others = [], [], False
     for k in range(len(right["n"])):
-        q, n = right["vec"][k], int(right["n"][k])
+        q, n, own = right["vec"][k], int(right["n"][k]), place[len(comp) + k]
         near = tree.members(tree.leaves(q, n, percent))
-        near = near[(left["comp"][near] != right["comp"][k]) & ((left["sid"][near] < right["sid"][k]) if same else True)]
-        if len(near):
-            m = left["n"][near]
-            near = near[enough(bound(left["vec"][near], m, q[None], n), m, n, percent)]
-            found.append((near, np.full(len(near), k)))
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def open_pairs(met: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (sid, pivot) of different components that share a neighbourhood and pass the bound."""
-    labelled = met.select("a", "sid").distinct().join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("a", "sid", F.coalesce("component", "sid").alias("comp"))
-    labelled = stored(labelled, "labelled")
-    mixed_up = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo != hi").select("a", "blocks")
-    spread = labelled.join(mixed_up, "a").join(points.select("sid", "n", "vec"), "sid")
-    spot = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    # each block meets itself and every later one
-    placed = spread.withColumn("own", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *POINT)
+        near = near[(comp[near] != own) & ((left["sid"][near] < right["sid"][k]) if same else True)]
+        if whole:
+            near = near[forest.root[comp[near]] != forest.root[own]]
+        shared = bound(left["vec"][near], left["n"][near], q[None], n)
+        ok = enough(shared, left["n"][near], n, percent)
+        near = near[ok][np.argsort(-shared[ok] / (left["n"][near][ok] + n - shared[ok]), kind="stable")]  # the likeliest first
+        while len(near):
+            at = near[0]
+            if forest.root[comp[at]] == forest.root[own]:
+                others = True
+            elif not whole or _linked(left["set"][at], right["set"][k], percent):
+                i.append(at)
+                j.append(k)
+                forest.join(comp[at], own)
+                inside = forest.root[comp[near[1:]]] == forest.root[own]
+                others = others or bool(inside.any())
+                near = near[np.r_[True, ~inside]]
+            near = near[1:]
+    return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64), others and not whole
+
+
+def _linked(own: np.ndarray, whole: np.ndarray, percent: int) -> bool:
+    spot = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
+    return enough(int((whole[spot] == own).sum()), len(own), len(whole), percent)
+
+
+def open_members(met: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, sid, comp, own, others) in neighbourhoods with several components; of those with the same members one is left.
+
+    A member is in block ``own`` and meets the blocks ``others``: those of the largest component meet only those of the rest.
+    """
+    labelled = met.select("a", "sid").distinct().join(labels.withColumnRenamed("node", "sid"), "sid", "left").join(points.select("sid", "n"), "sid")
+    labelled = stored(labelled.select("a", "sid", F.coalesce("component", "sid").alias("comp"), "n"), "labelled")
+    rows, n = F.count("*").alias("rows"), F.sum("n").alias("n")
+    parts = labelled.groupBy("a", "comp").agg(rows, n, F.bit_xor("sid").alias("one"), F.bit_xor(F.xxhash64("sid")).alias("two"))
+    most = F.max(F.struct("rows", "comp", "n")).alias("most")
+    alike = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("rows").alias("rows"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two")]
+    several = parts.groupBy("a").agg(most, F.sum("n").alias("n"), *alike).where("lo != hi")
+    several = several.groupBy("most", "n", "lo", "hi", "rows", "one", "two").agg(F.min("a").alias("a"))
+
+    def blocks(rows, n):
+        """Bounded in rows and shingles; 32 blocks hold more rows each before there are more."""
+        fit = F.least(F.ceil(rows / BLOCK), F.greatest(F.lit(32), F.ceil(rows / (16 * BLOCK))))
+        return F.greatest(fit, F.ceil(n / BLOCK_SHINGLES)).cast("int")
+
+    m, r = blocks(F.col("most.rows"), F.col("most.n")), blocks(F.col("rows") - F.col("most.rows"), F.col("n") - F.col("most.n"))
+    placed = labelled.join(several.select("a", F.col("most.comp").alias("main"), m.alias("m"), r.alias("r")), "a")
+    main, spot = F.col("comp") == F.col("main"), F.xxhash64("sid")
+    own = F.when(main, F.pmod(spot, "m")).otherwise(F.col("m") + F.pmod(spot, "r")).cast("int")
+    others = F.sequence(F.when(main, F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("r") - 1)
+    return stored(placed.select("a", "sid", "comp", own.alias("own"), others.alias("others")), "several")
+
+
+def open_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(a, sid, pivot): pairs of ``joining_pairs`` in the neighbourhood ``a``, and a row without sid where others remain.
+
+    ``points`` may bring whole sets in ``hashes``.
+    """
+    sets = ["hashes"] if "hashes" in points.columns else []
+    placed = members.join(points.select("sid", "n", "vec", *sets), "sid").withColumn("other", F.explode("others"))
+    placed = placed.select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *POINT, *sets)
 
     def fn(batches):
         for rows in _grouped(batches):
             own, x, y = (np.asarray(rows.column(c)) for c in (3, 1, 2))
             side = {c: np.asarray(rows.column(4 + k)) for k, c in enumerate(POINT[:3])} | {"vec": _vectors(rows.column(7))}
+            if sets:
+                side["set"] = np.empty(len(own), dtype=object)
+                side["set"][:] = [np.frombuffer(raw.as_buffer(), dtype=np.uint64) for raw in rows.column(8)]
             pick = lambda m: {c: v[m] for c, v in side.items()}
             same = bool(x[0] == y[0])
             left, right = pick(own == x), pick(own == y)
             if len(left["n"]) and len(right["n"]):
-                i, j = close_pairs(left, right, percent, same)
+                i, j, others = joining_pairs(left, right, percent, same)
                 a, b = left["sid"][i], right["sid"][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["sid", "pivot"])
+                end = pa.nulls(int(others), pa.int64())
+                sid, pivot = (pa.concat_arrays([pa.array(s, pa.int64()), end]) for s in (np.maximum(a, b), np.minimum(a, b)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), rows.column(0)[0].as_py()), pa.int64()), sid, pivot], names=["a", "sid", "pivot"])
+
+    return placed.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(lean(fn), "a long, sid long, pivot long")
+
+
+def with_sets(points: DataFrame, base: DataFrame, width: int) -> DataFrame:
+    """``points`` and the ascending shingles of each in ``hashes``."""
 
-    return placed.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(lean(fn), "sid long, pivot long").distinct()
+    def fn(batches):
+        for batch in batches:
+            for part, raw in repeats.unsqueezed(batch):
+                for lo in range(0, part.num_rows, BATCH):
+                    sets = Sets(*repeats.joined(raw[lo:lo + BATCH]), width)
+                    own = [sets.hash[a:b].tobytes() for a, b in zip(sets.edges[:-1], sets.edges[1:])]
+                    yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, BATCH), pa.array(own, pa.binary())], names=["sid", "hashes"])
+
+    texts = repeats.squeezed(base).join(points.select("doc", "key", "sid"), ["doc", "key"]).select("small", "sid")
+    found = texts.mapInArrow(lean(fn), "sid long, hashes binary").dropDuplicates(["sid"])
+    return points.join(found, "sid")
+
+
+def joined_up(met: DataFrame, linked: DataFrame, points: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) by ``linked`` and all links between its components in the neighbourhoods ``met``.
+
+    Pairs that pass the bound are first verified only as far as they join components, so that their number follows the members of
+    a neighbourhood and not their pairs. Where others remain between components, whole sets go to the blocks, and links come back.
+    """
+    labels = stored(components(linked), "labels")
+    members = open_members(met, labels, points)
+    if members.isEmpty():
+        return labels
+    listed = stored(open_pairs(members, points, percent), "open")
+    linked = linked.unionByName(stored(verified(listed.where("sid is not null").select("sid", "pivot").distinct(), points, base, width, percent), "more"))
+    labels = stored(components(linked), "labels")
+    remain = listed.where("sid is null").select("a").distinct()
+    members = open_members(members.join(remain, "a", "left_semi"), labels, points)
+    if members.isEmpty():
+        return labels
+    whole = stored(with_sets(points.join(members.select("sid"), "sid", "left_semi"), base, width), "whole")
+    last = stored(open_pairs(members, whole, percent), "last").select(F.col("sid").alias("u"), F.col("pivot").alias("v")).distinct()
+    return stored(components(linked.unionByName(last)), "labels")
 
 
 def _grouped(batches):
@@ -357,9 +461,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     met = stored(neighbourhoods(base, order_classes(rows), width, percent, buckets), "met")
     stars = stored(met.where("sid != pivot").select("sid", "pivot").distinct(), "stars")
     linked = stored(verified(stored(within_bound(stars, points, percent), "near"), points, base, width, percent), "linked")
-    between = open_pairs(met, components(linked), points, percent).join(stars, ["sid", "pivot"], "left_anti")
-    more = verified(stored(between, "open"), points, base, width, percent)
-    labels = stored(components(stored(linked.unionByName(more), "links")), "labels")
+    labels = joined_up(met, linked, points, base, width, percent)
     named = members.where("n > 0").join(labels, F.col("sid") == F.col("node"), "left").select("doc", "key", "doc_id", "n", F.coalesce("component", "sid").alias("comp"))
     named = stored(named, "named")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from packetloom.llm import byte_bpe, decontaminate, html_text, jaccard_join, language_id, nearest, repeats, substring_dedup, suffix_dedup, token_files, url_lists
+from packetloom.llm.common import stored
 from packetloom.llm.components import components
 from packetloom.llm.hashes import Runs, word_values
 from tests.llm import cases
@@ -279,6 +280,32 @@ def test_jaccard_chains_and_blocks(spark, nothing):
     assert jaccard_join.join(nothing).count() == 0
 
 
+def test_open_pairs_follow_members(spark, monkeypatch):
+    rnd = random.Random(12)
+    short, long = ([f"w{rnd.randrange(10**6)}" for _ in range(n)] for n in (100, 1500))
+    rows = []
+    for k in range(400):  # copies that differ in one of eight places: links inside a place only
+        words = list(short)
+        words[20 + 4 * (k % 8)] = f"n{rnd.randrange(10**9)}"
+        rows.append((k, " ".join(words), "en"))
+    for k in range(24):  # just below the threshold, and so near that points do not tell; every fourth is copied and links
+        words = list(long)
+        for at in rnd.sample(range(0, 1500, 4), 15):
+            words[at] = f"n{rnd.randrange(10**9)}"
+        rows += [(1000 + 10 * k + c, " ".join(words + ["more"] * c), "en") for c in range(1 + (k % 4 == 0))]
+    made, real = [], jaccard_join.open_pairs
+
+    def counted(*args):
+        out = stored(real(*args), "counted")
+        made.append(out.where("sid is not null").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "open_pairs", counted)
+    got = jaccard_join.join(cases.documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == cases.jaccard_components(rows, 3, 90)
+    assert 0 < sum(made) < 10 * len(rows), made  # all pairs inside the places: some 9 000, in each neighbourhood
+
+
 def test_one_of_each_keeps_clean_rows(spark, docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
