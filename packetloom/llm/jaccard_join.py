@@ -15,8 +15,8 @@ are built inside those:
 3. Each class is compared with the least class of its neighbourhoods: bound by points, then
    exactly on the shingle hashes. Linked classes form components.
 4. In neighbourhoods that still hold several components, a tree over the points finds the pairs of
-   different components that pass the bound. As many as join those components are verified exactly; where others
-   remain between components, sets are compared inside the neighbourhood and only links that join components come back.
+   different components that pass the bound. As many as join those components, and some more, are verified exactly, in
+   three rounds; where others remain, sets are compared inside the neighbourhood and only links that join components come back.
    A large neighbourhood is split into blocks, and pairs of blocks are worked on apart.
 
 No link between different classes is lost, and pairs inside a component are never listed.
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ from packetloom.llm.hashes import Prefix, mixed, owners, text_bytes, word_values
 
 GROUPS, HASH_BITS, COUNTERS, CHUNK = 256, 54, 1 << 20, 1 << 16
 LEAF, BLOCK, BLOCK_SHINGLES, BATCH = 32, 512, 1 << 20, 1024
+#: Pairs that a component may give by round, besides those that join components.
+ROOM = (0, 16, 256)
 SHINGLE = np.uint64((1 << HASH_BITS) - 1)
 POINT = ("sid", "comp", "n", "vec")
 
@@ -297,14 +300,24 @@ class Forest:
             self.held[a] = []
 
 
-def joining_pairs(left: dict, right: dict, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Indices of pairs of different components, one point of each side, that hold together all that such pairs connect.
+def _places(sid: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each of ``sid`` stands in ``known``; -1 where it does not."""
+    order = np.argsort(known)
+    at = order[np.minimum(np.searchsorted(known, sid, sorter=order), len(known) - 1)]
+    return np.where(known[at] == sid, at, -1)
 
-    With sets, pairs are links. Without, they pass the bound, and the last value tells whether other pairs do that were left out.
+
+def joining_pairs(left: dict, right: dict, percent: int, same: bool, room: int, barred: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Indices of pairs of different components, one point of each side and not ``barred``, that hold together all that such pairs connect.
+
+    With sets, pairs are links. Without, they pass the bound; others come too while one of their components has given fewer
+    than ``room`` of them, and the last value tells whether pairs were left out.
     """
     tree, whole = Tree(left["vec"], left["n"]), "set" in left
     names, place = np.unique(np.r_[left["comp"], right["comp"]], return_inverse=True)
-    comp, forest = place[:len(left["n"])], Forest(len(names))
+    comp, forest, used = place[:len(left["n"])], Forest(len(names)), np.zeros(len(names), dtype=np.int64)
+    order = np.argsort(barred[1], kind="stable")
+    out, edges = barred[0][order], np.searchsorted(barred[1][order], np.arange(len(right["n"]) + 1))
     i, j, others = [], [], False
     for k in range(len(right["n"])):
         q, n, own = right["vec"][k], int(right["n"][k]), place[len(comp) + k]
@@ -313,21 +326,33 @@ def joining_pairs(left: dict, right: dict, percent: int, same: bool) -> tuple[np
         if whole:
             near = near[forest.root[comp[near]] != forest.root[own]]
         shared = bound(left["vec"][near], left["n"][near], q[None], n)
-        ok = enough(shared, left["n"][near], n, percent)
+        ok = enough(shared, left["n"][near], n, percent) & ~np.isin(near, out[edges[k]:edges[k + 1]])
         near = near[ok][np.argsort(-shared[ok] / (left["n"][near][ok] + n - shared[ok]), kind="stable")]  # the likeliest first
+        spare = []
         while len(near):
             at = near[0]
+            near = near[1:]
             if forest.root[comp[at]] == forest.root[own]:
-                others = True
+                spare.append(np.r_[at])
             elif not whole or _linked(left["set"][at], right["set"][k], percent):
                 i.append(at)
                 j.append(k)
                 forest.join(comp[at], own)
-                inside = forest.root[comp[near[1:]]] == forest.root[own]
-                others = others or bool(inside.any())
-                near = near[np.r_[True, ~inside]]
-            near = near[1:]
-    return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64), others and not whole
+                inside = forest.root[comp[near]] == forest.root[own]
+                spare.append(near[inside])
+                near = near[~inside]
+        rest = np.concatenate(spare) if spare and not whole else near
+        free = rest[(used[own] < room) | (used[comp[rest]] < room)]
+        others = others or len(free) < len(rest)
+        for at in free:
+            if min(used[own], used[comp[at]]) < room:
+                i.append(at)
+                j.append(k)
+                used[own] += 1
+                used[comp[at]] += 1
+            else:
+                others = True
+    return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64), others
 
 
 def _linked(own: np.ndarray, whole: np.ndarray, percent: int) -> bool:
@@ -362,14 +387,16 @@ def open_members(met: DataFrame, labels: DataFrame, points: DataFrame) -> DataFr
     return stored(placed.select("a", "sid", "comp", own.alias("own"), others.alias("others")), "several")
 
 
-def open_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def open_pairs(members: DataFrame, points: DataFrame, rejected: DataFrame, percent: int, room: int) -> DataFrame:
     """(a, sid, pivot): pairs of ``joining_pairs`` in the neighbourhood ``a``, and a row without sid where others remain.
 
-    ``points`` may bring whole sets in ``hashes``.
+    Pairs in ``rejected`` are not listed again. ``points`` may bring whole sets in ``hashes``.
     """
     sets = ["hashes"] if "hashes" in points.columns else []
-    placed = members.join(points.select("sid", "n", "vec", *sets), "sid").withColumn("other", F.explode("others"))
-    placed = placed.select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *POINT, *sets)
+    barred = rejected.groupBy("sid").agg(F.collect_list("pivot").alias("barred"))
+    known = points.select("sid", "n", "vec", *sets).join(barred, "sid", "left")
+    placed = members.join(known, "sid").withColumn("other", F.explode("others"))
+    placed = placed.select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *POINT, "barred", *sets)
 
     def fn(batches):
         for rows in _grouped(batches):
@@ -377,12 +404,16 @@ def open_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
             side = {c: np.asarray(rows.column(4 + k)) for k, c in enumerate(POINT[:3])} | {"vec": _vectors(rows.column(7))}
             if sets:
                 side["set"] = np.empty(len(own), dtype=object)
-                side["set"][:] = [np.frombuffer(raw.as_buffer(), dtype=np.uint64) for raw in rows.column(8)]
+                side["set"][:] = [np.frombuffer(raw.as_buffer(), dtype=np.uint64) for raw in rows.column(9)]
             pick = lambda m: {c: v[m] for c, v in side.items()}
             same = bool(x[0] == y[0])
             left, right = pick(own == x), pick(own == y)
             if len(left["n"]) and len(right["n"]):
-                i, j, others = joining_pairs(left, right, percent, same)
+                high, low = side["sid"][np.asarray(pc.list_parent_indices(rows.column(8)))], np.asarray(pc.list_flatten(rows.column(8)))
+                out = [(_places(u, left["sid"]), _places(v, right["sid"])) for u, v in ((low, high), (high, low))]
+                i, j = (np.concatenate(e) for e in zip(*out))
+                here = (i >= 0) & (j >= 0)
+                i, j, others = joining_pairs(left, right, percent, same, room, (i[here], j[here]))
                 a, b = left["sid"][i], right["sid"][j]
                 end = pa.nulls(int(others), pa.int64())
                 sid, pivot = (pa.concat_arrays([pa.array(s, pa.int64()), end]) for s in (np.maximum(a, b), np.minimum(a, b)))
@@ -407,28 +438,43 @@ def with_sets(points: DataFrame, base: DataFrame, width: int) -> DataFrame:
     return points.join(found, "sid")
 
 
-def joined_up(met: DataFrame, linked: DataFrame, points: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
+def joined_up(met: DataFrame, linked: DataFrame, rejected: DataFrame, points: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) by ``linked`` and all links between its components in the neighbourhoods ``met``.
 
-    Pairs that pass the bound are first verified only as far as they join components, so that their number follows the members of
-    a neighbourhood and not their pairs. Where others remain between components, whole sets go to the blocks, and links come back.
+    Each round verifies pairs that pass the bound: what joins components, and ``ROOM`` more of each component, so that their number
+    follows the members of a neighbourhood and not their pairs. Most of what is left out lies inside a component afterwards.
+    Where others remain after the last round, whole sets go to the blocks, and only links that join components come back.
     """
     labels = stored(components(linked), "labels")
+    for room in ROOM:
+        members = open_members(met, labels, points)
+        if members.isEmpty():
+            return labels
+        listed = stored(open_pairs(members, points, rejected, percent, room), "open")
+        pairs = listed.where("sid is not null").select("sid", "pivot").distinct()
+        if pairs.isEmpty():
+            return labels
+        more = stored(verified(pairs, points, base, width, percent), "more")
+        if not more.isEmpty():
+            linked = linked.unionByName(more)
+            labels = stored(components(linked), "labels")
+        remain = listed.where("sid is null").select("a").distinct()
+        if remain.isEmpty():
+            return labels
+        rejected = rejected.unionByName(_without(pairs, more))
+        met = members.join(remain, "a", "left_semi")
     members = open_members(met, labels, points)
-    if members.isEmpty():
-        return labels
-    listed = stored(open_pairs(members, points, percent), "open")
-    linked = linked.unionByName(stored(verified(listed.where("sid is not null").select("sid", "pivot").distinct(), points, base, width, percent), "more"))
-    labels = stored(components(linked), "labels")
-    remain = listed.where("sid is null").select("a").distinct()
-    members = open_members(members.join(remain, "a", "left_semi"), labels, points)
     if members.isEmpty():
         return labels
     whole = stored(with_sets(points.join(members.select("sid"), "sid", "left_semi"), base, width), "whole")
-    last = stored(open_pairs(members, whole, percent), "last").select(F.col("sid").alias("u"), F.col("pivot").alias("v")).distinct()
+    last = stored(open_pairs(members, whole, rejected, percent, 0), "last").select(F.col("sid").alias("u"), F.col("pivot").alias("v")).distinct()
     return stored(components(linked.unionByName(last)), "labels")
 
 
+def _without(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    return pairs.join(links.select(F.col("u").alias("sid"), F.col("v").alias("pivot")), ["sid", "pivot"], "left_anti")
+
+
 def _grouped(batches):
     """Rows that share their first three columns, from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -460,8 +506,9 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     points = stored(points.select("sid", "d.doc", "d.key", "n", "vec"), "points")
     met = stored(neighbourhoods(base, order_classes(rows), width, percent, buckets), "met")
     stars = stored(met.where("sid != pivot").select("sid", "pivot").distinct(), "stars")
-    linked = stored(verified(stored(within_bound(stars, points, percent), "near"), points, base, width, percent), "linked")
-    labels = joined_up(met, linked, points, base, width, percent)
+    near = stored(within_bound(stars, points, percent), "near")
+    linked = stored(verified(near, points, base, width, percent), "linked")
+    labels = joined_up(met, linked, _without(near, linked), points, base, width, percent)
     named = members.where("n > 0").join(labels, F.col("sid") == F.col("node"), "left").select("doc", "key", "doc_id", "n", F.coalesce("component", "sid").alias("comp"))
     named = stored(named, "named")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
