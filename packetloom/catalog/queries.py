@@ -14,6 +14,7 @@ from packetloom.functions import packets as pk
 from packetloom.operators import cuts as ct
 from packetloom.operators import experiments as ex
 from packetloom.operators import flows as fl
+from packetloom.operators import forests as fo
 from packetloom.operators import labels as lb
 from packetloom.operators import metrics as mt
 from packetloom.operators import models as md
@@ -925,11 +926,10 @@ for _name in ("xgb", "gnb", "logreg", "svm", "mlp"):
 @query
 def occlusion_sweep(spark, sf):
     packed = stored(_packed(spark, sf).withColumnRenamed("y", "label").select(*fl.FLOW, "label", "packets"), "packed")
-    split = sp.train_test_split(packed, "label", fl.FLOW, SEED)
-    train = tn.byte_features(split.where("split = 'train'"))
-    model = md.fit("rf", train, "features", SEED, trees=100, depth=30)
-    score = lambda rows: md.predict(model, tn.byte_features(rows), "features")
-    drops, _ = tn.occlusion_sweep(split.where("split = 'test'"), score)
+    split = stored(tn.joined_bytes(sp.train_test_split(packed, "label", fl.FLOW, SEED)).drop("packets"), "split")
+    forest = fo.grow(split.where("split = 'train'"), fl.FLOW, "label", "bytes", SEED, trees=100, depth=30)
+    scored = fo.predict_zeroed(forest, split.where("split = 'test'"), fl.FLOW, "label", tn.region_places())
+    drops, _ = tn.drops_from_counts(mt.confusion_counts(scored, ["region"]))
     return drops
 
 

@@ -3,7 +3,8 @@
 Spark's own forest fills dense statistics for every node in every task and keeps all trees on the driver. Deep
 trees on noisy classes have about one node for two rows, so both grow with rows times trees. Here nodes with many
 rows are split by histograms added up over all tasks; a node with few enough rows goes to one task with its rows, which
-grows what is below it. Trees are scored where they lie: rows meet their part of each tree by a cogroup.
+grows what is below it. Trees are scored where they lie: rows meet their part of each tree by a cogroup. Features are
+columns, or the bytes of one binary column; rows can also be scored with some of their features zeroed.
 
 The rules are those of Spark's forest: up to 32 bins a feature, Poisson draws of rows, ceil(sqrt(features)) features
 a node, Gini with class weights, leaves that are pure, gain nothing or lie at the depth limit; votes are the leaves' class
@@ -14,7 +15,7 @@ same forest on any partitioning, wherever the large nodes end.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,10 +171,32 @@ class Top:
         return walk(np.array(self.feature), np.array(self.cut), np.array(self.child), bins)
 
 
+def walk_zeroed(feature, cut, child, bins, blank, zeroed, row, kind, along):
+    """The last nodes of walkers: ``(row, kind, node)``. Kind 0 walks by a row as it is, kind k by the row with the features
+    in ``zeroed[k]`` at their bins in ``blank``. Kinds in ``along`` (by row) go with kind 0 until it would turn elsewhere
+    without them; they then walk alone and are no longer along."""
+    at, done = np.zeros(len(row), dtype=np.int64), []
+    while True:
+        own = feature[at].astype(np.int64)
+        ends = own < 0
+        done.append((row[ends], kind[ends], at[ends]))
+        if ends.all():
+            return tuple(np.concatenate(v) for v in zip(*done))
+        row, kind, at, own = row[~ends], kind[~ends], at[~ends], own[~ends]
+        emptied = blank[own] > cut[at]
+        right = np.where(zeroed[kind, own], emptied, bins[row, own] > cut[at])
+        turns = np.flatnonzero((kind == 0) & (right != emptied))
+        which, alone = np.nonzero(along[row[turns]] & zeroed.T[own[turns]])
+        leaves = turns[which]
+        along[row[leaves], alone] = False
+        at, apart = child[at].astype(np.int64) + right, child[at[leaves]].astype(np.int64) + emptied[leaves]
+        row, kind, at = np.concatenate([row, row[leaves]]), np.concatenate([kind, alone]), np.concatenate([at, apart])
+
+
 @dataclass(frozen=True)
 class Forest:
     classes: list[str]
-    features: list[str]
+    features: list[str] | str
     edges: list[np.ndarray]
     tops: list[Top]
     parts: DataFrame  # (tree, node, feature, cut, child, votes, gains): what lies below each node where a top ends
@@ -194,10 +217,48 @@ def bin_edges(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
     return [found[c] for c in features]
 
 
-def binned(rows: DataFrame, key: Sequence[str], features: Sequence[str], edges: list[np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
+def byte_edges(rows: DataFrame, column: str) -> list[np.ndarray]:
+    """:func:`bin_edges` of every byte of a binary column of one length, from the counts of all values at each place."""
+    def count(batches):
+        held = None
+        for batch in batches:
+            values = _values_of(batch.column(0))
+            if values.size:
+                cells = np.arange(values.shape[1]) * 256 + values
+                found = np.bincount(cells.ravel(), minlength=values.shape[1] * 256).reshape(-1, 256)
+                held = found if held is None else held + found
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())], ["place", "counts"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(c.as_py(), dtype=np.int64) for c in table.column("counts"))
+        seen, below = np.flatnonzero(counts), counts.cumsum()
+        ends = (seen[1:] + seen[:-1]) / 2
+        if len(seen) > BINS:
+            ends = np.unique(np.searchsorted(below, np.arange(1, BINS) / BINS * below[-1], side="left")).astype(np.float64)
+            ends = ends[ends < seen[-1]]
+        return pa.table({"place": table.column("place")[:1], "ends": pa.array([ends.tolist()], pa.list_(pa.float64()))})
+
+    counted = rows.select(column).mapInArrow(count, "place int, counts binary")
+    found = counted.groupBy("place").applyInArrow(choose, "place int, ends array<double>").orderBy("place").collect()
+    return [np.array(r["ends"], dtype=np.float64) for r in found]
+
+
+def binned(rows: DataFrame, key: Sequence[str], features: Sequence[str] | str, edges: list[np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
     """(key, kept columns, ``_row``: a hash of the key, bins: a byte for every feature)."""
-    wide = rows.select(*key, *keep, F.xxhash64(*key).alias(ROW), *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
     names = [*key, *keep, ROW]
+    if isinstance(features, str):
+        held = rows.select(*key, *keep, F.xxhash64(*key).alias(ROW), F.col(features).alias("bins"))
+        as_held = to_arrow_schema(held.schema)
+
+        def look_up(batches):
+            of_value = np.stack([np.searchsorted(e, np.arange(256), side="left") for e in edges]).astype(np.uint8)
+            for batch in batches:
+                bins = of_value[np.arange(len(edges)), _bins_of(batch.column("bins"), len(edges))]
+                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, _bytes_column(bins)], schema=as_held)
+
+        return held.mapInArrow(look_up, held.schema)
+    wide = rows.select(*key, *keep, F.xxhash64(*key).alias(ROW), *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
     schema = T.StructType([*wide.select(*names).schema.fields, T.StructField("bins", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -217,21 +278,30 @@ def _bytes_column(bins: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bins))])
 
 
+def _values_of(column: pa.Array) -> np.ndarray:
+    """The bytes of a batch, a row for each value; all values have one length."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1) if values else np.zeros((0, 0), dtype=np.uint8)
+
+
 def _bins_of(column, width: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
 def grow(
-    rows: DataFrame, key: Sequence[str], label: str, features: Sequence[str], seed: int = 42,
+    rows: DataFrame, key: Sequence[str], label: str, features: Sequence[str] | str, seed: int = 42,
     trees: int = 100, depth: int = 20, weighted: bool = True,
 ) -> Forest:
-    """A forest on ``rows``, which have a unique ``key`` and are read several times; ``weighted`` balances the classes."""
-    key, features, width = list(key), list(features), len(features)
+    """A forest on ``rows``, which have a unique ``key`` and are read several times; ``weighted`` balances the classes.
+
+    ``features`` are columns, or one binary column, whose values have one length: each byte is a feature."""
+    key, features = list(key), features if isinstance(features, str) else list(features)
     sizes = {r["class"]: r["weight"] for r in class_weights(rows, label).collect()}
     names = sorted(sizes)
     classes, weights = len(names), np.array([sizes[c] if weighted else 1.0 for c in names])
-    edges = bin_edges(rows, features)
+    edges = byte_edges(rows, features) if isinstance(features, str) else bin_edges(rows, features)
+    width = len(edges)
     coded = rows.withColumn("_code", (F.array_position(F.array(*[F.lit(c) for c in names]), F.col(label)) - 1).cast("int"))
     base = stored(binned(coded, key, features, edges, ["_code"]).select(ROW, "_code", "bins"), "binned")
     count = base.count()
@@ -332,7 +402,7 @@ def _small_nodes(base, tops, seed, weights, width, depth) -> DataFrame:
 
 def predict(forest: Forest, rows: DataFrame, key: Sequence[str], label: str) -> DataFrame:
     """(key, y_true, y_pred) of ``rows``: the class with most votes, of tied ones the first."""
-    key, width, tops = list(key), len(forest.features), forest.tops
+    key, width, tops = list(key), len(forest.edges), forest.tops
     names = [f"_v{c}" for c in range(len(forest.classes))]
     base = binned(rows, key, forest.features, forest.edges)
     # a part of a tree meets as many rows at once as it was grown on
@@ -384,6 +454,144 @@ def predict(forest: Forest, rows: DataFrame, key: Sequence[str], label: str) ->
     return rows.select(*key, F.col(label).alias("y_true")).join(named, key)
 
 
+def predict_zeroed(
+    forest: Forest, rows: DataFrame, key: Sequence[str], label: str, zeroed: Mapping[str, Sequence[int]], by: str = "region",
+) -> DataFrame:
+    """(key, ``by``, y_true, y_pred): every row as it is (``none``) and once for each name in ``zeroed`` (at most 62) with
+    the features at those places set to zero. ``rows`` are read several times.
+
+    A row is not copied: it visits a part of a tree once for all names that lead it there, and names that turn it
+    nowhere else cost nothing. Votes of a name are kept as their difference from those of the row as it is."""
+    key, width, tops = list(key), len(forest.edges), forest.tops
+    kinds, classes = ["none", *zeroed], len(forest.classes)
+    names = [f"_v{c}" for c in range(classes)]
+    hidden = np.zeros((len(kinds), width), dtype=bool)
+    for k, places in enumerate(zeroed.values(), 1):
+        hidden[k, list(places)] = True
+    blank = np.array([np.searchsorted(e, 0.0, side="left") for e in forest.edges], dtype=np.uint8)
+    flags = 1 << np.arange(len(kinds), dtype=np.int64)
+    base = binned(rows, key, forest.features, forest.edges)
+    id_fields = base.select(*key).schema.fields
+    sent = T.StructType([*id_fields, *T.StructType.fromDDL("tree int, node long, block int, kinds long, bins binary").fields])
+    voted = T.StructType([*id_fields, T.StructField("kind", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
+    sent_arrow, voted_arrow = to_arrow_schema(sent), to_arrow_schema(voted)
+
+    def ends(top: Top, bins: np.ndarray):
+        """Where rows leave a top, and who is still along with the row as it is."""
+        along = np.ones((len(bins), len(kinds)), dtype=bool)
+        along[:, 0] = False
+        start = np.arange(len(bins)), np.zeros(len(bins), dtype=np.int64)
+        return *walk_zeroed(np.array(top.feature), np.array(top.cut), np.array(top.child), bins, blank, hidden, *start, along), along
+
+    def visits(top: Top, bins: np.ndarray):
+        """Row, open node of the top and the kinds that meet there as bits, each row and node once."""
+        row, kind, at, along = ends(top, bins)
+        is_open = np.array([v is None for v in top.votes])[at]
+        row, kind, at = row[is_open], kind[is_open], at[is_open]
+        bits = flags[kind] + np.where(kind == 0, along[row] @ flags, 0)
+        pair, place = np.unique(row * len(top.heap) + at, return_inverse=True)
+        met = np.zeros(len(pair), dtype=np.int64)
+        np.bitwise_or.at(met, place, bits)
+        return pair // len(top.heap), np.array(top.heap, dtype=np.int64)[pair % len(top.heap)], met
+
+    def changes(bins, own: np.ndarray, row, kind, votes, along):
+        """Votes of the rows as they are (``own``: those that are here) and what kinds that are not along differ by."""
+        plain = np.zeros((len(bins), classes), dtype=np.int64)
+        plain[row[kind == 0]] = votes[kind == 0]
+        less = ~along & own[:, None]
+        less[:, 0] = False
+        away, missing = np.nonzero(less)
+        return np.concatenate([row, away]), np.concatenate([kind, missing]), np.concatenate([votes, -plain[away]])
+
+    def voting(ids, row, kind, votes):
+        columns = [*ids.take(pa.array(row)).columns, pa.array(kind.astype(np.int32)), *map(pa.array, np.ascontiguousarray(votes.T))]
+        return [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+
+    def count(batches):
+        held = {}
+        for batch in batches:
+            bins = _bins_of(batch.column("bins"), width)
+            for t, top in enumerate(tops):
+                for node, n in zip(*np.unique(visits(top, bins)[1], return_counts=True)):
+                    held[t, int(node)] = held.get((t, int(node)), 0) + int(n)
+        trees, nodes = zip(*held) if held else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(trees, pa.int32()), pa.array(nodes, pa.int64()), pa.array(held.values(), pa.int64())], ["tree", "node", "n"])
+
+    # zeroing can lead most rows to one node: it then meets them in several blocks
+    limit = max(1, NODE_VALUES // width)
+    counted = base.mapInArrow(count, "tree int, node long, n long").groupBy("tree", "node").agg(F.sum("n").alias("n"))
+    many = counted.where(F.col("n") > limit).select("tree", "node", F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
+    blocks: list[dict[int, int]] = [{} for _ in tops]
+    for r in many.collect():
+        blocks[r["tree"]][r["node"]] = r["blocks"]
+
+    def send(batches):
+        for batch in batches:
+            bins, ids, hashed = _bins_of(batch.column("bins"), width), batch.select(key), batch.column(ROW).to_numpy()
+            for t, top in enumerate(tops):
+                row, node, met = visits(top, bins)
+                some, place = np.unique(node, return_inverse=True)
+                dealt = hashed[row] % np.array([blocks[t].get(int(n), 1) for n in some], dtype=np.int64)[place]
+                for i in range(0, len(row), len(bins)):
+                    use = slice(i, i + len(bins))
+                    yield pa.RecordBatch.from_arrays([
+                        *ids.take(pa.array(row[use])).columns, pa.array(np.full(len(row[use]), t, dtype=np.int32)), pa.array(node[use]),
+                        pa.array(dealt[use].astype(np.int32)), pa.array(met[use]), _bytes_column(bins[row[use]]),
+                    ], schema=sent_arrow)
+
+    def settled(batches):
+        """Votes of leaves that large nodes became."""
+        for batch in batches:
+            bins = _bins_of(batch.column("bins"), width)
+            total = np.zeros((len(bins), len(kinds), classes), dtype=np.int64)
+            for top in tops:
+                if any(v is not None for v in top.votes):
+                    row, kind, at, along = ends(top, bins)
+                    leaf = np.array([v is not None for v in top.votes])[at]
+                    votes = np.stack([np.zeros(classes, dtype=np.int64) if v is None else v for v in top.votes])[at[leaf]]
+                    own = np.zeros(len(bins), dtype=bool)
+                    own[row[leaf & (kind == 0)]] = True
+                    row, kind, votes = changes(bins, own, row[leaf], kind[leaf], votes, along)
+                    np.add.at(total, (row, kind), votes)
+            row, kind = np.nonzero(total.any(axis=2))
+            yield pa.RecordBatch.from_arrays(voting(batch.select(key), row, kind, total[row, kind]), schema=voted_arrow)
+
+    def meet(left: pa.Table, part: pa.Table) -> pa.Table:
+        if part.num_rows == 0 or left.num_rows == 0:
+            # no training row of this tree came by here, or no row to score
+            return voted_arrow.empty_table()
+        get = lambda c, kind: np.frombuffer(part.column(c)[0].as_py(), dtype=kind)
+        bins, met = _bins_of(left.column("bins"), width), left.column("kinds").to_numpy()[:, None] & flags > 0
+        own = met[:, 0]
+        row, kind = np.nonzero(met & ~(own[:, None] & (np.arange(len(kinds)) > 0)))
+        along = met & own[:, None]
+        along[:, 0] = False
+        row, kind, at = walk_zeroed(get("feature", np.int16), get("cut", np.uint8), get("child", np.int32), bins, blank, hidden, row, kind, along)
+        votes = get("votes", np.int64).reshape(-1, classes)[at]
+        return pa.Table.from_arrays(voting(left.select(key), *changes(bins, own, row, kind, votes, along)), schema=voted_arrow)
+
+    spark = rows.sparkSession
+    dealt = [(t, n, b) for t, own in enumerate(blocks) for n, b in own.items()]
+    several = spark.createDataFrame(dealt, "tree int, node long, blocks int")
+    parts = forest.parts.drop("gains").join(several, ["tree", "node"], "left")
+    parts = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    at = ["tree", "node", "block"]
+    votes = base.mapInArrow(send, sent).groupBy(*at).cogroup(parts.groupBy(*at)).applyInArrow(meet, voted)
+    if any(v is not None for top in tops for v in top.votes):
+        votes = votes.unionByName(base.mapInArrow(settled, voted))
+    summed = votes.groupBy(*key, "kind").agg(F.array(*[F.sum(n) for n in names]).alias("_votes"))
+    by_row = summed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("kind", "_votes"))).alias("_all"))
+    nothing = F.array(*[F.lit(0).cast("long")] * classes)
+    plain = F.coalesce(F.try_element_at("_all", F.lit(0)), nothing)
+    split = by_row.select(*key, plain.alias("_plain"), "_all", F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1))).alias("kind"))
+    moved = F.when(F.col("kind") > 0, F.coalesce(F.try_element_at("_all", F.col("kind")), nothing)).otherwise(nothing)
+    split = split.select(*key, "kind", F.zip_with("_plain", moved, lambda a, b: a + b).alias("_votes"))
+    best = F.array_position("_votes", F.array_max("_votes")).cast("int")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    named = split.select(*key, pick(kinds, F.col("kind") + 1).alias(by), pick(forest.classes, best).alias("y_pred"))
+    return rows.select(*key, F.col(label).alias("y_true")).join(named, key).select(*key, by, "y_true", "y_pred")
+
+
 def importances(forest: Forest) -> DataFrame:
     """Share of every feature in the trees' gains, each tree counting alike; highest first."""
     spark = forest.parts.sparkSession
@@ -394,6 +602,7 @@ def importances(forest: Forest) -> DataFrame:
     whole = gained.groupBy("tree").agg(F.sum("gain").alias("whole")).where("whole > 0")
     shares = gained.join(whole, "tree").groupBy("place").agg(F.sum(F.col("gain") / F.col("whole")).alias("share"))
     trees = whole.agg(F.count(F.lit(1)).alias("trees"))
-    names = spark.createDataFrame(list(enumerate(forest.features)), "place int, feature string")
+    named = map(str, range(len(forest.edges))) if isinstance(forest.features, str) else forest.features
+    names = spark.createDataFrame(list(enumerate(named)), "place int, feature string")
     share = F.coalesce(F.col("share") / F.col("trees"), F.lit(0.0))
     return names.join(shares, "place", "left").crossJoin(trees).select("feature", share.alias("importance")).orderBy(F.desc("importance"), "feature")
