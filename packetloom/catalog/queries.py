@@ -929,7 +929,7 @@ def occlusion_sweep(spark, sf):
     split = stored(tn.joined_bytes(sp.train_test_split(packed, "label", fl.FLOW, SEED)).drop("packets"), "split")
     forest = fo.grow(split.where("split = 'train'"), fl.FLOW, "label", "bytes", SEED, trees=100, depth=30)
     scored = fo.predict_zeroed(forest, split.where("split = 'test'"), fl.FLOW, "label", tn.region_places())
-    drops, _ = tn.drops_from_counts(mt.confusion_counts(scored, ["region"]))
+    drops, _ = tn.drops_from_counts(stored(mt.confusion_counts(scored, ["region"]), "counts"))
     return drops
 
 

@@ -75,27 +75,51 @@ def histograms(slot, features, bins, code, times, classes: int) -> np.ndarray:
     return counts.reshape(k, some, classes, BINS)
 
 
-def best_splits(counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per node: place of the feature among its own, last bin on the left, gain in Gini, weight of its rows."""
-    total = counts[:, 0].sum(axis=2)
+def _gains(below, total: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Gain in Gini of every cut; ``below``: for each class the drawn rows up to the cut, by node and further axes."""
+    ranks = (slice(None), *[None] * (below[0].ndim - 1))
     weighed = total * weights
-    mass, square = weighed.sum(axis=1)[:, None, None], (weighed**2).sum(axis=1)[:, None, None]
-    rows = total.sum(axis=1)[:, None, None]
+    mass, square, rows = (v[ranks] for v in (weighed.sum(axis=1), (weighed**2).sum(axis=1), total.sum(axis=1)))
     drawn = whole = left = right = 0.0
     for c, weight in enumerate(weights):
-        below = counts[:, :, c].cumsum(axis=2)[:, :, :-1]
-        drawn = drawn + below
-        below = below * weight
-        whole = whole + below
-        left = left + below * below
-        below = weighed[:, c, None, None] - below
-        right = right + below * below
+        drawn = drawn + below[c]
+        own = below[c] * weight
+        whole = whole + own
+        left = left + own * own
+        own = weighed[:, c][ranks] - own
+        right = right + own * own
     valid = (drawn > 0) & (drawn < rows)
     parts = left / np.where(valid, whole, 1.0) + right / np.where(valid, mass - whole, 1.0)
-    gain = np.where(valid, (parts - square / mass) / mass, -1.0)
-    flat = gain.reshape(len(gain), -1)
+    return np.where(valid, (parts - square / mass) / mass, -1.0)
+
+
+def best_splits(counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per node: place of the feature among its own, last bin on the left, gain in Gini, weight of its rows."""
+    total = counts[:, 0].sum(axis=2)
+    flat = _gains(counts.cumsum(axis=3)[..., :-1].transpose(2, 0, 1, 3), total, weights).reshape(len(counts), -1)
     best = flat.argmax(axis=1)
-    return best // (BINS - 1), best % (BINS - 1), flat[np.arange(len(flat)), best], mass.ravel()
+    return best // (BINS - 1), best % (BINS - 1), flat[np.arange(len(flat)), best], (total * weights).sum(axis=1)
+
+
+def best_mixed_splits(slot, features, picked, code, times, total: np.ndarray, weights: np.ndarray, many: np.ndarray):
+    """:func:`best_splits` where only the features in ``many`` (by slot and place) have more than two bins."""
+    (k, some), classes = features.shape, len(weights)
+    row, place = np.nonzero(picked == 0)
+    cell = (slot[row] * some + place) * classes + code[row]
+    below = np.bincount(cell, weights=times[row], minlength=k * some * classes).reshape(k, some, classes)
+    gain, last = _gains(below.transpose(2, 0, 1), total, weights), np.zeros((k, some), dtype=np.int64)
+    node, at = np.nonzero(many)
+    if len(node):
+        pair = np.full(many.shape, -1)
+        pair[node, at] = np.arange(len(node))
+        row, place = np.nonzero(many[slot])
+        cell = (pair[slot[row], place] * classes + code[row]) * BINS + picked[row, place]
+        counts = np.bincount(cell, weights=times[row], minlength=len(node) * classes * BINS).reshape(len(node), classes, BINS)
+        found = _gains(counts.cumsum(axis=2)[..., :-1].transpose(1, 0, 2), total[node], weights)
+        last[node, at] = found.argmax(axis=1)
+        gain[node, at] = found.max(axis=1)
+    best, nodes = gain.argmax(axis=1), np.arange(k)
+    return best, last[nodes, best], gain[nodes, best], (total * weights).sum(axis=1)
 
 
 def votes_of(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -117,7 +141,7 @@ def grow_below(bins, code, times, tree: int, root: int, seed: int, weights: np.n
     """A tree below ``root`` (nodes number like a heap, the whole tree's root is 1): features, cuts, children, votes and
     the gain of every feature. Level by level, all nodes of a level at once."""
     classes, width = len(weights), bins.shape[1]
-    gains = np.zeros(width)
+    gains, many = np.zeros(width), bins.max(axis=0, initial=0) > 1
     feature, cut, child, votes = [], [], [], []
     heap, slot, rows, made = np.array([root]), np.zeros(len(bins), dtype=np.int64), np.arange(len(bins)), 1
     while len(heap):
@@ -129,7 +153,7 @@ def grow_below(bins, code, times, tree: int, root: int, seed: int, weights: np.n
         slot, rows = slot[order], rows[order]
         mixed = np.flatnonzero((counts > 0).sum(axis=1) > 1) if level < depth else np.array([], dtype=np.int64)
         edges = np.searchsorted(slot, np.arange(k + 1))
-        block = max(1, CELLS // (math.ceil(math.sqrt(width)) * BINS * classes))
+        block = max(1, int(CELLS / (math.ceil(math.sqrt(width)) * np.where(many, BINS, 1).mean() * classes)))
         for i in range(0, len(mixed), block):
             part = mixed[i:i + block]
             sizes = edges[part + 1] - edges[part]
@@ -137,7 +161,8 @@ def grow_below(bins, code, times, tree: int, root: int, seed: int, weights: np.n
             # rows of the part's nodes, node after node
             some = rows[np.arange(len(own)) + np.repeat(edges[part] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)]
             features = node_features(seed, tree, heap[part], width)
-            place, last, gain, mass = best_splits(histograms(own, features, bins[some], code[some], times[some], classes), weights)
+            picked = bins[some[:, None], features[own]]
+            place, last, gain, mass = best_mixed_splits(own, features, picked, code[some], times[some], counts[part], weights, many[features])
             split = gain > 1e-12
             chosen = features[np.arange(len(part)), place]
             feature_k[part[split]], cut_k[part[split]] = chosen[split], last[split]
@@ -245,8 +270,8 @@ def byte_edges(rows: DataFrame, column: str) -> list[np.ndarray]:
 
 
 def binned(rows: DataFrame, key: Sequence[str], features: Sequence[str] | str, edges: list[np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
-    """(key, kept columns, ``_row``: a hash of the key, bins: a byte for every feature)."""
-    names = [*key, *keep, ROW]
+    """(key, kept columns, ``_row``: a hash of the key, bins: those of every feature as in :class:`Bins`)."""
+    names, form = [*key, *keep, ROW], Bins(edges)
     if isinstance(features, str):
         held = rows.select(*key, *keep, F.xxhash64(*key).alias(ROW), F.col(features).alias("bins"))
         as_held = to_arrow_schema(held.schema)
@@ -254,8 +279,8 @@ def binned(rows: DataFrame, key: Sequence[str], features: Sequence[str] | str, e
         def look_up(batches):
             of_value = np.stack([np.searchsorted(e, np.arange(256), side="left") for e in edges]).astype(np.uint8)
             for batch in batches:
-                bins = of_value[np.arange(len(edges)), _bins_of(batch.column("bins"), len(edges))]
-                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, _bytes_column(bins)], schema=as_held)
+                bins = of_value[np.arange(len(edges)), _values_of(batch.column("bins")).reshape(-1, len(edges))]
+                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, form.column(bins)], schema=as_held)
 
         return held.mapInArrow(look_up, held.schema)
     wide = rows.select(*key, *keep, F.xxhash64(*key).alias(ROW), *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
@@ -268,25 +293,37 @@ def binned(rows: DataFrame, key: Sequence[str], features: Sequence[str] | str, e
                 np.searchsorted(e, batch.column(f"_f{i}").to_numpy(zero_copy_only=False), side="left").astype(np.uint8)
                 for i, e in enumerate(edges)
             ])
-            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, _bytes_column(bins)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, form.column(bins)], schema=arrow)
 
     return wide.mapInArrow(work, schema)
 
 
-def _bytes_column(bins: np.ndarray) -> pa.Array:
-    offsets = np.arange(len(bins) + 1, dtype=np.int32) * bins.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bins))])
-
-
-def _values_of(column: pa.Array) -> np.ndarray:
-    """The bytes of a batch, a row for each value; all values have one length."""
+def _values_of(column) -> np.ndarray:
+    """The bytes of binary values of one length, a row for each value."""
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1) if values else np.zeros((0, 0), dtype=np.uint8)
 
 
-def _bins_of(column, width: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+class Bins:
+    """How the bins of a row travel: a byte for every feature, a bit where it has two bins, nothing where it has one."""
+
+    def __init__(self, edges: list[np.ndarray]):
+        sizes = np.array([len(e) + 1 for e in edges])
+        self.width, self.bits, self.bytes = len(edges), np.flatnonzero(sizes == 2), np.flatnonzero(sizes > 2)
+        self.size = len(self.bytes) + -(-len(self.bits) // 8)
+
+    def column(self, bins: np.ndarray) -> pa.Array:
+        held = np.concatenate([bins[:, self.bytes], np.packbits(bins[:, self.bits], axis=1)], axis=1)
+        offsets = np.arange(len(held) + 1, dtype=np.int32) * self.size
+        return pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held))])
+
+    def read(self, column) -> np.ndarray:
+        held = _values_of(column).reshape(len(column), self.size)
+        bins = np.zeros((len(held), self.width), dtype=np.uint8)
+        bins[:, self.bytes] = held[:, :len(self.bytes)]
+        if len(self.bits):
+            bins[:, self.bits] = np.unpackbits(held[:, len(self.bytes):], axis=1, count=len(self.bits))
+        return bins
 
 
 def grow(
@@ -301,7 +338,7 @@ def grow(
     names = sorted(sizes)
     classes, weights = len(names), np.array([sizes[c] if weighted else 1.0 for c in names])
     edges = byte_edges(rows, features) if isinstance(features, str) else bin_edges(rows, features)
-    width = len(edges)
+    width, form = len(edges), Bins(edges)
     coded = rows.withColumn("_code", (F.array_position(F.array(*[F.lit(c) for c in names]), F.col(label)) - 1).cast("int"))
     base = stored(binned(coded, key, features, edges, ["_code"]).select(ROW, "_code", "bins"), "binned")
     count = base.count()
@@ -311,7 +348,7 @@ def grow(
     while pending:
         at_once = max(1, JOB_CELLS // (some * BINS * classes))
         now, pending = pending[:at_once], pending[at_once:]
-        for r in _large_nodes(base, tops, now, seed, weights, width).collect():
+        for r in _large_nodes(base, tops, now, seed, weights, form).collect():
             top, at = tops[r["tree"]], r["at"]
             counts = np.array(r["counts"])
             if r["gain"] <= 1e-12 or int(top.heap[at]).bit_length() - 1 >= depth:
@@ -320,13 +357,13 @@ def grow(
             top_gains.append((r["tree"], r["feature"], r["gain"] * r["mass"]))
             children = top.split(at, r["feature"], r["cut"])
             pending += [(r["tree"], c) for c, n in zip(children, (r["left"], r["right"])) if n > limit]
-    parts = stored(_small_nodes(base, tops, seed, weights, width, depth), "forest")
+    parts = stored(_small_nodes(base, tops, seed, weights, form, depth), "forest")
     return Forest(names, features, edges, tops, parts, top_gains, count)
 
 
-def _large_nodes(base, tops, now, seed, weights, width) -> DataFrame:
+def _large_nodes(base, tops, now, seed, weights, form: Bins) -> DataFrame:
     """The best split of every node in ``now``: each task adds up its rows, then the tasks' sums are added up."""
-    classes = len(weights)
+    classes, width = len(weights), form.width
     wanted: dict[int, list[int]] = {}
     for t, at in now:
         wanted.setdefault(t, []).append(at)
@@ -336,7 +373,7 @@ def _large_nodes(base, tops, now, seed, weights, width) -> DataFrame:
     def add(batches):
         held = {}
         for batch in batches:
-            ids, code, bins = batch.column(ROW).to_numpy(), batch.column("_code").to_numpy(), _bins_of(batch.column("bins"), width)
+            ids, code, bins = batch.column(ROW).to_numpy(), batch.column("_code").to_numpy(), form.read(batch.column("bins"))
             for t, (top, ats, features) in own.items():
                 slots = np.full(len(top.heap), -1)
                 slots[ats] = np.arange(len(ats))
@@ -367,13 +404,13 @@ def _large_nodes(base, tops, now, seed, weights, width) -> DataFrame:
     return base.mapInArrow(add, "tree int, at int, hist binary").groupBy("tree", "at").applyInArrow(choose, schema)
 
 
-def _small_nodes(base, tops, seed, weights, width, depth) -> DataFrame:
+def _small_nodes(base, tops, seed, weights, form: Bins, depth) -> DataFrame:
     """Everything below the nodes where the tops end, each grown in the task that gets its rows."""
     sent = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("code", pa.int8()), ("times", pa.int8()), ("bins", pa.binary())])
 
     def send(batches):
         for batch in batches:
-            ids, code, bins = batch.column(ROW).to_numpy(), batch.column("_code").to_numpy(), _bins_of(batch.column("bins"), width)
+            ids, code, bins = batch.column(ROW).to_numpy(), batch.column("_code").to_numpy(), form.read(batch.column("bins"))
             for t, top in enumerate(tops):
                 times = draws(seed, t, ids)
                 use = np.flatnonzero(times)
@@ -382,7 +419,7 @@ def _small_nodes(base, tops, seed, weights, width, depth) -> DataFrame:
                 use, at = use[is_open], at[is_open]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(use), t, dtype=np.int32)), pa.array(np.array(top.heap, dtype=np.int64)[at]),
-                    pa.array(code[use].astype(np.int8)), pa.array(times[use].astype(np.int8)), _bytes_column(bins[use]),
+                    pa.array(code[use].astype(np.int8)), pa.array(times[use].astype(np.int8)), form.column(bins[use]),
                 ], schema=sent)
 
     schema = "tree int, node long, feature binary, cut binary, child binary, votes binary, gains array<double>"
@@ -391,7 +428,7 @@ def _small_nodes(base, tops, seed, weights, width, depth) -> DataFrame:
     def finish(table: pa.Table) -> pa.Table:
         t, node = table.column("tree")[0].as_py(), table.column("node")[0].as_py()
         code, times = (table.column(c).to_numpy().astype(np.int64) for c in ("code", "times"))
-        feature, cut, child, votes, gains = grow_below(_bins_of(table.column("bins"), width), code, times, t, node, seed, weights, depth)
+        feature, cut, child, votes, gains = grow_below(form.read(table.column("bins")), code, times, t, node, seed, weights, depth)
         values = [t, node, feature.astype(np.int16).tobytes(), cut.astype(np.uint8).tobytes(), child.astype(np.int32).tobytes(),
                   votes.tobytes(), gains.tolist()]
         return pa.Table.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, arrow)], schema=arrow)
@@ -402,7 +439,7 @@ def _small_nodes(base, tops, seed, weights, width, depth) -> DataFrame:
 
 def predict(forest: Forest, rows: DataFrame, key: Sequence[str], label: str) -> DataFrame:
     """(key, y_true, y_pred) of ``rows``: the class with most votes, of tied ones the first."""
-    key, width, tops = list(key), len(forest.edges), forest.tops
+    key, form, tops = list(key), Bins(forest.edges), forest.tops
     names = [f"_v{c}" for c in range(len(forest.classes))]
     base = binned(rows, key, forest.features, forest.edges)
     # a part of a tree meets as many rows at once as it was grown on
@@ -414,20 +451,20 @@ def predict(forest: Forest, rows: DataFrame, key: Sequence[str], label: str) ->
 
     def send(batches):
         for batch in batches:
-            bins, ids = _bins_of(batch.column("bins"), width), batch.select(key)
+            bins, ids = form.read(batch.column("bins")), batch.select(key)
             block = (batch.column(ROW).to_numpy() % blocks).astype(np.int32)
             for t, top in enumerate(tops):
                 at = top.walk(bins)
                 use = np.flatnonzero(np.array([v is None for v in top.votes])[at])
                 yield pa.RecordBatch.from_arrays([
                     *ids.take(pa.array(use)).columns, pa.array(np.full(len(use), t, dtype=np.int32)),
-                    pa.array(np.array(top.heap, dtype=np.int64)[at[use]]), pa.array(block[use]), _bytes_column(bins[use]),
+                    pa.array(np.array(top.heap, dtype=np.int64)[at[use]]), pa.array(block[use]), form.column(bins[use]),
                 ], schema=sent_arrow)
 
     def settled(batches):
         """Votes of leaves that large nodes became."""
         for batch in batches:
-            bins = _bins_of(batch.column("bins"), width)
+            bins = form.read(batch.column("bins"))
             votes = np.zeros((len(bins), len(names)), dtype=np.int64)
             for top in tops:
                 if any(v is not None for v in top.votes):
@@ -439,7 +476,7 @@ def predict(forest: Forest, rows: DataFrame, key: Sequence[str], label: str) ->
             # no training row of this tree came by here
             return voted_arrow.empty_table()
         get = lambda c, kind: np.frombuffer(part.column(c)[0].as_py(), dtype=kind)
-        at = walk(get("feature", np.int16), get("cut", np.uint8), get("child", np.int32), _bins_of(left.column("bins"), width))
+        at = walk(get("feature", np.int16), get("cut", np.uint8), get("child", np.int32), form.read(left.column("bins")))
         votes = get("votes", np.int64).reshape(-1, len(names))[at]
         return pa.Table.from_arrays([*left.select(key).columns, *map(pa.array, np.ascontiguousarray(votes.T))], schema=voted_arrow)
 
@@ -462,7 +499,7 @@ def predict_zeroed(
 
     A row is not copied: it visits a part of a tree once for all names that lead it there, and names that turn it
     nowhere else cost nothing. Votes of a name are kept as their difference from those of the row as it is."""
-    key, width, tops = list(key), len(forest.edges), forest.tops
+    key, form, tops, width = list(key), Bins(forest.edges), forest.tops, len(forest.edges)
     kinds, classes = ["none", *zeroed], len(forest.classes)
     names = [f"_v{c}" for c in range(classes)]
     hidden = np.zeros((len(kinds), width), dtype=bool)
@@ -510,7 +547,7 @@ def predict_zeroed(
     def count(batches):
         held = {}
         for batch in batches:
-            bins = _bins_of(batch.column("bins"), width)
+            bins = form.read(batch.column("bins"))
             for t, top in enumerate(tops):
                 for node, n in zip(*np.unique(visits(top, bins)[1], return_counts=True)):
                     held[t, int(node)] = held.get((t, int(node)), 0) + int(n)
@@ -527,7 +564,7 @@ def predict_zeroed(
 
     def send(batches):
         for batch in batches:
-            bins, ids, hashed = _bins_of(batch.column("bins"), width), batch.select(key), batch.column(ROW).to_numpy()
+            bins, ids, hashed = form.read(batch.column("bins")), batch.select(key), batch.column(ROW).to_numpy()
             for t, top in enumerate(tops):
                 row, node, met = visits(top, bins)
                 some, place = np.unique(node, return_inverse=True)
@@ -536,13 +573,13 @@ def predict_zeroed(
                     use = slice(i, i + len(bins))
                     yield pa.RecordBatch.from_arrays([
                         *ids.take(pa.array(row[use])).columns, pa.array(np.full(len(row[use]), t, dtype=np.int32)), pa.array(node[use]),
-                        pa.array(dealt[use].astype(np.int32)), pa.array(met[use]), _bytes_column(bins[row[use]]),
+                        pa.array(dealt[use].astype(np.int32)), pa.array(met[use]), form.column(bins[row[use]]),
                     ], schema=sent_arrow)
 
     def settled(batches):
         """Votes of leaves that large nodes became."""
         for batch in batches:
-            bins = _bins_of(batch.column("bins"), width)
+            bins = form.read(batch.column("bins"))
             total = np.zeros((len(bins), len(kinds), classes), dtype=np.int64)
             for top in tops:
                 if any(v is not None for v in top.votes):
@@ -561,7 +598,7 @@ def predict_zeroed(
             # no training row of this tree came by here, or no row to score
             return voted_arrow.empty_table()
         get = lambda c, kind: np.frombuffer(part.column(c)[0].as_py(), dtype=kind)
-        bins, met = _bins_of(left.column("bins"), width), left.column("kinds").to_numpy()[:, None] & flags > 0
+        bins, met = form.read(left.column("bins")), left.column("kinds").to_numpy()[:, None] & flags > 0
         own = met[:, 0]
         row, kind = np.nonzero(met & ~(own[:, None] & (np.arange(len(kinds)) > 0)))
         along = met & own[:, None]
