@@ -145,7 +145,8 @@ def drops_from_counts(counts: DataFrame, regions=OCCLUSION_REGIONS):
     ends = F.create_map(*[F.lit(x) for name, s, e in regions for x in (name, e)])
     c = F.col
     drops = (
-        scores.where("region <> 'none'").crossJoin(base)
+        # one row: a product without a broadcast has as many tasks as its sides' partitions multiplied
+        scores.where("region <> 'none'").crossJoin(F.broadcast(base))
         .withColumns({"start": spans[c("region")], "end": ends[c("region")]})
         .select(
             "region", "start", "end", (c("end") - c("start")).alias("n_bytes"),
